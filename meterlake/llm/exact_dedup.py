@@ -69,3 +69,17 @@ def exact_dedup(
         ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows of ``docs`` that stay, one for each text, with all their columns; cases as in ``exact_dedup``."""
+    gone = durable(exact_dedup(docs, doc_id=doc_id, text=text, keep=keep).where("not kept"))
+    own = F.col("gone_id").eqNullSafe(F.col("keep_id"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), "keep_id", F.col("text_sha256").alias("gone_sha"))
+    sha = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
+    left = docs.join(gone.where(~own), docs[doc_id].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    if gone.where(own).isEmpty():
+        return left
+    row = F.struct(*[left[c] for c in docs.columns])  # rows that repeat identifier and text: any one of them
+    rows = left.select(row.alias("row")).groupBy(F.col("row")[doc_id], F.sha2(F.coalesce(F.col("row")[text], F.lit("")), 256)).agg(F.first("row").alias("row"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
