@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality, secrets, simhash
+from . import bpe, imatch, licenses, lm, quality, secrets, simhash
 from .common import read
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
@@ -37,10 +37,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source", "source_size", "target", "epochs", "taken")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = lm.score(read(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_likeness(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -61,7 +71,9 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
+    "op4_lm_scores": op4_lm_scores,
     "op5_license_scan": op5_license_scan,
+    "op6_imatch": op6_imatch,
     "op7_simhash": op7_simhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality": op10_quality,
