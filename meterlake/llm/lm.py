@@ -21,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import durable, tasks
+from .packing import MESSAGE, messages, pack, pack_rising, unpack, unpack_rising
 
 #: Tokens of a block at least; a longer document is a block by itself.
 BLOCK = 2_000_000
@@ -36,30 +36,6 @@ HOT = 1 / 200
 CODES = 255
 
 
-# Number arrays as bytes: byte planes, as many as the largest needs, compressed.
-
-
-def pack(a: np.ndarray) -> bytes:
-    a = np.ascontiguousarray(a, "<u8")
-    planes = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes())
-
-
-def unpack(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, : b[0]] = raw.T
-    return out.view("<u8").reshape(-1)
-
-
-def pack_rising(a: np.ndarray) -> bytes:
-    return pack(np.diff(np.ascontiguousarray(a, "<u8"), prepend=np.uint64(0)))
-
-
-def unpack_rising(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b), dtype=np.uint64)
-
-
 class EliasFano:
     """A rising sequence in one buffer: the low bits of each number packed, the high bits in unary."""
 
@@ -166,13 +142,6 @@ def _blocks(kind: pa.DataType, least: int):
 
 BLOCK_NAMES = ["block", "ids", "sizes", "train", "tokens", "hashes", "counts"]
 BLOCK_TYPES = "sizes binary, train binary, tokens binary, hashes binary, counts binary"
-MESSAGE = "shard int, block long, a binary, b binary, c binary, d binary"
-MESSAGE_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), *[(x, pa.binary()) for x in "abcd"]])
-
-
-def _messages(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_pylist([dict(zip(MESSAGE_SCHEMA.names, r, strict=True)) for r in rows], MESSAGE_SCHEMA)
-
 
 def _word_messages(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +150,7 @@ def _word_messages(shards: int):
                 hashes, counts = unpack_rising(row["hashes"]), unpack(row["counts"])
                 to = hashes % np.uint64(shards)
                 out = [(s, row["block"], pack_rising(hashes[m]), pack(counts[m]), None, None) for s in np.unique(to).tolist() for m in [to == s]]
-                yield from _messages(out).to_batches()
+                yield from messages(out).to_batches()
 
     return run
 
@@ -198,7 +167,7 @@ def _word_shard(shards: int):
         for r, h in zip(rows, hashes, strict=True):
             at = np.searchsorted(every, h)
             out.append((shard, r["block"], pack(at * shards + shard), pack(counts[at]), None, None))
-        return _messages(out)
+        return messages(out)
 
     return run
 
@@ -243,7 +212,7 @@ def _pair_messages(shards: int, hot: float):
     def run(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         rows = blocks.to_pylist()
         if not rows:
-            return _messages([])
+            return messages([])
         b = _Read(rows[0], answers.to_pylist(), shards)
         counts = np.bincount(b.at[np.repeat(b.train, b.sizes)], minlength=len(b.pairs))
         out = []
@@ -254,7 +223,7 @@ def _pair_messages(shards: int, hot: float):
             w[first] = b.w[part][first]
             runs = np.stack([np.diff(v[first], prepend=0), np.diff(np.r_[first, len(v)])])
             out.append((shard, rows[0]["block"], pack(runs.reshape(-1)), pack(w), pack(counts[part]), pack(b.v_count[part][first])))
-        return _messages(out)
+        return messages(out)
 
     return run
 
@@ -279,7 +248,7 @@ def _pair_shard(prior: float):
         c = np.add.reduceat(c, new) if len(v) else c
         trie = Trie(v[new].astype(np.uint64), w[new].astype(np.uint64), c / (of[new] + prior))
         search = trie.reader()
-        return _messages([(shard, block, pack(search(x.astype(np.uint64), y.astype(np.uint64))), trie.levels.tobytes(), None, None) for block, x, y, _, _ in asked])
+        return messages([(shard, block, pack(search(x.astype(np.uint64), y.astype(np.uint64))), trie.levels.tobytes(), None, None) for block, x, y, _, _ in asked])
 
     return run
 
