@@ -1,0 +1,6 @@
+"""The query catalogue."""
+
+from . import totals
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "totals"]
