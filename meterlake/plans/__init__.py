@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import totals
+from . import display, priced, totals
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "totals"]
+__all__ = ["ORACLES", "QUERIES", "display", "priced", "totals"]
