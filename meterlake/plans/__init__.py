@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import display, priced, totals
+from . import display, merging, priced, totals
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "display", "priced", "totals"]
+__all__ = ["ORACLES", "QUERIES", "display", "merging", "priced", "totals"]
