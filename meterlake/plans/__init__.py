@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import display, merging, priced, totals
+from . import display, growing, merging, priced, scorecards, totals
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "display", "merging", "priced", "totals"]
+__all__ = ["ORACLES", "QUERIES", "display", "growing", "merging", "priced", "scorecards", "totals"]
