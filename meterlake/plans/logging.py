@@ -1,0 +1,42 @@
+"""Queries that send the adapter's events through the log readers, written as the tools write them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import logs
+from ..sources.telemetry import usage_events
+from .merging import running_totals
+from .registry import query
+
+ISO = "yyyy-MM-dd'T'HH:mm:ss"
+
+
+def _lines(df: DataFrame, file, body) -> DataFrame:
+    return df.select(file.alias("file"), F.struct(F.col("event_id").alias("at"), F.lit(0).cast("long").alias("id")).alias("pos"), F.to_json(body).alias("value"))
+
+
+@query("log_claude", "SELECT date, model, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(cache_creation_tokens)::BIGINT AS cache_creation_tokens, count(DISTINCT session_id) AS sessions FROM (SELECT date, raw_model AS model, input_tokens, cache_creation_tokens, session_id FROM ev WHERE tool = 'claude_code' AND raw_model <> '') GROUP BY ALL")
+def log_claude(spark: SparkSession, d: str) -> DataFrame:
+    """Every message lies in two files, as after a resumed session."""
+    e = usage_events(spark, d).where("tool = 'claude_code' AND raw_model != ''")
+    usage = F.struct("input_tokens", "output_tokens", F.col("cache_read_tokens").alias("cache_read_input_tokens"), F.col("cache_creation_tokens").alias("cache_creation_input_tokens"))
+    body = F.struct(F.lit("assistant").alias("type"), F.col("session_id").alias("sessionId"), F.date_format("ts", ISO).alias("timestamp"), F.col("event_id").cast("string").alias("requestId"), F.struct(F.concat(F.lit("msg"), F.col("event_id").cast("string")).alias("id"), F.col("raw_model").alias("model"), usage.alias("usage")).alias("message"))
+    rows = _lines(e, F.lit("a.jsonl"), body).unionByName(_lines(e, F.lit("b.jsonl"), body))
+    g = logs.claude_events(rows).groupBy("date", "model")
+    return g.agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("cache_creation_tokens").alias("cache_creation_tokens"), F.count_distinct("session_id").alias("sessions"))
+
+
+@query("log_codex", "SELECT date, count(*) AS requests, sum(total - CASE WHEN prev IS NULL OR total < prev THEN 0 ELSE prev END)::BIGINT AS input_tokens FROM (SELECT e.date, t.total, lag(t.total) OVER (PARTITION BY e.session_id ORDER BY e.event_id) AS prev FROM ev e JOIN totals_e t USING (event_id) WHERE e.tool = 'codex') WHERE total - CASE WHEN prev IS NULL OR total < prev THEN 0 ELSE prev END <> 0 GROUP BY date")
+def log_codex(spark: SparkSession, d: str) -> DataFrame:
+    e = running_totals(spark, d).where("tool = 'codex'")
+    info = F.struct(F.struct(F.col("total").alias("input_tokens"), F.lit(0).alias("cached_input_tokens"), F.lit(0).alias("output_tokens")).alias("total_token_usage"))
+    body = F.struct(F.lit("event_msg").alias("type"), F.date_format("ts", ISO).alias("timestamp"), F.struct(F.lit("token_count").alias("type"), info.alias("info")).alias("payload"))
+    g = logs.codex_events(_lines(e, F.col("session_id"), body)).groupBy("date")
+    return g.agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"))
+
+
+@query("log_rollup", "SELECT tool, date, model, sum(input_tokens)::BIGINT AS input_tokens, count(*) AS requests, CASE WHEN row_number() OVER (PARTITION BY tool, date ORDER BY model) = 1 THEN any_value(n) END AS sessions FROM ev JOIN (SELECT tool, date, count(DISTINCT session_id) AS n FROM ev GROUP BY ALL) USING (tool, date) GROUP BY tool, date, model")
+def log_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return logs.rolled_up(usage_events(spark, d)).select("tool", "date", "model", "input_tokens", "requests", "sessions")

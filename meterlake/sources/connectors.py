@@ -1,0 +1,27 @@
+"""The register of connectors: a name, and how its landed data become usage rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import logs, vendors
+
+Connector = Callable[[SparkSession, str], DataFrame]
+CONNECTORS: dict[str, Connector] = {}
+
+
+def connector(name: str, run: Connector) -> None:
+    """Add a connector; a name taken is an error."""
+    if name in CONNECTORS:
+        raise ValueError(f"connector {name} exists")
+    CONNECTORS[name] = run
+
+
+connector("claude_code", lambda spark, path: logs.claude_events(logs.lines(spark, path)))
+connector("codex", lambda spark, path: logs.codex_events(logs.lines(spark, path)))
+connector("gemini", lambda spark, path: logs.gemini_events(logs.lines(spark, path)))
+connector("grok", lambda spark, path: logs.grok_events(logs.lines(spark, path)))
+connector("opencode", lambda spark, path: logs.opencode_events(spark.read.parquet(path)))
+connector("claude_spend", vendors.spend_csv)
