@@ -1,0 +1,32 @@
+"""Labels that queries group or order by."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, Window
+from pyspark.sql import functions as F
+
+
+def window_label(window: Column) -> Column:
+    """A plan-limit window in words: a name after the tool, or its length in days, hours or minutes."""
+    minutes = F.regexp_extract(window, r"_(\d+)m$", 1)
+    n = F.when(minutes != "", minutes.cast("int"))
+    of = lambda unit, each: F.concat((n / each).cast("int").cast("string"), F.lit(unit))
+    named = F.when(n % 1440 == 0, of("d", 1440)).when(n % 60 == 0, of("h", 60)).when(n.isNotNull(), of("min", 1))
+    return F.coalesce(named, F.when(window == "five_hour", "5h").when(window == "seven_day", "7d"), F.replace(window, F.lit("_"), F.lit(" ")))
+
+
+def device_label(keys: list[str], order: str) -> Column:
+    """Device 1, 2, … of a person, by the order given."""
+    return F.concat(F.lit("Device "), F.dense_rank().over(Window.partitionBy(*keys).orderBy(order)).cast("string"))
+
+
+def report_tool(product: Column) -> Column:
+    """A product's name as a tool's."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim(product)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(slug == "claude_code", "claude_code").otherwise(F.concat(F.lit("claude_"), F.regexp_replace(slug, "^claude_", "")))
+
+
+def family_of(model: Column, priced: Column) -> Column:
+    """A model's family: that of its price, else the first run of letters in its name."""
+    run = F.regexp_extract(F.lower(model), "[a-z]+", 0)
+    return F.coalesce(priced, F.when(run != "", run), F.lit("unknown"))

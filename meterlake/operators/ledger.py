@@ -54,7 +54,8 @@ def derive_chain(records: DataFrame) -> DataFrame:
     )
     impossible = usable & F.coalesce(F.col("d_cache_read_tokens") > F.col("d_input_tokens"), F.lit(False))
     r = r.withColumn("impossible", impossible)
-    r = r.withColumn("d_input_tokens", F.when(~cum, F.col("d_input_tokens")).otherwise(F.greatest(F.lit(0), F.col("d_input_tokens") - F.col("d_cache_read_tokens")) + F.lit(0) * F.col("d_cache_read_tokens")))
+    fresh = F.col("d_input_tokens") - F.col("d_cache_read_tokens")
+    r = r.withColumn("d_input_tokens", F.when(~cum, F.col("d_input_tokens")).when(fresh.isNotNull(), F.greatest(F.lit(0), fresh)))
     taint = F.max(F.col("ambiguous") | F.col("odd") | F.col("reset") | F.col("impossible")).over(along.rowsBetween(Window.unboundedPreceding, 0))
     r = r.withColumn("taint", taint).where("accepted")
     sound = (F.col("completeness") == "final") & (F.col("identity_quality") == "native")

@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import display, growing, logging, merging, priced, scorecards, totals
+from . import display, growing, logging, merging, priced, scorecards, totals, upkeep
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "display", "growing", "logging", "merging", "priced", "scorecards", "totals"]
+__all__ = ["ORACLES", "QUERIES", "display", "growing", "logging", "merging", "priced", "scorecards", "totals", "upkeep"]

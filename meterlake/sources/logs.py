@@ -81,7 +81,7 @@ def codex_events(rows: DataFrame) -> DataFrame:
     along = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("model", F.coalesce(F.last("turn", ignorenulls=True).over(along), F.lit(""))).where("counts AND ts IS NOT NULL")
     d = snapshot_deltas(r, ["file"], "pos", ["i", "c", "o"])
-    fresh = F.greatest(F.lit(0), F.col("d_i") - F.coalesce("d_c", F.lit(0)))
+    fresh = F.when(F.col("d_i").isNotNull(), F.greatest(F.lit(0), F.col("d_i") - F.coalesce("d_c", F.lit(0))))
     session = F.regexp_extract("file", r"([0-9a-fA-F-]{36})\.jsonl$", 1)
     d = d.select(F.when(session != "", session).otherwise(F.col("file")).alias("session_id"), "ts", "model", fresh.alias("input_tokens"), F.col("d_o").alias("output_tokens"), F.col("d_c").alias("cache_read_tokens"), F.lit(None).cast("long").alias("cache_creation_tokens"))
     return _events(d, "codex")
@@ -95,7 +95,7 @@ def gemini_events(rows: DataFrame) -> DataFrame:
     r = r.withColumn("nth", F.when(F.col("id").isNull(), 1).otherwise(nth)).where("nth = 1 AND ts IS NOT NULL AND coalesce(i, o, c, t) IS NOT NULL")
     d = snapshot_deltas(r, ["file"], "pos", ["i", "o", "c", "t"])
     out = F.when(F.coalesce("d_o", "d_t").isNotNull(), F.coalesce("d_o", F.lit(0)) + F.coalesce("d_t", F.lit(0)))
-    d = d.select("session_id", "ts", F.coalesce("model", F.lit("")).alias("model"), F.greatest(F.lit(0), F.col("d_i") - F.coalesce("d_c", F.lit(0))).alias("input_tokens"), out.alias("output_tokens"), F.col("d_c").alias("cache_read_tokens"), F.lit(None).cast("long").alias("cache_creation_tokens"))
+    d = d.select("session_id", "ts", F.coalesce("model", F.lit("")).alias("model"), F.when(F.col("d_i").isNotNull(), F.greatest(F.lit(0), F.col("d_i") - F.coalesce("d_c", F.lit(0)))).alias("input_tokens"), out.alias("output_tokens"), F.col("d_c").alias("cache_read_tokens"), F.lit(None).cast("long").alias("cache_creation_tokens"))
     return _events(d, "gemini")
 
 
@@ -143,4 +143,4 @@ def claude_limits(rows: DataFrame) -> DataFrame:
     kinds = F.from_json("value", "map<string,string>")
     w = rows.select(F.explode(kinds).alias("window", "body"))
     pct = F.get_json_object("body", "$.utilization").cast("double")
-    return w.select("window", F.greatest(F.lit(0.0), F.round(pct)).alias("utilization_pct"), F.get_json_object("body", "$.resets_at").alias("resets_at")).where("utilization_pct IS NOT NULL")
+    return w.where(pct.isNotNull()).select("window", F.greatest(F.lit(0.0), F.round(pct)).alias("utilization_pct"), F.get_json_object("body", "$.resets_at").alias("resets_at"))
