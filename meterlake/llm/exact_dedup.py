@@ -1,9 +1,10 @@
 """Exact deduplication by content sort.
 
-The normalised texts are range-partitioned by sampled splitters and sorted, so
-equal texts are neighbours and a run of equals is found by comparing whole
-neighbouring keys. A text with very many copies spreads over several ranges,
-because a salt drawn from the identifier is the second sort key; what the runs
+Sampled splitters over the leading characters cut the normalised texts into
+ranges, and within a range whole texts are sorted, so equal texts are neighbours
+and a run of equals is found by comparing whole neighbouring keys. A text with
+very many copies, or a beginning that very many texts share, spreads over several
+ranges, because a salt drawn from the identifier is the second key; what the runs
 of one text found is then put together by the text's SHA-256, on rows without
 text, at most one for each salt.
 """
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, slim, tasks
 
+#: Leading characters that splitters are made of; the driver gets a sample of these, never whole texts.
+LEAD = 32
+
 
 def exact_dedup(
     docs: DataFrame,
@@ -43,10 +47,10 @@ def exact_dedup(
         "doc_id",
         (normalise(F.col("text")) if normalise else F.col("text")).alias("body"),
         F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("salt"),
-    )
-    run = Window.partitionBy("body", "salt")
+    ).withColumn("lead", F.substring("body", 1, LEAD))
+    run = Window.partitionBy("body", "salt", "lead")
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
-    runs = base.repartitionByRange(n, "body", "salt").select(
+    runs = base.repartitionByRange(n, "lead", "salt").select(
         "doc_id",
         "salt",
         F.unhex(F.sha2("body", 256)).alias("digest"),

@@ -16,18 +16,18 @@ from .common import ascii_lower, slim
 #: A table of known licenses is broadcast up to this many rows (digest and name: under 200 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 50_000
 
-# A copyright line, and spellings that count as the same.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright|©|\(c\))[^\n]*$"
+# A copyright line (the word with a sign or a year, so no line of a wrapped clause), and spellings that count as the same.
+COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©]*(?:copyright[^\n]*(?:\(c\)|©|[0-9]{4})|©|\(c\))[^\n]*"
 EQUIVALENT = (
-    (r"\blicence", "license"),
-    (r"\bsub[- ]license", "sublicense"),
-    (r"\bnon[- ]?infringement", "noninfringement"),
-    (r"\bmerchantibility", "merchantability"),
-    (r"\bcopyright owners?\b", "copyright holder"),
-    (r"\bcopyright holders\b", "copyright holder"),
-    (r"https://", "http://"),
-    (r"\bper cent\b", "percent"),
-    (r"&", " and "),
+    ("licence", "license"),
+    ("sub[- ]license", "sublicense"),
+    ("non[- ]?infringement", "noninfringement"),
+    ("merchantibility", "merchantability"),
+    ("copyright owners?", "copyright holder"),
+    ("copyright holders", "copyright holder"),
+    ("https://", "http://"),
+    ("per cent", "percent"),
+    ("&", " and "),
 )
 OTHER = r"[^\p{L}\p{N}]+"
 
