@@ -60,6 +60,47 @@ def cutover_report(legacy: DataFrame, derived: DataFrame, keys: list[str], value
     return a.join(b, keys, "full").groupBy(kind.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def member_status(members: DataFrame, health: DataFrame, now: Column, *, odd_lines: int = 5) -> DataFrame:
+    """``member_id, name, seen, label``: the first that holds of an error signal, never seen, silent for a day, received.
+
+    ``health`` is each device's parsers as last reported (``external_id, at,
+    unrecognized``); identifiers match addresses whatever their case.
+    """
+    own = health.groupBy(F.lower("external_id").alias("mail")).agg(F.max("at").alias("seen"), F.bool_or(F.col("unrecognized") >= odd_lines).alias("bad"))
+    silent = F.col("seen") < now - F.expr("INTERVAL 1 DAY")
+    label = F.when(F.coalesce("bad", F.lit(False)), "error signal").when(F.col("seen").isNull(), "unknown").when(silent, "nothing lately").otherwise("received")
+    return members.join(own, F.lower("email") == F.col("mail"), "left").select("member_id", "name", "seen", label.alias("label"))
+
+
+def tool_status(tools: DataFrame, sources: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Every tool with its records, conflicts and a label, gravest first.
+
+    ``sources`` has by tool ``records, conflicts, unverified, error``; ``earlier``
+    names tools with rows from before records were kept. No row of a tool is no
+    proof of no use, so it is unknown.
+    """
+    s = tools.join(sources.withColumn("source", F.lit(True)), "tool", "left").join(F.broadcast(earlier.select("tool").distinct().withColumn("earlier", F.lit(True))), "tool", "left")
+    none = F.coalesce("records", F.lit(0)) == 0
+    label = F.when(F.col("conflicts") > 0, "conflict").when(F.col("error"), "read error").when(none & F.col("earlier"), "earlier records")
+    label = label.when(F.col("source").isNull(), "unknown").when(none, "check source").when(F.col("unverified") > 0, "received, to be compared").otherwise("received")
+    return s.select("tool", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"), label.alias("label"))
+
+
+def machines(sessions: DataFrame, older: DataFrame, as_of: str, *, days: int = 14) -> DataFrame:
+    """Each device's last day, its recent tokens and requests, and whether it has fallen silent.
+
+    ``sessions`` carry ``machine_ids`` and count for every device of theirs;
+    ``older`` are daily rows with one ``machine_id``. The two must not overlap.
+    """
+    t = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    rows = sessions.select("external_id", F.explode("machine_ids").alias("machine_id"), "date", t.alias("t"), "requests")
+    rows = rows.unionByName(older.select("external_id", "machine_id", "date", t.alias("t"), "requests"))
+    edge = F.date_format(F.date_sub(F.lit(as_of).cast("date"), days), "yyyy-MM-dd")
+    recent = lambda c: F.sum(F.when(F.col("date") > edge, F.col(c)).otherwise(0)).cast("long")
+    stale = F.max("date") < F.date_format(F.date_sub(F.lit(as_of).cast("date"), 1), "yyyy-MM-dd")
+    return rows.groupBy("external_id", "machine_id").agg(F.max("date").alias("last_date"), recent("t").alias("recent_tokens"), recent("requests").alias("recent_requests"), stale.alias("stale"))
+
+
 def email_index(members: DataFrame, identities: DataFrame) -> DataFrame:
     """``email, member_id``: a member's own address first, then identities shaped like one, the first registered winning."""
     own = members.select(F.lower("email").alias("email"), "member_id", F.lit(0).alias("rank_of"), F.lit(0).cast("long").alias("arrival"))

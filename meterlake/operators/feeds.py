@@ -27,6 +27,18 @@ def feed(posts: DataFrame, members: DataFrame, reactions: DataFrame, size: int =
     return out.join(counts, out["id"] == F.col("post_id"), "left").drop("post_id")
 
 
+def latest_drafts(digests: DataFrame, since: str) -> DataFrame:
+    """Each member's newest unresolved digest from a day on."""
+    own = digests.where((F.col("status") == "draft") & (F.col("date") >= since))
+    return own.groupBy("member_id").agg(F.max("date").alias("date"), F.max_by("items", "date").alias("items"))
+
+
+def shared_digests(digests: DataFrame, members: DataFrame, since: str) -> DataFrame:
+    """What members have shared from a day on, with their names; drafts and skipped ones never show."""
+    out = digests.where((F.col("status") == "shared") & (F.col("date") >= since))
+    return out.join(members.select("member_id", "name"), "member_id", "left").select("date", F.coalesce("name", F.lit("?")).alias("name"), "items")
+
+
 def visible(viewer: Column | int, *, admin: bool = False) -> Column:
     """Whether a row with owner, audience (private, people, team) and people may be seen."""
     if admin:
