@@ -110,6 +110,14 @@ def machine_pseudonym(machine: Column) -> Column:
     return F.when((machine == "") | machine.rlike("^dev_[0-9a-f]{12}$"), machine).otherwise(F.concat(F.lit("dev_"), F.substring(F.sha2(machine, 256), 1, 12)))
 
 
+def clip(text: Column, n: int) -> Column:
+    """At most so many UTF-16 units of a text, no pair of surrogates split."""
+    units = F.encode(text, "UTF-16BE")
+    split = F.hex(F.substring(units, 2 * n - 1, 1)).between("D8", "DB")
+    kept = F.substring(units, F.lit(1), F.when(split, 2 * n - 2).otherwise(2 * n))
+    return F.when(F.length(units) <= 2 * n, text).otherwise(F.decode(kept, "UTF-16BE"))
+
+
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 

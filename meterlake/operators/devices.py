@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.semantics import METRICS, clip
+
+#: Fixed value: readings of one upload.
+HEALTH_MOST = 50
 #: Seconds between kept samples, days and number of them, days and number of parsers shown.
 APART, HISTORY_DAYS, HISTORY_MOST, PARSER_DAYS, PARSER_MOST = 12 * 3600, 7, 14, 30, 20
 
@@ -108,6 +112,34 @@ def email_index(members: DataFrame, identities: DataFrame) -> DataFrame:
     return own.unionByName(other).groupBy("email").agg(F.min_by("member_id", F.struct("rank_of", "arrival")).alias("member_id"))
 
 
+def clipped_health(items: Column) -> Column:
+    """The first well-formed readings of an array of struct(parser, files, unrecognized, emitted, error), texts clipped.
+
+    A reading without a parser's name or with a missing or negative count is left
+    out and never makes the whole fail; a null array stays null.
+    """
+    counted = lambda c: c.isNotNull() & (c >= 0)
+    good = F.filter(items, lambda h: (F.length(F.trim(h["parser"])) > 0) & counted(h["files"]) & counted(h["unrecognized"]) & counted(h["emitted"]))
+    one = lambda h: F.struct(clip(F.trim(h["parser"]), 40).alias("parser"), h["files"].alias("files"), h["unrecognized"].alias("unrecognized"), h["emitted"].alias("emitted"), clip(h["error"], 200).alias("error"))
+    return F.transform(F.slice(good, 1, HEALTH_MOST), one)
+
+
+def valid_sessions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Session buckets fit to be merged, and, with the column at fault, the others."""
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    bad = F.when(~holds(F.length("tool").between(1, 40)), "tool").when(~holds(F.length("session_id").between(1, 200)), "session_id")
+    bad = bad.when(~holds(F.col("hour").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}$")), "hour").when(holds(F.length("model") > 200), "model")
+    for m in (*METRICS, "requests"):
+        bad = bad.when(holds((F.col(m) < 0) | (F.col(m).cast("double") % 1 != 0)), m)
+    marked = rows.withColumn("error", bad.when(~holds(F.col("parser_version") >= 1), "parser_version"))
+    return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL")
+
+
+def sessions_together(rows: DataFrame, batches: int) -> DataFrame:
+    """The rows in so many batches, a partition each, no session split between two."""
+    return rows.repartition(batches, "tool", "session_id")
+
+
 def valid_records(records: DataFrame, metrics: list[str]) -> tuple[DataFrame, DataFrame]:
     """Records whose values stand exactly where their evidence is known, and, with the reason, the others."""
     bad = F.when(~F.col("record_id").rlike(r"^[\x21-\x7e]{1,200}$"), "record_id").when(~F.col("kind").isin("event", "cumulative"), "kind")

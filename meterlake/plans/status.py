@@ -64,6 +64,19 @@ def my_machines(spark: SparkSession, d: str) -> DataFrame:
     return devices.machines(s, older, AS_OF)
 
 
+@query("session_validity", "SELECT CASE WHEN k % 13 = 0 THEN 'hour' WHEN k % 17 = 0 AND input_tokens > 0 THEN 'input_tokens' WHEN k % 19 = 0 THEN 'parser_version' ELSE 'valid' END AS outcome, count(*) AS n FROM ev WHERE source = 'uploader' GROUP BY 1")
+def session_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Session buckets some of which are spoilt, counted by what is wrong with them."""
+    spoilt = {
+        "hour": F.when(F.col("k") % 13 == 0, F.col("date")).otherwise(F.col("hour")),
+        "input_tokens": F.when(F.col("k") % 17 == 0, -F.col("input_tokens")).otherwise(F.col("input_tokens")),
+        "parser_version": F.when(F.col("k") % 19 == 0, 0).otherwise(F.col("parser_version")),
+    }
+    good, bad = devices.valid_sessions(buckets(spark, d).withColumns(spoilt))
+    both = good.select(F.lit("valid").alias("outcome")).unionByName(bad.select(F.col("error").alias("outcome")))
+    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("display_member_list", "SELECT r.member_id, r.name, round(sum(x.usd_value), 9) AS value, coalesce(sum(x.unpriced), 0)::BIGINT AS unpriced_tokens, max(x.date) AS last_active, count(x.date) > 0 AS has_record FROM roster r LEFT JOIN shown x ON x.member_id = r.member_id GROUP BY r.member_id, r.name")
 def display_member_list(spark: SparkSession, d: str) -> DataFrame:
     """The roster kept whole: who has no measured value has none, not 0."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake.functions import calendar, pricing, semantics
-from meterlake.operators import ledger, merge, streaks
+from meterlake.operators import devices, ledger, merge, streaks
 from meterlake.sources import logs, vendors
 
 
@@ -148,6 +148,28 @@ def test_chain_taints_after_reset_and_tie(spark):
     assert [(r.d_input_tokens, r.verified) for r in got] == [(100, True), (50, True), (40, False), (20, False)]
 
 
+def test_clip_and_health(spark):
+    text = spark.createDataFrame([("abc",), ("ab😀c",), ("abcde",), ("",), (None,)], "t string")
+    assert [r[0] for r in text.select(semantics.clip(F.col("t"), 3)).collect()] == ["abc", "ab", "abc", "", None]
+    items = [[(" p " + "x" * 50, 1, 0, 2, "e" * 300), ("", 1, 1, 1, None), ("q", None, 1, 1, None), ("r", 1, -1, 1, None), *[("s", 1, 1, 1, None)] * 60]]
+    df = spark.createDataFrame([items], "h array<struct<parser:string,files:long,unrecognized:long,emitted:long,error:string>>")
+    h = df.select(devices.clipped_health(F.col("h")).alias("h")).first().h
+    assert len(h) == 50 and len(h[0].parser) == 40 and len(h[0].error) == 200 and {x.parser for x in h[1:]} == {"s"}
+
+
+def test_sessions_stay_together(spark):
+    rows = spark.range(500).select(F.lit("t").alias("tool"), (F.col("id") % 40).cast("string").alias("session_id"))
+    where = devices.sessions_together(rows, 7).select("session_id", F.spark_partition_id().alias("part")).collect()
+    assert len(where) == 500 and len({(r.session_id, r.part) for r in where}) == 40
+
+
+def test_tool_status_ladder(spark):
+    tools = spark.createDataFrame([(t,) for t in "abcdefg"], "tool string")
+    sources = spark.createDataFrame([("a", 5, 1, 0, True), ("b", 5, 0, 0, True), ("c", 0, 0, 0, False), ("d", 0, 0, 0, False), ("f", 3, 0, 2, False), ("g", 3, 0, 0, False)], "tool string, records long, conflicts long, unverified long, error boolean")
+    got = {r.tool: r.label for r in devices.tool_status(tools, sources, spark.createDataFrame([("c",), ("g",)], "tool string")).collect()}
+    assert got == {"a": "conflict", "b": "read error", "c": "earlier records", "d": "check source", "e": "unknown", "f": "received, to be compared", "g": "received"}
+
+
 def test_codex_lines(spark):
     count = lambda i, c, o: '{"type":"event_msg","timestamp":"2024-01-01T00:00:00Z","payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":%d,"cached_input_tokens":%d,"output_tokens":%d}}}}' % (i, c, o)
     turn = '{"type":"turn_context","timestamp":"2024-01-01T00:00:00Z","payload":{"model":"gpt-5"}}'
