@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, slim
+from .common import SPACE, ascii_lower, slim
 
 #: A table of known licenses is broadcast up to this many rows (digest and name: under 200 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 50_000
@@ -74,6 +74,7 @@ KNOWN = {
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for a text of copyright lines alone."""
     c = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, "")
+    c = F.regexp_replace(c, SPACE, " ")  # a spelling may be wrapped over two lines
     for spelling, one in EQUIVALENT:
         c = F.regexp_replace(c, spelling, one)
     return F.trim(F.regexp_replace(c, OTHER, " "))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, imatch, licenses, lm, quality, secrets, simhash, suffix_dedup
-from .common import read
+from .common import SPACE, read
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 
@@ -91,6 +91,7 @@ def _license_sql() -> str:
 
     def form(c: str) -> str:
         out = f"regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.COPYRIGHT_LINE}', '', 'g')"
+        out = f"regexp_replace({out}, '{SPACE}', ' ', 'g')"
         for spelling, one in licenses.EQUIVALENT:
             out = f"regexp_replace({out}, '{spelling}', '{one}', 'g')"
         return f"trim(regexp_replace({out}, '{licenses.OTHER}', ' ', 'g'), ' ')"
