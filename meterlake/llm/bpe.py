@@ -3,8 +3,10 @@
 A text is cut at special tokens, normalised and split into words. A word's
 symbols stand in one array beside an array of the ranks of neighbouring pairs;
 the smallest rank is looked for, its boundary deleted and the two ranks beside
-it looked up anew, until no pair can merge. Words are short, so the plain scan
-beats a heap; words met before come from a bounded table.
+it looked up anew, until no pair can merge. Most words are short, so the plain
+scan beats a heap; the few of more than LONG symbols, whose scan would grow with
+the square, are merged in the same order with one. Words met before come from a
+bounded table.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import slim
 
 NONE = 1 << 60
+#: Symbols over which a word's merges are found with a heap.
+LONG = 512
 #: Words a worker remembers; over this it starts anew.
 REMEMBERED = 400_000
 #: Rows of one output batch.
@@ -68,6 +73,9 @@ class Codec(dict):
         inner, rank, merged = self.inner, self.ranks.get, self.merged
         parts = [inner[b] for b in raw]
         parts[-1] = self.final[raw[-1]]
+        if len(parts) > LONG:
+            parts = self._long(parts)
+            return struct.pack(f"<{len(parts)}I", *parts)
         near = [rank(a << 20 | b, NONE) for a, b in zip(parts, parts[1:])]
         while near and (least := min(near)) < NONE:
             i = near.index(least)
@@ -84,6 +92,28 @@ class Codec(dict):
             self[word] = packed
         return packed
 
+    def _long(self, parts: list[int]) -> list[int]:
+        """The merges of a long word: smallest rank first, of equal ranks the leftmost."""
+        rank, merged, n = self.ranks.get, self.merged, len(parts)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(r, i) for i in range(n - 1) if (r := rank(parts[i] << 20 | parts[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            least, i = heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j < 0 or rank(parts[i] << 20 | parts[j]) != least:
+                continue  # one of the two has merged since
+            parts[i], parts[j] = merged[least], -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := rank(parts[i] << 20 | parts[k])) is not None:
+                    heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank(parts[h] << 20 | parts[i])) is not None:
+                heappush(heap, (r, h))
+        return [p for p in parts if p >= 0]
+
     def _plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text)
         if self.squeezed:

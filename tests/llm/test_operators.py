@@ -74,6 +74,18 @@ def test_exact_dedup(spark, edges):
     assert {r.keep_id for r in small.collect() if r.doc_id in (1, 4)} >= {1}
 
 
+def test_bpe_long_words_merge_in_the_order_of_short_ones(monkeypatch):
+    codec = bpe.Codec(bpe.read_vocabulary(queries.vocabulary_path()))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aabeinst", k=rng.randint(2, 60))) for _ in range(300)]
+    short = [codec[w] for w in words]
+    codec.clear()
+    monkeypatch.setattr(bpe, "LONG", 1)
+    assert [codec[w] for w in words] == short
+    monkeypatch.undo()
+    assert len(codec["a" * 300_000]) > 0
+
+
 def test_bpe_matches_library_and_round_trips(spark):
     from tokenizers import Tokenizer
 
@@ -82,7 +94,7 @@ def test_bpe_matches_library_and_round_trips(spark):
     t.no_truncation(), t.no_padding()
     rng = random.Random(2)
     pool = ["Σ", "İ", "ß", "é", "é", "ﬁ", "中", "😀", "<|endoftext|>", "<|", "'LL", "½", " ", "\t", "\x85", "a", "B", "9", "."]
-    texts = ["", None, LONG, *["".join(rng.choice(pool) for _ in range(30)) for _ in range(300)]]
+    texts = ["", None, LONG, "ab" * 2000, "".join(rng.choices("etaoin", k=3000)), "é中" * 700 + "!", *["".join(rng.choice(pool) for _ in range(30)) for _ in range(300)]]
     out = bpe.encode(table(spark, list(enumerate(texts))), path, decoded=True).orderBy("doc_id").collect()
     for r, text in zip(out, texts):
         want = t.encode(text or "", add_special_tokens=False).ids
@@ -303,6 +315,15 @@ def test_secret_base_rules():
         assert set(base) <= set(spans)
 
 
+def test_secret_payloads_stay_bounded():
+    import zstandard
+
+    bomb = zstandard.ZstdCompressor().compress(b"a" * (secrets.UNPACKED + 999))
+    assert len(secrets._unpacked(bomb)) == secrets.UNPACKED
+    inner = zlib.compress(gzip.compress(b"token=abcdef1"))
+    assert secrets._unpacked(zstandard.ZstdCompressor().compress(inner)) == b"token=abcdef1"
+
+
 def test_secret_layers():
     hidden = 'password = "hunter2hunter2"'
     layers = [
