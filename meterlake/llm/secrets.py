@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ UNPACKED = 1 << 24
 HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 #: Where the characters of a layer come from: None, the text itself; a span of it; or the spans of each character.
-Origin = None | tuple[int, int] | tuple[list[int], list[int]]
+Origin = None | tuple[int, int] | tuple[np.ndarray, np.ndarray]
 
 
 def find(layer: str, low: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -56,54 +57,64 @@ def _back(origin: Origin, start: int, end: int) -> tuple[int, int]:
         return start, end
     if isinstance(origin[0], int):
         return origin
-    return origin[0][start], origin[1][end - 1]
+    return int(origin[0][start]), int(origin[1][end - 1])
+
+
+def _each(origin: Origin, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character of a stretch of a layer comes from."""
+    if origin is None:
+        return np.arange(start, end), np.arange(start + 1, end + 1)
+    if isinstance(origin[0], int):
+        return np.full(end - start, origin[0]), np.full(end - start, origin[1])
+    return origin[0][start:end], origin[1][start:end]
+
+
+def _undone(run: str, at: int) -> Iterator[tuple[str, int, int]]:
+    """The characters of a run of escapes that begins at a place, each with its span."""
+    end = at + len(run)
+    if run[0] == "%":
+        for ch in bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace"):
+            width = 3 * len(ch.encode()) if ch != "�" else 3
+            yield ch, min(at, end - 3), min(at + width, end)
+            at += width
+    else:
+        units = "".join(chr(int(x, 16)) for x in run.split("\\u")[1:])
+        for ch in units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace"):
+            width = 12 if ord(ch) > 0xFFFF else 6
+            yield ch, at, at + width
+            at += width
 
 
 def _unescaped(layer: str, origin: Origin) -> tuple[str, Origin] | None:
     """The layer with every URL and Unicode escape undone, or None if it has none."""
-    out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    at = 0
-
-    def put(piece: str, spans: Iterator[tuple[int, int]]) -> None:
-        for ch, (a, b) in zip(piece, spans, strict=True):
-            a, b = _back(origin, a, b)
-            out.append(ch)
-            starts.append(a)
-            ends.append(b)
-
+    out, spans, at = [], [], 0
     for m in ESCAPE.finditer(layer):
-        a, run = m.start(), m[0]
-        put(layer[at:a], ((i, i + 1) for i in range(at, a)))
-        if run[0] == "%":
-            for ch in bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace"):
-                width = 3 * len(ch.encode()) if ch != "�" else 3
-                put(ch, iter([(min(a, m.end() - 3), min(a + width, m.end()))]))
-                a += width
-        else:
-            units = "".join(chr(int(x, 16)) for x in run.split("\\u")[1:])
-            for ch in units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace"):
-                width = 12 if ord(ch) > 0xFFFF else 6
-                put(ch, iter([(a, a + width)]))
-                a += width
+        chars, starts, ends = zip(*_undone(m[0], m.start()), strict=True)
+        back = np.array([_back(origin, a, b) for a, b in zip(starts, ends, strict=True)])
+        out += [layer[at : m.start()], *chars]
+        spans += [_each(origin, at, m.start()), (back[:, 0], back[:, 1])]
         at = m.end()
     if not at:
         return None
-    put(layer[at:], ((i, i + 1) for i in range(at, len(layer))))
-    return "".join(out), (starts, ends)
+    out.append(layer[at:])
+    spans.append(_each(origin, at, len(layer)))
+    return "".join(out), tuple(np.concatenate(x) for x in zip(*spans, strict=True))
 
 
 def _unpacked(data: bytes) -> bytes:
-    """Gzip, zlib and zstandard payloads unwrapped, one inside another too."""
+    """Gzip, zlib and zstandard payloads unwrapped, one inside another too; what unpacks to itself is opened once."""
+    seen = set()
     while True:
+        zipped = data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0
+        if not zipped and data[:4] != b"\x28\xb5\x2f\xfd" or (mark := hashlib.sha256(data).digest()) in seen:
+            return data
+        seen.add(mark)
         try:
-            if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
+            if zipped:
                 data = zlib.decompressobj(47).decompress(data, UNPACKED)
-            elif data[:4] == b"\x28\xb5\x2f\xfd":
-                data = zstandard.ZstdDecompressor().decompressobj().decompress(data)[:UNPACKED]
             else:
-                return data
+                with zstandard.ZstdDecompressor().stream_reader(data) as r:
+                    data = r.read(UNPACKED)
         except (zlib.error, zstandard.ZstdError):
             return data
 
@@ -144,8 +155,6 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     return base, sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
-
-
 def secret_scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``base`` and ``spans``, arrays of (kind, start, end) in code points, end exclusive.
 
