@@ -13,6 +13,11 @@ refined by one stable distribution on the preceding symbol, and after each step
 the contexts are ordered by all that follows. Neighbours' common prefixes then
 tell the repeated intervals of 50 bytes at that column. No suffix is sorted anew
 and none is compared with more than its neighbour.
+
+A gram that takes more than a share of its shard's places is split: its contexts
+are dealt string by string, by the hash of all 50 bytes, each as a context that
+shows nothing but the string. Only equal strings then meet, and a block sends
+each of its strings once.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ COLUMNS = 2 * SIDE + GRAM
 BLOCK = 4_000_000
 #: Stands beside a text in its contexts; no UTF-8 text has this byte.
 EDGE = 0xFF
+#: A gram is split if it has over this share of its shard's places, and at least so many.
+HOT_SHARE, HOT_LEAST = 1 / 16, 4096
 #: Odd numbers that mix the halves of a gram's hash.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -60,6 +67,39 @@ def _slide(h: np.ndarray, width: int, least) -> np.ndarray:
     return least(h[: len(h) - width + have], h[width - have :]) if width > have else h
 
 
+def _marks(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each context."""
+    mark = np.zeros(len(rows), np.uint64)
+    for column in np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -COLUMNS % 8)))).view(np.uint64).T:
+        mark = (mark ^ column) * np.uint64(MIX[0])
+        mark ^= mark >> np.uint64(31)
+    return mark
+
+
+def _heads(rows: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Which of sorted rows differ from the one before, in themselves or their keys."""
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    for k in keys:
+        first[1:] |= k[1:] != k[:-1]
+    return first
+
+
+def _strings(rows: np.ndarray, ids: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Contexts of split grams, by column: the contexts that have a string there, which of the different strings each has, and those with their shard and smallest identifier."""
+    for column in range(WINDOW):
+        own = np.flatnonzero((rows[:, column] != EDGE) & (rows[:, column + LENGTH - 1] != EDGE))
+        if not len(own):
+            continue
+        alone = np.full((len(own), COLUMNS), EDGE, np.uint8)
+        alone[:, column : column + LENGTH] = rows[own, column : column + LENGTH]
+        mark = _marks(alone)
+        order = np.lexsort((ids[own], mark))
+        own, mark, alone = own[order], mark[order], alone[order]
+        first = _heads(alone, mark)
+        yield column, own, np.cumsum(first) - 1, alone[first], ((mark[first] >> np.uint64(16)) % np.uint64(shards)).astype(np.int64), ids[own[first]]
+
+
 class _Block:
     """A block's texts one after another, and the grams that are smallest in some string of theirs."""
 
@@ -92,15 +132,21 @@ class _Block:
         np.maximum.at(high, self.kind, self.doc)
         return low < high
 
+    def places(self) -> np.ndarray:
+        """In how many places each of the grams stands."""
+        return np.bincount(self.kind, minlength=len(self.grams))
+
     def share(self, shards: int) -> np.ndarray:
         return (self.grams % np.uint64(shards)).astype(np.int64)
 
     def contexts(self, answers: list[dict], shards: int) -> None:
         """Contexts of the grams that two documents share, equal ones of a block once, in the order in which shards get them."""
-        to, shared = self.share(shards), np.zeros(len(self.grams), bool)
+        to, shared, hot = self.share(shards), np.zeros(len(self.grams), bool), np.zeros(len(self.grams), bool)
         for a in answers:
             m = to == a["shard"]
             shared[m] = np.unpackbits(np.frombuffer(a["a"], np.uint8), count=int(m.sum())).astype(bool)
+            if a["b"] is not None:
+                hot[m] = np.unpackbits(np.frombuffer(a["b"], np.uint8), count=int(m.sum())).astype(bool)
         own = shared[self.kind]
         at, doc, kind = self.at[own], self.doc[own], self.kind[own]
         padded = np.concatenate([np.full(SIDE, EDGE, np.uint8), self.data, np.full(SIDE, EDGE, np.uint8)])
@@ -109,17 +155,21 @@ class _Block:
         start, end = (self.ends - self.sizes)[doc], self.ends[doc]
         rows = np.where((place >= start[:, None]) & (place < end[:, None]), rows, np.uint8(EDGE))
         del place
-        mark = np.zeros(len(at), np.uint64)
-        for column in np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -COLUMNS % 8)))).view(np.uint64).T:
-            mark = (mark ^ column) * np.uint64(MIX[0])
-            mark ^= mark >> np.uint64(31)
-        order = np.lexsort((at, self.ids[doc], mark, kind, to[kind]))
+        mark = _marks(rows)
+        order = np.lexsort((at, self.ids[doc], mark, kind))
         at, doc, kind, mark, rows = at[order], doc[order], kind[order], mark[order], rows[order]
-        first = np.ones(len(at), bool)
-        first[1:] = (mark[1:] != mark[:-1]) | (kind[1:] != kind[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)
+        first = _heads(rows, mark, kind)
         self.spot, self.owner, self.first = at, doc, first
         self.group = np.cumsum(first) - 1
-        self.rows, self.row_ids, self.row_to = rows[first], self.ids[doc[first]], to[kind[first]]
+        kind, rows, ids = kind[first], rows[first], self.ids[doc[first]]
+        self.whole, split = np.flatnonzero(~hot[kind]), np.flatnonzero(hot[kind])
+        self.split, sent = [], [(rows[self.whole], to[kind[self.whole]], ids[self.whole])]
+        for column, own, string, alone, shard, least in _strings(rows[split], ids[split], shards):
+            self.split.append((column, split[own], string, ids[split[own]] > least[string], len(alone)))
+            sent.append((alone, shard, least))
+        rows, goes, ids = (np.concatenate(x) for x in zip(*sent, strict=True))
+        self.sent = np.argsort(goes, kind="stable")
+        self.rows, self.row_to, self.row_ids = rows[self.sent], goes[self.sent], ids[self.sent]
 
     def dealt(self) -> Iterator[tuple[int, slice]]:
         cuts = np.flatnonzero(np.r_[True, np.diff(self.row_to) != 0]) if len(self.row_to) else []
@@ -128,9 +178,15 @@ class _Block:
 
     def removed(self, answers: list[dict]) -> np.ndarray:
         """Which bytes go: those of every repeated string."""
-        masks, said = np.zeros(len(self.rows), np.uint64), {a["shard"]: a for a in answers}
+        told, said = np.zeros(len(self.rows), np.uint64), {a["shard"]: a for a in answers}
         for shard, part in self.dealt():
-            masks[part] = unpack(said[shard]["a"])
+            told[self.sent[part]] = unpack(said[shard]["a"])
+        masks = np.zeros(int(self.first.sum()), np.uint64)
+        at = len(self.whole)
+        masks[self.whole] = told[:at]
+        for column, own, string, later, n in self.split:
+            masks[own[(told[at : at + n] > 0)[string] | later]] |= np.uint64(1 << column)
+            at += n
         head = np.flatnonzero(self.first)[self.group] if len(self.group) else np.zeros(0, np.int64)
         later = self.ids[self.owner] > self.ids[self.owner[head]]
         own = np.where(later, np.uint64((1 << WINDOW) - 1), masks[self.group])
@@ -172,22 +228,28 @@ def _gram_messages(shards: int):
         for batch in batches:
             for row in batch.to_pylist():
                 b = _Block(row)
-                to, several = b.share(shards), b.several()
-                out = [(s, row["block"], pack_rising(b.grams[m]), np.packbits(several[m]).tobytes()) for s in np.unique(to).tolist() for m in [to == s]]
+                to, several, places = b.share(shards), b.several(), b.places()
+                out = [(s, row["block"], pack_rising(b.grams[m]), np.packbits(several[m]).tobytes(), pack(places[m])) for s in np.unique(to).tolist() for m in [to == s]]
                 yield from messages(out).to_batches()
 
     return run
 
 
 def _gram_shard(key: tuple, table: pa.Table) -> pa.Table:
-    """For every message, which of its grams two documents have."""
+    """For every message, which of its grams two documents have, and which of them are split."""
     shard, rows = key[0].as_py(), table.to_pylist()
     grams = [unpack_rising(r["a"]) for r in rows]
     every, inverse, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     flags = np.concatenate([np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(g)) for r, g in zip(rows, grams, strict=True)])
     shared = times > 1
     shared[inverse[flags == 1]] = True
-    return messages([(shard, r["block"], np.packbits(shared[np.searchsorted(every, g)]).tobytes()) for r, g in zip(rows, grams, strict=True)])
+    places = np.bincount(inverse, np.concatenate([unpack(r["c"]) for r in rows]), len(every))
+    hot = shared & (places >= HOT_LEAST) & (places > places.sum() * HOT_SHARE)
+    out = []
+    for r, g in zip(rows, grams, strict=True):
+        at = np.searchsorted(every, g)
+        out.append((shard, r["block"], np.packbits(shared[at]).tobytes(), np.packbits(hot[at]).tobytes() if hot[at].any() else None))
+    return messages(out)
 
 
 def _context_messages(shards: int):

@@ -10,11 +10,12 @@ import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from meterlake.llm import bpe, components, exact_dedup, imatch, licenses, lm, mixing, quality, queries, secrets, simhash, suffix_dedup
-from meterlake.llm.packing import pack, pack_rising, unpack, unpack_rising
+from meterlake.llm.packing import MESSAGE_SCHEMA, pack, pack_rising, unpack, unpack_rising
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, salt int, digest string, bits long, part long"
 
@@ -296,6 +297,52 @@ def test_suffix_dedup(spark):
         assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == want
 
 
+def test_suffix_dedup_splits_grams_with_many_surroundings(monkeypatch):
+    """Blocks and shards by hand, every shared gram split, against the same with none split and against plain strings."""
+    rng = random.Random(9)
+    word = "a sixteen byte run of words that many share"
+    texts = ["".join(rng.choice(["qrstu", word, "xyz " * 14, str(rng.random())]) for _ in range(12)).encode() for _ in range(60)]
+    cut = [range(0, 20), range(20, 45), range(45, 60)]
+    shards = 4
+
+    def answered(step, blocks, rows):
+        by = collections.defaultdict(list)
+        for r in rows:
+            by[r["shard"]].append({**dict.fromkeys("abcd"), **r})
+        out = [r for s, said in by.items() for r in step((pa.scalar(s),), pa.Table.from_pylist(said, MESSAGE_SCHEMA)).to_pylist()]
+        return {b: [r for r in out if r["block"] == b] for b in blocks}
+
+    def removed():
+        rows = []
+        for n, part in enumerate(cut):
+            batch = pa.RecordBatch.from_arrays([pa.array(list(part)), pa.array([texts[i].decode() for i in part])], names=["doc_id", "text"])
+            monkeypatch.setattr(suffix_dedup, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: n)}))}))
+            rows += [r for b in suffix_dedup._blocks(10**9)([batch]) for r in b.to_pylist()]
+        asked = [r for b in suffix_dedup._gram_messages(shards)([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+        first = answered(suffix_dedup._gram_shard, [r["block"] for r in rows], asked)
+        run = suffix_dedup._context_messages(shards)
+        sent = [m for r in rows for m in run((), pa.Table.from_pylist([r]), pa.Table.from_pylist(first[r["block"]], MESSAGE_SCHEMA)).to_pylist()]
+        second = answered(suffix_dedup._context_shard, [r["block"] for r in rows], sent)
+        said = {b: [{**r, "step": 1} for r in first[b]] + [{**r, "step": 2} for r in second[b]] for b in first}
+        kept = [r for x in rows for r in suffix_dedup._kept(shards)((), pa.Table.from_pylist([x]), pa.Table.from_pylist(said[x["block"]])).to_pylist()]
+        return {r["doc_id"]: r["kept"] for r in kept}, any(m["b"] is not None for b in first.values() for m in b)
+
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        want[i] = bytes(c for c, g in zip(t, gone) if not g)
+    assert removed() == (want, False)
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 0)
+    assert removed() == (want, True)
+
+
 def plain_secrets(text):
     import re
 
