@@ -7,7 +7,7 @@ documents. A shard adds the counts of all blocks up, builds its part of the
 model and answers every message in the order of its entries; so no model is ever
 gathered in one place, and no table of n-grams is exploded into rows.
 
-A shard of pairs holds two levels in compact buffers that are used where they
+A shard of pairs holds two levels in compact buffers that are searched where they
 lie, as a memory-mapped file would be: the contexts with monotone pointers, and
 below each context its successors, both coded by Elias-Fano, beside quantised
 probabilities. Successors are stored relative to their context, so one sequence
@@ -34,29 +34,68 @@ END = b""
 #: Contexts over this share of all tokens are spread over the shards by successor.
 HOT = 1 / 200
 CODES = 255
+#: Pairs that are searched for at once.
+ASKED = 1 << 18
 
 
-class EliasFano:
-    """A rising sequence in one buffer: the low bits of each number packed, the high bits in unary."""
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Bits as 64-bit words, the first bit lowest, and two words more."""
+    raw = np.packbits(bits, bitorder="little")
+    return np.concatenate([raw, np.zeros(16 + -len(raw) % 8, np.uint8)]).view("<u8")
 
-    def __init__(self, low_bits: int, n: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.low_bits, self.n, self.low, self.high = low_bits, n, low, high
 
-    @classmethod
-    def of(cls, a: np.ndarray) -> EliasFano:
-        n, top = len(a), int(a[-1]) + 1 if len(a) else 1
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        low = np.unpackbits((a & np.uint64((1 << low_bits) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low_bits]
-        high = np.zeros(n + (top >> low_bits) + 1, bool)
-        high[(a >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = True
-        return cls(low_bits, n, np.packbits(low, bitorder="little"), np.packbits(high, bitorder="little"))
+def _select(words: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Places of the i-th set bits, given how many stand before each word; inside a word by halves."""
+    at = np.searchsorted(before, i, "right") - 1
+    word, left, place = words[at], i - before[at], at * 64
+    for width in (32, 16, 8, 4, 2, 1):
+        low = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
+        up = low <= left
+        left -= np.where(up, low, 0)
+        word = np.where(up, word >> np.uint64(width), word)
+        place += np.where(up, width, 0)
+    return place
 
-    def values(self) -> np.ndarray:
-        """The sequence: the i-th set bit of the high part stands i places beyond the high bits' number."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.n)
-        low = np.zeros((self.n, 64), np.uint8)
-        low[:, : self.low_bits] = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return (ones.astype(np.uint64) << np.uint64(self.low_bits)) | np.packbits(low, axis=1, bitorder="little").view("<u8").reshape(-1)
+
+class EliasFano:
+    """A rising sequence in two buffers: the low bits of each number packed, the high bits in unary; read in place."""
+
+    def __init__(self, a: np.ndarray) -> None:
+        n, top = len(a), int(a[-1]) + 1 if len(a) else 1
+        self.n, self.bits = n, max(0, (top // max(n, 1)).bit_length() - 1)
+        self.mask = np.uint64((1 << self.bits) - 1)
+        low = np.unpackbits((a & self.mask).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : self.bits]
+        high = np.zeros(n + (top >> self.bits) + 1, bool)
+        high[(a >> np.uint64(self.bits)).astype(np.int64) + np.arange(n)] = True
+        self.low, self.high, self.rows = _words(low.reshape(-1)), _words(high), (top >> self.bits) + 1
+        ones = np.r_[0, np.cumsum(np.bitwise_count(self.high), dtype=np.int64)[:-1]]
+        self.ones, self.zeros = ones, np.arange(len(ones)) * 64 - ones
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        at, shift = i * self.bits >> 6, (i * self.bits & 63).astype(np.uint64)
+        over = np.where(shift > 0, self.low[at + 1] << (np.uint64(64) - shift & np.uint64(63)), np.uint64(0))
+        return (self.low[at] >> shift | over) & self.mask
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at these places: the i-th set bit of the high part stands i places beyond the high bits' number."""
+        high = (_select(self.high, self.ones, i) - i).astype(np.uint64)
+        return high << np.uint64(self.bits) | (self._low(i) if self.bits else np.uint64(0))
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Places of the first numbers that are no smaller, n if there is none: the numbers of one row of the high part stand between two of its zeros, and are searched by their low bits."""
+        row = np.minimum(x >> np.uint64(self.bits), np.uint64(self.rows)).astype(np.int64)
+        inside = np.minimum(row, self.rows - 1)
+        zeros = ~self.high
+        first = np.where(inside > 0, _select(zeros, self.zeros, np.maximum(inside - 1, 0)) - np.maximum(inside - 1, 0), 0)
+        last = _select(zeros, self.zeros, inside) - inside
+        first = np.where(row < self.rows, first, self.n)
+        last = np.where(row < self.rows, last, self.n)
+        low = x & self.mask
+        while (open_ := first < last).any():
+            middle = (first + last) >> 1
+            less = open_ & (self._low(np.minimum(middle, max(self.n - 1, 0))) < low)
+            first, last = np.where(less, middle + 1, first), np.where(open_ & ~less, middle, last)
+        return first
 
 
 class Trie:
@@ -65,35 +104,37 @@ class Trie:
     def __init__(self, contexts: np.ndarray, successors: np.ndarray, share: np.ndarray) -> None:
         """Pairs sorted by context and successor, with their discounted share of the context."""
         first = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(contexts) else np.zeros(0, np.int64)
-        self.contexts = EliasFano.of(contexts[first])
-        self.pointers = EliasFano.of(np.r_[first, len(contexts)].astype(np.uint64))
+        self.contexts = EliasFano(contexts[first])
+        self.pointers = EliasFano(np.r_[first, len(contexts)].astype(np.uint64))
         self.width = np.uint64(int(successors.max()) + 1 if len(successors) else 1)
         place = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.r_[first, len(contexts)]))
-        self.successors = EliasFano.of(place * self.width + successors)
+        self.successors = EliasFano(place * self.width + successors)
         levels = np.unique(share.astype(np.float32))
         if len(levels) > CODES:
             levels = np.geomspace(levels[0], levels[-1], CODES)
         self.levels = np.r_[np.float32(0), levels].astype(np.float32)
         self.codes = np.clip(np.searchsorted(self.levels, share.astype(np.float32), "right") - 1, 0, CODES).astype(np.uint8)
 
-    def reader(self):
-        """A search over many pairs at once: the code of each, 0 for a pair that the trie lacks."""
-        contexts, ends, all_ = self.contexts.values(), self.pointers.values().astype(np.int64), self.successors.values()
-
-        def search(context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-            if not len(all_):
-                return np.zeros(len(context), np.uint8)
-            c = np.searchsorted(contexts, context)
-            known = (np.minimum(c, len(contexts) - 1) == c) & (successor < self.width)
-            c = np.minimum(c, len(contexts) - 1)
-            known &= contexts[c] == context
-            wanted = c.astype(np.uint64) * self.width + np.where(known, successor, 0)
-            at = np.searchsorted(all_, wanted)
-            known &= (at >= ends[c]) & (at < ends[c + 1])
-            at = np.minimum(at, len(all_) - 1)
-            return np.where(known & (all_[at] == wanted), self.codes[at], 0).astype(np.uint8)
-
-        return search
+    def search(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """The code of each pair, 0 for a pair that the trie lacks."""
+        out = np.zeros(len(context), np.uint8)
+        if self.successors.n:
+            for at in range(0, len(context), ASKED):
+                part = slice(at, at + ASKED)
+                out[part] = self._search(context[part], successor[part])
+        return out
+
+    def _search(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        c, of = np.unique(context, return_inverse=True)
+        place = self.contexts.successor(c)
+        own = np.minimum(place, self.contexts.n - 1)
+        known = ((place < self.contexts.n) & (self.contexts[own] == c))[of] & (successor < self.width)
+        first, end = (self.pointers[own + x].astype(np.int64)[of] for x in (0, 1))
+        wanted = own.astype(np.uint64)[of] * self.width + np.where(known, successor, np.uint64(0))
+        at = self.successors.successor(wanted)
+        known &= (at >= first) & (at < end)
+        at = np.minimum(at, self.successors.n - 1)
+        return np.where(known & (self.successors[at] == wanted), self.codes[at], 0).astype(np.uint8)
 
 
 class _Local(dict):
@@ -143,6 +184,7 @@ def _blocks(kind: pa.DataType, least: int):
 BLOCK_NAMES = ["block", "ids", "sizes", "train", "tokens", "hashes", "counts"]
 BLOCK_TYPES = "sizes binary, train binary, tokens binary, hashes binary, counts binary"
 
+
 def _word_messages(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,8 +289,7 @@ def _pair_shard(prior: float):
         new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(v) else np.zeros(0, np.int64)
         c = np.add.reduceat(c, new) if len(v) else c
         trie = Trie(v[new].astype(np.uint64), w[new].astype(np.uint64), c / (of[new] + prior))
-        search = trie.reader()
-        return messages([(shard, block, pack(search(x.astype(np.uint64), y.astype(np.uint64))), trie.levels.tobytes(), None, None) for block, x, y, _, _ in asked])
+        return messages([(shard, block, pack(trie.search(x.astype(np.uint64), y.astype(np.uint64))), trie.levels.tobytes(), None, None) for block, x, y, _, _ in asked])
 
     return run
 

@@ -169,16 +169,27 @@ def test_lm(spark):
             assert r.score == pytest.approx(want, abs=0.03 * r.n_tokens)
 
 
+@pytest.mark.parametrize("top", [1, 3, 1000, 10**6, 2**62])
+def test_elias_fano_is_read_and_searched_in_place(top):
+    rng = np.random.default_rng(top % 97)
+    for n in (0, 1, 2, 63, 64, 65, 3000):
+        a = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+        held = lm.EliasFano(a)
+        assert (held[np.arange(n)] == a).all()
+        asked = np.r_[rng.integers(0, top, 500).astype(np.uint64), a, a + np.uint64(1), np.array([0, top, 2 * top], np.uint64)]
+        assert (held.successor(asked) == np.searchsorted(a, asked)).all()
+
+
 def test_trie_and_packing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000):
         a = np.sort(rng.integers(0, 10**9, n)).astype(np.uint64)
-        assert (lm.EliasFano.of(a).values() == a).all() and (unpack_rising(pack_rising(a)) == a).all() and (unpack(pack(a)) == a).all()
+        assert (unpack_rising(pack_rising(a)) == a).all() and (unpack(pack(a)) == a).all()
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 300, (4000, 2))})
     v, w = (np.array(x, np.uint64) for x in zip(*pairs))
     trie = lm.Trie(v, w, np.linspace(0.01, 0.9, len(v)))
-    search, ask = trie.reader(), rng.integers(0, 310, (5000, 2)).astype(np.uint64)
-    codes = search(ask[:, 0], ask[:, 1])
+    ask = rng.integers(0, 310, (5000, 2)).astype(np.uint64)
+    codes = trie.search(ask[:, 0], ask[:, 1])
     assert [bool(x) for x in codes] == [(int(a), int(b)) in set(pairs) for a, b in ask]
 
 
