@@ -203,7 +203,8 @@ def test_license_scan(spark):
 def test_imatch(spark):
     docs = [(i * 3, t) for i, t in enumerate(["one two three four " * 5, "zeta", "", "x" * 9, "one two three four " * 5, LONG])]
     rng = random.Random(9)
-    docs += [(100 + i, " ".join(f"w{rng.randint(0, 500)}" for _ in range(200))) for i in range(40)]
+    # of 4000 words each is in about two texts, inside the band; of 500 none would be
+    docs += [(100 + i, " ".join(f"w{rng.randint(0, 4000)}" for _ in range(200))) for i in range(40)]
     out = {r.doc_id: r for r in imatch.edited_likeness(table(spark, docs)).collect()}
     for (i, t), (_, nxt) in zip(docs, [*docs[1:], docs[0]]):
         k = len(t) // 4
