@@ -58,12 +58,12 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"".join(blocks)[-size:] or b"\0" * 8
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression by Newton steps with a little ridge."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression of weighted rows by Newton steps with a little ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ (y - p) - 1e-3 * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ (weight * (y - p)) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -81,8 +81,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     A bounded sample is taken: of either label the ``sample // 2`` identifiers with
     the smallest hash, and of each text at most ``text_chars`` characters from a
     random place; so the driver gets at most ``sample`` pieces. Half of either side
-    trains its dictionary, the other half fits the curve. Null labels and
-    identifiers don't count. With a side missing the score is 0.5 throughout.
+    trains its dictionary, the other half fits the curve, where each side weighs as
+    much as it does among all the rows that could be learnt; so the bound doesn't
+    move the scores' level. Null labels and identifiers don't count. With a side
+    missing the score is 0.5 throughout.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("label")).where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.dropDuplicates().withColumn("key", F.xxhash64("id"))
@@ -99,7 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     sides = _sides(model.good, model.bad)
     x = np.array([_features(t, sides) for t in good_rest + bad_rest])
     y = np.r_[np.ones(len(good_rest)), np.zeros(len(bad_rest))]
-    return Model(model.good, model.bad, _fit_curve(x, y))
+    every = docs.select(F.col(doc_id).alias("doc_id")).join(known, F.col("doc_id") == F.col("id")).groupBy("label").count()
+    count = {r.label: r["count"] for r in every.collect()}
+    share = count[1] / (count[1] + count[0])
+    weight = len(y) * np.where(y == 1, share / len(good_rest), (1 - share) / len(bad_rest))
+    return Model(model.good, model.bad, _fit_curve(x, y, weight))
 
 
 def scorer(model: Model):

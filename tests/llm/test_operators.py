@@ -408,3 +408,16 @@ def test_quality_held_out(spark):
     assert right / len(out) > 0.9
     none = quality.fit(docs, labels.where("quality = 1"))
     assert {r.score for r in quality.score(docs.limit(5), none).collect()} == {0.5}
+
+
+def test_quality_level_does_not_follow_the_sample_bound(spark):
+    """Scores keep to the share of good rows whether all rows are sampled, at about six to one, or as many of either side."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).select("doc_id", "text", "quality")
+    right = held.agg(F.avg("quality")).first()[0]
+    seen = {}
+    for sample in (6000, 600):
+        scored = quality.score(held, quality.fit(docs, labels, sample=sample))
+        seen[sample] = scored.agg(F.avg("score")).first()[0]
+        assert abs(seen[sample] - right) < 0.03, (sample, seen, right)
+    assert abs(seen[6000] - seen[600]) < 0.03
