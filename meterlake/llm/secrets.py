@@ -2,8 +2,8 @@
 
 A worklist holds the layers of a text: the text itself, then what its URL
 escapes, Unicode escapes, base64 tokens and compressed payloads unwrap to, and
-what those unwrap to in turn, until nothing new comes. A layer seen before is
-not opened again, so cycles end. Every layer is scanned by the same rules, and
+what those unwrap to in turn, until nothing new comes. A layer seen before at the
+same place is not opened again, so cycles end. Every layer is scanned by the same rules, and
 its finds are mapped back to code points of the original text.
 """
 
@@ -60,6 +60,13 @@ def _back(origin: Origin, start: int, end: int) -> tuple[int, int]:
     return int(origin[0][start]), int(origin[1][end - 1])
 
 
+def _place(origin: Origin) -> Origin | bytes:
+    """What tells where a layer comes from: equal layers of other places are layers of their own."""
+    if origin is None or isinstance(origin[0], int):
+        return origin
+    return hashlib.sha256(origin[0].astype(np.int64).tobytes() + origin[1].astype(np.int64).tobytes()).digest()
+
+
 def _each(origin: Origin, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each character of a stretch of a layer comes from."""
     if origin is None:
@@ -142,7 +149,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     work: list[tuple[str, Origin]] = [(text, None)]
     while work:
         layer, origin = work.pop()
-        mark = hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), origin if origin and isinstance(origin[0], int) else None
+        mark = hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), _place(origin)
         if mark in seen:
             continue
         seen.add(mark)

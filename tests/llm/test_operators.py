@@ -401,6 +401,13 @@ def test_secret_layers():
     assert secrets.scan("%25%2525 plain " + "QUFB" * 10) == ([], [])
 
 
+def test_secret_layers_that_occur_twice():
+    inner = base64.b64encode(b"token%3Dabcdef123456").decode()
+    text = f"one {inner} two {inner} three"
+    spans = secrets.scan(text)[1]
+    assert [(a, b) for a, b, _ in spans] == [(4, 4 + len(inner)), (9 + len(inner), 9 + 2 * len(inner))]
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality.score(docs, quality.fit(docs, labels)).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).collect()
