@@ -374,13 +374,104 @@ def test_secret_base_rules():
         assert set(base) <= set(spans)
 
 
-def test_secret_payloads_stay_bounded():
+def plain_layers(text):
+    """All spans by plain recursion: a layer is a list of (character, start, end), and every layer is opened in full."""
+    import re
+
+    found = set()
+
+    def visit(layer, above):
+        flat = "".join(c for c, _, _ in layer)
+        if (flat, layer[0][1:] if layer else 0) in above:
+            return
+        above = above | {(flat, layer[0][1:] if layer else 0)}
+        found.update((layer[a][1], layer[b - 1][2], kind) for kind, a, b in plain_secrets(flat))
+        out, at, undone = [], 0, False
+        for m in re.finditer(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}", flat):  # texts of this test hold ASCII escapes only
+            out += layer[at : m.start()] + [(chr(int(m[0][-2:] if m[0][0] == "%" else m[0][2:], 16)), layer[m.start()][1], layer[m.end() - 1][2])]
+            at, undone = m.end(), True
+        if undone:
+            visit(out + layer[at:], above)
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}", flat):
+            body = m[0].replace("-", "+").replace("_", "/")
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            data, end = base64.b64decode(body + "=" * (-len(body) % 4)), m.end()
+            while end < min(len(flat), m.end() + 2) and flat[end] == "=":
+                end += 1
+            try:
+                while data[:2] in (b"\x1f\x8b", b"x\x9c"):  # what is cut off unpacks as far as it goes
+                    data = zlib.decompressobj(47).decompress(data)
+            except zlib.error:
+                pass
+            span = layer[m.start()][1], layer[end - 1][2]
+            visit([(c, *span) for c in data.decode("utf-8", "replace")], above)
+
+    visit([(c, i, i + 1) for i, c in enumerate(text)], frozenset())
+    return sorted(((a, b, secrets.KINDS.index(k)) for a, b, k in found), key=lambda s: (s[0], s[2], s[1]))
+
+
+def nested(rng, depth):
+    text = rng.choice(["token=abc123def", "AKIA" + "B" * 18, "0123456789abcdef" * 2, "plain words", "é ü", "secret : 'zyxwvu98'"])
+    for _ in range(rng.randint(0, depth)):
+        text = rng.choice([
+            lambda t: "".join(f"%{ord(c):02x}" if c in " =:'%" else c for c in t),
+            lambda t: "".join(f"\\u{ord(c):04x}" if c in "aeT=\\" else c for c in t),
+            lambda t: base64.b64encode(t.encode()).decode(),
+            lambda t: base64.urlsafe_b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+            lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+            lambda t: "one " + t + ", two " + t,
+        ])(text)
+    return text
+
+
+def test_secret_layers_against_plain_recursion():
+    rng, found = random.Random(3), 0
+    for _ in range(400):
+        text = " ".join(nested(rng, 5) for _ in range(3))
+        spans = secrets.scan(text)[1]
+        assert spans == plain_layers(text), text
+        found += len(spans)
+    assert found > 1000
+
+
+def test_secret_escapes_deeper_than_counted():
+    """Past the counted layers the rest is undone in one pass, to the same last layer."""
+    for n in (3, secrets.DEPTH + 5):
+        text = "see token%" + "25" * n + "3Dabcd%" + "25" * n + "65f12 end"
+        assert (4, text.index(" end"), 0) in secrets.scan(text)[1]
+    assert "".join(secrets._settled("%C3%A9\\ud83d\\ude00%5Cu0041%%34%31%ff", None)[0]) == "é😀A%A�".replace("%A", "A")
+    big = "%" + "25" * 500_000
+    secrets.scan(big)  # in seconds: linear in its length
+
+
+def test_secret_payloads_are_read_to_their_end(monkeypatch):
     import zstandard
 
-    bomb = zstandard.ZstdCompressor().compress(b"a" * (secrets.UNPACKED + 999))
-    assert len(secrets._unpacked(bomb)) == secrets.UNPACKED
+    zstd = zstandard.ZstdCompressor().compress
     inner = zlib.compress(gzip.compress(b"token=abcdef1"))
-    assert secrets._unpacked(zstandard.ZstdCompressor().compress(inner)) == b"token=abcdef1"
+    assert b"".join(secrets._unpacked(zstd(inner))) == b"token=abcdef1"
+    assert b"".join(secrets._unpacked(b"x^ no payload at all")) == b"x^ no payload at all"
+    secret = b"token=abcdef12"
+    whole = b"words, and " * 2_000_000 + secret  # over 16 MB
+    for data in (gzip.compress(whole), zlib.compress(whole), zstd(whole), gzip.compress(b"a, b") + gzip.compress(secret), zstd(b"a, b ") + zstd(secret), gzip.compress(zstd(whole)), b"\xff \xfe" + secret):
+        text = "see " + base64.b64encode(data).decode()
+        assert [s for s in secrets.scan(text)[1] if s[2] == 0] == [(4, len(text), 0)]
+    for blank in "\u00a0\u3000\ufeff\u200b\x0c\x00":
+        assert secrets.scan(base64.b64encode(f"it is{blank}token=abcdef12".encode()).decode())[1]
+    lines = base64.encodebytes(gzip.compress(bytes(random.Random(1).randbytes(200)).hex().encode() + b" token=abcdef12")).decode()
+    assert lines.count("\n") > 2 and (0, len(lines) - 1, 0) in secrets.scan(lines)[1]
+    monkeypatch.setattr(secrets, "WINDOW", 64)  # windows end where no find goes on, so they change nothing
+    rng = random.Random(4)
+    for _ in range(200):
+        body = " ".join(rng.choice(["token = abcdef12", "secret", ":", "zzzzzz", "password", "'q1w2e3r4'", "AKIA" + "C" * 20, "0123456789abcdef" * 3, "é", "a b c", "%41%25", "word,"]) for _ in range(40))
+        packed = base64.b64encode(gzip.compress(body.encode())).decode()
+        assert {k for _, _, k in secrets.scan(packed)[1]} == {k for _, _, k in secrets.scan(body)[1]}, body
+
+
+def test_secret_scan_keeps_large_identifiers_beside_null(spark):
+    ids = [2**53 + 1, 2**53 + 3, None]
+    rows = secrets.secret_scan(spark.createDataFrame([(i, "token=abcdef") for i in ids], "doc_id long, text string").coalesce(1)).collect()
+    assert [r.doc_id for r in rows] == ids
 
 
 def test_secret_layers():
