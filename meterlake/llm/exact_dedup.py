@@ -2,11 +2,13 @@
 
 Sampled splitters over the leading characters cut the normalised texts into
 ranges, and within a range whole texts are sorted, so equal texts are neighbours
-and a run of equals is found by comparing whole neighbouring keys. A text with
-very many copies, or a beginning that very many texts share, spreads over several
-ranges, because a salt drawn from the identifier is the second key; what the runs
-of one text found is then put together by the text's SHA-256, on rows without
-text, at most one for each salt.
+and a run of equals is found by comparing whole neighbouring texts. Equal texts
+begin alike, so they all lie in one range and their run is the whole group.
+
+A beginning that would fill a good part of a range is hot: its texts are dealt over
+several ranges by a salt drawn from the identifier, and only for them what the runs
+of one text found is put together by the text's SHA-256, on rows without text, at
+most one for each salt.
 """
 
 from __future__ import annotations
@@ -20,6 +22,14 @@ from .common import durable, slim, tasks
 
 #: Leading characters that splitters are made of; the driver gets a sample of these, never whole texts.
 LEAD = 32
+#: A beginning is hot if its texts have more than this part of what a range holds on average.
+HOT = 1 / 4
+
+
+def hot_leads(base: DataFrame, ranges: int) -> DataFrame:
+    """``lead``: the hot beginnings of rows ``lead, body``, of which there can't be more than ranges / HOT."""
+    weights = base.groupBy("lead").agg(F.sum(F.length("body") + LEAD).alias("weight"))
+    return weights.join(F.broadcast(weights.agg(F.sum("weight").alias("all"))), F.col("weight") > F.col("all") * (HOT / ranges)).select("lead")
 
 
 def exact_dedup(
@@ -43,30 +53,28 @@ def exact_dedup(
     best = F.max if keep == "largest" else F.min
     n = tasks(docs)
     base = slim(docs, doc_id, text)
-    base = base.select(
-        "doc_id",
-        (normalise(F.col("text")) if normalise else F.col("text")).alias("body"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("salt"),
-    ).withColumn("lead", F.substring("body", 1, LEAD))
+    base = base.select("doc_id", (normalise(F.col("text")) if normalise else F.col("text")).alias("body")).withColumn("lead", F.substring("body", 1, LEAD))
+    hot = F.broadcast(hot_leads(base, n).withColumn("hot", F.lit(True)))  # a row for each, 4 to a range at most
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(n)) + 1).otherwise(0)
     run = Window.partitionBy("body", "salt", "lead")
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
-    runs = base.repartitionByRange(n, "lead", "salt").select(
-        "doc_id",
-        "salt",
-        F.unhex(F.sha2("body", 256)).alias("digest"),
-        F.row_number().over(run.orderBy(order)).alias("place"),
-        best("doc_id").over(run).alias("run_best"),
-        F.count(F.lit(1)).over(run).alias("run_size"),
+    runs = base.join(hot, "lead", "left").withColumn("salt", salt).repartitionByRange(n, "lead", "salt")
+    runs = durable(
+        runs.select(
+            "doc_id",
+            "salt",
+            F.unhex(F.sha2("body", 256)).alias("digest"),
+            F.row_number().over(run.orderBy(order)).alias("place"),
+            best("doc_id").over(run).alias("keep_id"),
+            F.count(F.lit(1)).over(run).alias("group_size"),
+        )
     )
-    runs = durable(runs)
     group = Window.partitionBy("digest")  # a row for each salt at most
-    heads = runs.where("place = 1").select(
-        "digest",
-        "salt",
-        best("run_best").over(group).alias("keep_id"),
-        F.sum("run_size").over(group).alias("group_size"),
+    heads = runs.where("salt > 0 AND place = 1").select(
+        "digest", "salt", best("keep_id").over(group).alias("keep_id"), F.sum("group_size").over(group).alias("group_size")
     )
-    return runs.join(heads, ["digest", "salt"]).select(
+    stitched = runs.where("salt > 0").drop("keep_id", "group_size").join(heads, ["digest", "salt"])
+    return runs.where("salt = 0").unionByName(stitched).select(
         "doc_id",
         "keep_id",
         "group_size",

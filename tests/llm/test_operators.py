@@ -75,6 +75,28 @@ def test_exact_dedup(spark, edges):
     assert {r.keep_id for r in small.collect() if r.doc_id in (1, 4)} >= {1}
 
 
+def test_exact_dedup_finds_cold_copies_by_neighbours_alone(spark, monkeypatch):
+    """With every digest the same, groups of cold beginnings are the same as ever."""
+    texts = {i: f"{i % 70} words of text number {i % 70}" for i in range(210)}
+    docs = table(spark, list(texts.items()))
+    assert exact_dedup.hot_leads(docs.select(F.substring("text", 1, 32).alias("lead"), F.col("text").alias("body")), 4).count() == 0
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, bits: F.lit("00"))
+    out = exact_dedup.exact_dedup(docs).collect()
+    assert len(out) == 210 and all(r.keep_id == r.doc_id % 70 and r.group_size == 3 and r.kept == (r.doc_id < 70) for r in out)
+
+
+def test_exact_dedup_of_a_text_that_half_of_all_rows_share(spark):
+    texts = {i: "the same beginning of every text, then the same end" if i % 2 else f"the same beginning of every text, then {i % 100}" for i in range(800)}
+    docs = table(spark, list(texts.items()))
+    assert exact_dedup.hot_leads(docs.select(F.substring("text", 1, 32).alias("lead"), F.col("text").alias("body")), 4).count() == 1
+    best = collections.defaultdict(list)
+    for i, t in texts.items():
+        best[t].append(i)
+    for r in exact_dedup.exact_dedup(docs, keep="largest").collect():
+        group = best[texts[r.doc_id]]
+        assert (r.keep_id, r.group_size, r.kept) == (max(group), len(group), r.doc_id == max(group))
+
+
 def test_bpe_long_words_merge_in_the_order_of_short_ones(monkeypatch):
     codec = bpe.Codec(bpe.read_vocabulary(queries.vocabulary_path()))
     rng = random.Random(5)
