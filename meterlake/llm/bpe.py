@@ -33,6 +33,18 @@ LONG = 512
 REMEMBERED = 400_000
 #: Rows of one output batch.
 ROWS = 256
+#: Code points that are letters or digits only since a later Unicode version (17 on) than the one by which the vocabulary's words are split (16).
+LATER = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee
+11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20
+18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2
+1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+#: Capitals of Unicode 16 and 17 and their small letters, which Python's tables (15.1) may not know yet.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: Stands for the later ones while a text is split; neither letter nor digit in any version.
+PRIVATE = "\ue000"
 
 
 def byte_letters() -> list[str]:
@@ -64,6 +76,8 @@ class Codec(dict):
         self.final = [ids[c + self.end] for c in letters]
         split = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        self.later = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in LATER.split()) + "]")
+        self.capitals = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.squeezed = any(n["type"] == "Lowercase" for n in file["normalizer"]["normalizers"])
 
@@ -117,8 +131,14 @@ class Codec(dict):
     def _plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text)
         if self.squeezed:
-            text = text.replace("Σ", "σ").lower()  # letter by letter, so no final sigma
-        return b"".join(map(self.__getitem__, self.words.findall(text)))
+            if not text.isascii():
+                text = self.capitals.sub(lambda m: chr(CAPITALS[ord(m[0])]), text).replace("Σ", "σ")  # letter by letter, so no final sigma
+            text = text.lower()
+        if not text.isascii() and self.later.search(text):
+            words = [text[m.start() : m.end()] for m in self.words.finditer(self.later.sub(PRIVATE, text))]
+        else:
+            words = self.words.findall(text)
+        return b"".join(map(self.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit integers."""

@@ -109,6 +109,20 @@ def test_bpe_long_words_merge_in_the_order_of_short_ones(monkeypatch):
     assert len(codec["a" * 300_000]) > 0
 
 
+def test_bpe_splits_every_code_point_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    codec = bpe.Codec(bpe.read_vocabulary(queries.vocabulary_path()))
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        for t, e in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(codec.encode(t), "<u4").tolist() == e.ids, hex(ord(t[1]))
+
+
 def test_bpe_matches_library_and_round_trips(spark):
     from tokenizers import Tokenizer
 
