@@ -29,8 +29,9 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("s"))
-        e = durable(small.select("s.a", "s.b").where("a != b").distinct())
+        smaller = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        own = least.select("a", F.col("m").alias("b"))  # once for each node, not for each of its links
+        e = durable(smaller.unionAll(own).where("a != b").distinct())
         if mark == (mark := _rounds_alike(e)):
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
