@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ def kst(ts: Column) -> Column:
     return ts + F.expr(f"INTERVAL {KST_HOURS} HOURS")
 
 
+def starts(date: str, later: int = 0) -> Column:
+    """The UTC instant at which a day, or one so many days later, begins in Korea."""
+    at = dt.datetime.fromisoformat(date) + dt.timedelta(days=later, hours=-KST_HOURS)
+    return F.lit(f"{at:%Y-%m-%d %H:%M:%S}").cast("timestamp_ntz")
+
+
+def days_before(date: str, n: int) -> str:
+    return (dt.date.fromisoformat(date) - dt.timedelta(n)).isoformat()
+
+
 def day(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,12 @@ def window_label(window: Column) -> Column:
     return F.coalesce(named, F.when(window == "five_hour", "5h").when(window == "seven_day", "7d"), F.replace(window, F.lit("_"), F.lit(" ")))
 
 
+def few(rows: DataFrame, column: str, most: int = 10_000) -> DataFrame:
+    """One row: the distinct values of a column as an array, to be broadcast; more than ``most`` are an error, not a larger broadcast."""
+    n = F.size(column)
+    return rows.agg(F.sort_array(F.collect_set(column)).alias(column)).select(F.when(n <= most, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"too many values of {column}: "), n.cast("string")))).alias(column))
+
+
 def device_label(keys: list[str], order: str) -> Column:
     """Device 1, 2, … of a person, by the order given."""
     return F.concat(F.lit("Device "), F.dense_rank().over(Window.partitionBy(*keys).orderBy(order)).cast("string"))
@@ -26,7 +32,18 @@ def report_tool(product: Column) -> Column:
     return F.when(slug == "claude_code", "claude_code").otherwise(F.concat(F.lit("claude_"), F.regexp_replace(slug, "^claude_", "")))
 
 
-def family_of(model: Column, priced: Column) -> Column:
-    """A model's family: that of its price, else the first run of letters in its name."""
-    run = F.regexp_extract(F.lower(model), "[a-z]+", 0)
-    return F.coalesce(priced, F.when(run != "", run), F.lit("unknown"))
+#: What names of models hold that tells their family, the first that fits, and names that are no model's.
+FAMILIES = (("opus", "opus"), ("sonnet", "sonnet"), ("haiku", "haiku"), ("fable", "fable"), ("mythos", "fable"), ("codex", "gpt"), ("gpt", "gpt"), ("gemini", "gemini"), ("grok", "grok"), ("deepseek", "deepseek"), ("qwen", "qwen"))
+NO_MODEL = ("default", "premium", "auto", "unknown", "composer", "")
+
+
+def family_of(model: Column, priced: Column | None = None) -> Column:
+    """A model's family, null for what names no model: by a word in its name, else that of its price, else the first run of letters."""
+    name = F.trim(F.lower(model))
+    out = F.when(name.isin(*NO_MODEL), F.lit(None).cast("string"))
+    for word, family in FAMILIES:
+        out = out.when(F.contains(name, F.lit(word)), family)
+    run = F.regexp_extract(name, "[a-z]+", 0)
+    own = F.lower(priced) if priced is not None else F.lit(None).cast("string")
+    own = F.when(own.startswith("gpt"), "gpt").when(own != "cursor-default", own)
+    return out.otherwise(F.coalesce(own, F.when(run != "", run), name))

@@ -64,12 +64,18 @@ def match_prices(facts: DataFrame, prices: DataFrame) -> DataFrame:
     return facts.join(found, ["model", "tool", "date"], "left")
 
 
-def reference_rates(prices: DataFrame, dates: DataFrame, family: str = REFERENCE) -> DataFrame:
-    """``date, ref_*``: the family's latest rates by that day, or its earliest if none is in force yet."""
-    own = F.broadcast(prices.where(F.col("family") == family).select("priority", "effective_from", *[F.col(r).alias(f"ref_{r}") for r in RATES]))
-    past = F.col("effective_from") <= F.col("date")
-    rank = Window.partitionBy("date").orderBy(past.desc(), F.when(past, F.datediff(F.lit("9999-12-31").cast("date"), F.to_date("effective_from"))).otherwise(F.datediff(F.to_date("effective_from"), F.lit("1970-01-01").cast("date"))), "priority")
-    return dates.select("date").distinct().join(own).withColumn("place", F.row_number().over(rank)).where("place = 1").drop("place", "priority", "effective_from")
+def reference_rates(facts: DataFrame, prices: DataFrame, family: str = REFERENCE) -> DataFrame:
+    """``facts`` with ``ref_*``: the family's latest rates by each fact's day, or its earliest if none is in force yet.
+
+    The family's versions, a few rows of the price table, meet the facts as one array.
+    """
+    rates = F.struct(*[F.col(r).alias(f"ref_{r}") for r in RATES])
+    version = F.struct("effective_from", (-F.col("priority")).alias("rank"), rates.alias("rates"))
+    own = prices.where(F.col("family") == family).agg(F.sort_array(F.collect_list(version)).alias("versions"))
+    past = F.filter("versions", lambda v: v["effective_from"] <= F.col("date"))
+    first = F.filter("versions", lambda v: v["effective_from"] == F.col("versions")[0]["effective_from"])
+    chosen = F.element_at(F.when(F.size(past) > 0, past).otherwise(first), -1)["rates"]
+    return facts.join(F.broadcast(own)).withColumn("ref", chosen).select(*[facts[c] for c in facts.columns], "ref.*")
 
 
 def convert(basis: str, unit: str) -> Column:

@@ -76,6 +76,21 @@ def member_status(members: DataFrame, health: DataFrame, now: Column, *, odd_lin
     return members.join(own, F.lower("email") == F.col("mail"), "left").select("member_id", "name", "seen", label.alias("label"))
 
 
+def health_warnings(readings: DataFrame) -> DataFrame:
+    """Readings ``machine_id, parser, date, files, sessions, odd`` to the latest of each parser, with the week before and ``warn``.
+
+    A parser warns if it read as many files as usual and gave no session, or if it
+    met five or more odd lines, a fifth more than usual. Without a reading in the
+    seven days before there is no usual, and no warning.
+    """
+    own = Window.partitionBy("machine_id", "parser")
+    before = own.orderBy(F.unix_date(F.to_date("date"))).rangeBetween(-7, -1)
+    h = readings.select("*", F.avg("files").over(before).alias("files_before"), F.avg("odd").over(before).alias("odd_before"), F.max("date").over(own).alias("last"))
+    silent = (F.col("files") > 0) & (F.col("files") >= F.col("files_before")) & (F.col("sessions") == 0)
+    jump = (F.col("odd") >= 5) & (F.col("odd") / F.greatest(F.lit(1.0), "odd_before") > 1.2)
+    return h.where("date = last").withColumn("warn", F.col("odd_before").isNotNull() & (silent | jump)).drop("last")
+
+
 def tool_status(tools: DataFrame, sources: DataFrame, earlier: DataFrame) -> DataFrame:
     """Every tool with its records, conflicts and a label, gravest first.
 
@@ -83,7 +98,7 @@ def tool_status(tools: DataFrame, sources: DataFrame, earlier: DataFrame) -> Dat
     names tools with rows from before records were kept. No row of a tool is no
     proof of no use, so it is unknown.
     """
-    s = tools.join(sources.withColumn("source", F.lit(True)), "tool", "left").join(F.broadcast(earlier.select("tool").distinct().withColumn("earlier", F.lit(True))), "tool", "left")
+    s = tools.join(sources.withColumn("source", F.lit(True)), "tool", "left").join(earlier.select("tool").distinct().withColumn("earlier", F.lit(True)), "tool", "left")
     none = F.coalesce("records", F.lit(0)) == 0
     label = F.when(F.col("conflicts") > 0, "conflict").when(F.col("error"), "read error").when(none & F.col("earlier"), "earlier records")
     label = label.when(F.col("source").isNull(), "unknown").when(none, "check source").when(F.col("unverified") > 0, "received, to be compared").otherwise("received")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import spine
 from ..functions.pricing import convert, match_prices, reference_rates, seed_prices
+from ..functions.labels import few
 from ..functions.semantics import KNOWN, METRICS, UNSUPPORTED, observe
 from ..sources.telemetry import daily_usage, hourly_usage, roster
 from .registry import CTES, query
@@ -51,7 +52,7 @@ def shown(spark: SparkSession, facts: DataFrame, unit: str = "usd", basis: str =
         seen = seen.withColumn(m, F.col(f"o_{m}.value"))
     seen = seen.withColumn("requests", F.col("o_requests.value"))
     p = seed_prices(spark)
-    seen = match_prices(seen, p).join(F.broadcast(reference_rates(p, facts)), "date", "left").withColumn("c", convert(basis, unit))
+    seen = reference_rates(match_prices(seen, p), p).withColumn("c", convert(basis, unit))
     measured = F.coalesce(*METRICS).isNotNull()
     status = [F.col(f"o_{m}.status") for m in METRICS]
     every = lambda *ok: F.forall(F.array(*status), lambda s: s.isin(*ok))
@@ -89,6 +90,17 @@ def display_tool_summary(spark: SparkSession, d: str) -> DataFrame:
     return shown(spark, daily_usage(spark, d)).groupBy("tool").agg(*added_up())
 
 
+@query("requests_only_tools", "SELECT tool, sum(v_requests)::BIGINT AS requests FROM shown GROUP BY tool HAVING sum(usd_value) IS NULL AND sum(v_requests) > 0")
+def requests_only_tools(spark: SparkSession, d: str) -> DataFrame:
+    """Tools that report requests and nothing else that has a value."""
+    return requests_only(shown(spark, daily_usage(spark, d)))
+
+
+def requests_only(rows: DataFrame) -> DataFrame:
+    g = rows.groupBy("tool").agg(F.sum("value").alias("v"), F.sum("requests").cast("long").alias("requests"))
+    return g.where("v IS NULL AND requests > 0").select("tool", "requests")
+
+
 @query("display_model_distribution", "SELECT tool, model, round(sum(usd_value), 9) AS value, sum(unpriced)::BIGINT AS unpriced_tokens FROM shown GROUP BY tool, model HAVING coalesce(sum(usd_value), 0) > 0 OR sum(unpriced) > 0")
 def display_model_distribution(spark: SparkSession, d: str) -> DataFrame:
     g = shown(spark, daily_usage(spark, d)).groupBy("tool", "model").agg(F.round(F.sum("value"), 9).alias("value"), F.sum("unpriced").cast("long").alias("unpriced_tokens"))
@@ -98,7 +110,7 @@ def display_model_distribution(spark: SparkSession, d: str) -> DataFrame:
 @query("display_daily_spine", "SELECT s.date, t.tool, round(sum(x.raw_value), 9) AS value, bool_or(x.status = 'unknown') AS some_unknown FROM (SELECT strftime(DATE '2023-12-28' + CAST(range AS INT), '%Y-%m-%d') AS date FROM range(40)) s CROSS JOIN (SELECT DISTINCT tool FROM daily) t LEFT JOIN shown x ON x.date = s.date AND x.tool = t.tool GROUP BY s.date, t.tool")
 def display_daily_spine(spark: SparkSession, d: str) -> DataFrame:
     f = daily_usage(spark, d)
-    cells = spine(spark, "2023-12-28", "2024-02-05").join(F.broadcast(f.select("tool").distinct()))
+    cells = spine(spark, "2023-12-28", "2024-02-05").join(F.broadcast(few(f, "tool"))).withColumn("tool", F.explode("tool"))
     per = shown(spark, f, "raw").groupBy("date", "tool").agg(F.round(F.sum("value"), 9).alias("value"), F.bool_or(F.col("status") == "unknown").alias("some_unknown"))
     return cells.join(per, ["date", "tool"], "left")
 
@@ -127,12 +139,14 @@ def display_heatmap(spark: SparkSession, d: str) -> DataFrame:
     return cells.join(h.groupBy("dow", "hour").agg(F.sum("t").cast("long").alias("tokens")), ["dow", "hour"], "left")
 
 
-@query("display_compare", "WITH a AS (SELECT tool, date >= '2024-01-24' AS now, sum(raw_value) AS v, bool_or(status = 'unknown') AS u, string_agg(DISTINCT source, ',' ORDER BY source) AS s FROM shown WHERE date >= '2024-01-17' AND date < '2024-01-31' GROUP BY ALL) SELECT n.tool, CASE WHEN NOT n.u AND NOT p.u AND n.s = p.s AND p.v > 0 THEN round((n.v - p.v) * 100.0::DOUBLE / p.v, 6) END AS pct, n.u OR p.u AS incomplete FROM a n JOIN a p ON n.tool = p.tool AND n.now AND NOT p.now")
+@query("display_compare", "WITH a AS (SELECT tool, date >= '2024-01-24' AS now, sum(raw_value) AS v, bool_or(status = 'unknown') AS u, string_agg(DISTINCT source, ',' ORDER BY source) AS s, string_agg(DISTINCT date_basis, ',' ORDER BY date_basis) AS b FROM shown WHERE date >= '2024-01-17' AND date < '2024-01-31' GROUP BY ALL) SELECT n.tool, CASE WHEN NOT n.u AND NOT p.u AND n.s = p.s AND n.b = p.b THEN round(n.v - p.v, 6) END AS delta, CASE WHEN NOT n.u AND NOT p.u AND n.s = p.s AND n.b = p.b AND p.v > 0 THEN round((n.v - p.v) * 100.0::DOUBLE / p.v, 6) END AS pct, n.u OR p.u AS incomplete, n.s = p.s AND n.b = p.b AS alike FROM a n JOIN a p ON n.tool = p.tool AND n.now AND NOT p.now")
 def display_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Change against the week before, told only where both weeks are complete and of the same sources."""
-    x = shown(spark, daily_usage(spark, d).where("date >= '2024-01-17' AND date < '2024-01-31'"), "raw").withColumn("now", F.col("date") >= "2024-01-24")
-    a = x.groupBy("tool", "now").agg(F.sum("value").alias("v"), F.bool_or(F.col("status") == "unknown").alias("u"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("s"))
+    """Change against the week before, told only where both weeks are complete, of the same sources and date bases."""
+    x = shown(spark, daily_usage(spark, d, "2024-01-17", "2024-01-30"), "raw").withColumn("now", F.col("date") >= "2024-01-24")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    a = x.groupBy("tool", "now").agg(F.sum("value").alias("v"), F.bool_or(F.col("status") == "unknown").alias("u"), listed("source").alias("s"), listed("date_basis").alias("b"))
     n, p = (a.where("now") if k else a.where("NOT now") for k in (1, 0))
-    n, p = (t.select("tool", *[F.col(c).alias(f"{k}_{c}") for c in "vus"]) for t, k in ((n, "n"), (p, "p")))
-    whole = ~F.col("n_u") & ~F.col("p_u") & (F.col("n_s") == F.col("p_s"))
-    return n.join(p, "tool").select("tool", F.when(whole, share(F.col("n_v") - F.col("p_v"), F.col("p_v"))).alias("pct"), (F.col("n_u") | F.col("p_u")).alias("incomplete"))
+    n, p = (t.select("tool", *[F.col(c).alias(f"{k}_{c}") for c in "vusb"]) for t, k in ((n, "n"), (p, "p")))
+    alike = (F.col("n_s") == F.col("p_s")) & (F.col("n_b") == F.col("p_b"))
+    whole, delta = ~F.col("n_u") & ~F.col("p_u") & alike, F.col("n_v") - F.col("p_v")
+    return n.join(p, "tool").select("tool", F.when(whole, F.round(delta, 6)).alias("delta"), F.when(whole, share(delta, F.col("p_v"))).alias("pct"), (F.col("n_u") | F.col("p_u")).alias("incomplete"), alike.alias("alike"))

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import week
+from ..functions.labels import family_of
+from ..functions.semantics import ratio
 from ..operators import streaks
+from ..operators.maturity import AXES, stages
 from ..sources.telemetry import daily_usage, roster
-from .registry import CTES, query
-from .totals import facts
+from .registry import CTES, FAMILY_SQL, query
+from .scorecards import card
+from .totals import adoption_rate, facts, lead_days, tool_summary
 
 LAST = "2024-01-30"
 # Sparse days, so that streaks break: the event's key decides whether a day counts.
 CTES["act"] = "SELECT DISTINCT member_id, CAST(date AS DATE) AS date FROM ev WHERE member_id IS NOT NULL AND k % 3 = 0"
-CTES["gdays"] = """SELECT member_id, date, sum(input_tokens + output_tokens)::BIGINT * 40 AS tokens, count(*) * 5 AS requests, count(DISTINCT model) AS families, count(DISTINCT tool) AS tools
-  FROM ev WHERE member_id IS NOT NULL AND k % 3 = 0 GROUP BY ALL"""
+CTES["gev"] = f"SELECT *, {FAMILY_SQL.format(model='model', priced='NULL::VARCHAR')} AS family FROM ev WHERE member_id IS NOT NULL AND k % 3 = 0"
+CTES["gdays"] = """SELECT member_id, date, sum(input_tokens + output_tokens)::BIGINT * 40 AS tokens, count(*) * 5 AS requests, count(DISTINCT family) AS families, count(DISTINCT tool) AS tools
+  FROM gev GROUP BY ALL"""
 
 
 def sparse(spark: SparkSession, d: str) -> DataFrame:
@@ -25,8 +30,10 @@ def sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def growth_days(spark: SparkSession, d: str) -> DataFrame:
-    g = sparse(spark, d).groupBy("member_id", "date")
-    return g.agg((F.sum(F.col("input_tokens") + F.col("output_tokens")) * 40).alias("tokens"), (F.count(F.lit(1)) * 5).alias("requests"), F.count_distinct("model").alias("families"), F.count_distinct("tool").alias("tools"))
+    g = sparse(spark, d).withColumn("family", family_of(F.col("model"))).groupBy("member_id", "date")
+    names = lambda c: F.array_sort(F.collect_set(c))  # noqa: E731  a day's few tools and families
+    g = g.agg((F.sum(F.col("input_tokens") + F.col("output_tokens")) * 40).alias("tokens"), (F.count(F.lit(1)) * 5).alias("requests"), names("family").alias("family_names"), names("tool").alias("tool_names"))
+    return g.select("*", F.size("family_names").alias("families"), F.size("tool_names").alias("tools"))
 
 
 @query("streak_calendar", f"WITH i AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY member_id ORDER BY date) AS INT) AS g FROM act), r AS (SELECT member_id, g, count(*) AS n, max(date) AS last FROM i GROUP BY ALL) SELECT member_id, max(n) AS best, coalesce(max(n) FILTER (last >= DATE '{LAST}' - 1), 0) AS current, strftime(max(last), '%Y-%m-%d') AS last_date, concat_ws(',', CASE WHEN max(n) >= 3 THEN '3' END, CASE WHEN max(n) >= 7 THEN '7' END, CASE WHEN max(n) >= 14 THEN '14' END, CASE WHEN max(n) >= 30 THEN '30' END) AS achievements FROM r GROUP BY member_id")
@@ -60,13 +67,15 @@ def growth_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query("growth_full")
 def growth_full(spark: SparkSession, d: str) -> DataFrame:
-    return streaks.growth(growth_days(spark, d), LAST, heal=True)
+    g = streaks.growth(growth_days(spark, d), LAST, heal=True)
+    listed = [F.array_join(c, ",").alias(c) for c in ("milestones", "ornaments")]
+    return g.select(*[c for c in g.columns if c not in ("milestones", "ornaments", "next_milestone", "ember")], *listed, F.col("next_milestone.axis").alias("next_axis"), F.col("next_milestone.remaining").alias("next_remaining"), F.col("ember.kind").alias("ember_kind"), F.col("ember.length").alias("ember_length"))
 
 
 @query("revival")
 def revival(spark: SparkSession, d: str) -> DataFrame:
     r = streaks.revivals(growth_days(spark, d), LAST)
-    return r.select("member_id", F.date_format("since", "yyyy-MM-dd").alias("since"), F.date_format("until", "yyyy-MM-dd").alias("until"), "how", "extra")
+    return r.select("member_id", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("since", "until", "grace")], "needed", "have", "how", "extra")
 
 
 @query("activity_calendar", "SELECT member_id, date, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools FROM daily WHERE member_id IS NOT NULL AND NOT (source = 'poller' AND tool = 'copilot') AND (input_tokens > 0 OR output_tokens > 0 OR cache_read_tokens > 0 OR cache_creation_tokens > 0 OR (requests > 0 AND NOT (source = 'poller' AND tool = 'cursor' AND model <> ''))) GROUP BY ALL")
@@ -77,17 +86,18 @@ def activity_calendar(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("member_id", "date").agg(F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("tools"))
 
 
-@query("team_axes", "WITH w AS (SELECT DISTINCT week FROM f), d AS (SELECT member_id, week, date, sum(tokens) AS t, count(DISTINCT model) AS fam FROM f WHERE member_id IS NOT NULL GROUP BY ALL), p AS (SELECT w.week, r.member_id, count(d.date) AS days, coalesce(median((d.t >= 5000)::INT + (d.t >= 20000)::INT + (d.t >= 60000)::INT), 0) AS vol, coalesce(max(fam), 0) AS div FROM w CROSS JOIN roster r LEFT JOIN d ON d.week = w.week AND d.member_id = r.member_id GROUP BY ALL) SELECT week, count(*) AS members, count(*) FILTER (days > 0) AS active_members, round(median(days), 6) AS frequency, round(median(vol::DOUBLE) FILTER (days > 0), 6) AS volume, round(median(div) FILTER (days > 0), 6) AS diversity FROM p GROUP BY week")
+OPEN_DAYS = ("2024-01-29",)
+
+
+@query("team_axes", f"""WITH w AS (SELECT strftime(DATE '2024-01-01' + CAST(range AS INT), '%Y-%m-%d') AS date, strftime(date_trunc('week', DATE '2024-01-01' + CAST(range AS INT)), '%Y-%m-%d') AS week FROM range(30)),
+  c AS (SELECT week, count(*) FILTER (date NOT IN ('{OPEN_DAYS[0]}')) AS counted_days FROM w GROUP BY week),
+  p AS (SELECT member_id, week, count(*) AS n, median({_STEP}) AS v FROM gdays JOIN w USING (date) WHERE date NOT IN ('{OPEN_DAYS[0]}') GROUP BY ALL),
+  q AS (SELECT member_id, week, count(DISTINCT family) AS fam FROM gev JOIN w USING (date) WHERE date NOT IN ('{OPEN_DAYS[0]}') GROUP BY ALL)
+  SELECT week, counted_days, counted_days = 7 AS complete, count(*) AS members, count(n) AS active_members, round(median(coalesce(n, 0)), 6) AS frequency, round(median(v), 6) AS volume, round(median(fam), 6) AS diversity
+  FROM c CROSS JOIN roster r LEFT JOIN p USING (member_id, week) LEFT JOIN q USING (member_id, week) GROUP BY week, counted_days""")
 def team_axes(spark: SparkSession, d: str) -> DataFrame:
-    """Weekly medians over the roster of active days, volume step and model families."""
-    f = facts(spark, d)
-    per_day = f.where("member_id IS NOT NULL").groupBy("member_id", "week", "date").agg(F.sum("tokens").alias("t"), F.count_distinct("model").alias("fam"))
-    vol = streaks.ladder(F.col("t"), (5_000, 20_000, 60_000))
-    per = per_day.groupBy("member_id", "week").agg(F.count(F.lit(1)).alias("days"), F.median(vol).alias("vol"), F.max("fam").alias("div"))
-    cells = f.select("week").distinct().join(F.broadcast(roster(spark, d).select("member_id")))
-    p = cells.join(per, ["member_id", "week"], "left").na.fill(0, ["days", "vol", "div"])
-    mid = lambda c: F.round(F.median(F.when(F.col("days") > 0, F.col(c))), 6)
-    return p.groupBy("week").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("days") > 0).alias("active_members"), F.round(F.median("days"), 6).alias("frequency"), mid("vol").alias("volume"), mid("div").alias("diversity"))
+    """Weekly medians over the roster, one of the last days not yet confirmed."""
+    return streaks.team_axes(roster(spark, d), growth_days(spark, d), "2024-01-01", LAST, OPEN_DAYS)
 
 
 @query("unconfirmed_days", "SELECT member_id, strftime(CAST(max(date) AS DATE) + CAST(x.range AS INT), '%Y-%m-%d') AS date FROM daily, range(1, 4) x WHERE member_id IS NOT NULL GROUP BY member_id, x.range HAVING CAST(max(date) AS DATE) + CAST(x.range AS INT) <= DATE '2024-01-31'")
@@ -105,14 +115,36 @@ def business_days(spark: SparkSession, d: str) -> DataFrame:
     return roster(spark, d).select("member_id", add_business_days(F.col("onboarded_at"), 5).alias("fifth"))
 
 
-@query("maturity", "WITH s AS (SELECT member_id, count(DISTINCT date) * 100.0::DOUBLE / 30 AS habit, count(DISTINCT model)::DOUBLE AS skill, count(DISTINCT tool)::DOUBLE AS breadth FROM f WHERE member_id IS NOT NULL GROUP BY member_id), a AS (SELECT member_id, 1 + (habit >= 30)::INT + (habit >= 60)::INT + (habit >= 85)::INT + (habit >= 100)::INT AS h, 1 + (skill >= 3)::INT + (skill >= 6)::INT + (skill >= 12)::INT + (skill >= 15)::INT AS s, 1 + (breadth >= 2)::INT + (breadth >= 3)::INT + (breadth >= 4)::INT + (breadth >= 5)::INT AS b FROM s) SELECT member_id, h::BIGINT AS habit, s::BIGINT AS skill, b::BIGINT AS breadth, least(h, s, b)::BIGINT AS stage, CASE least(h, s, b) WHEN h THEN 'habit' WHEN s THEN 'skill' ELSE 'breadth' END AS bottleneck FROM a")
+_HIT = "SELECT week, CASE WHEN i + r > 0 THEN r / (i + r) END AS x FROM card"
+_AXIS = lambda a, c: f"(SELECT count(*) + 1 FROM (VALUES {', '.join(f'({n})' for n in AXES[a])}) t(n) WHERE {c} >= n)"
+
+
+@query("maturity", f"""WITH v AS (SELECT (SELECT arg_max(a, week) FROM (SELECT week, count(DISTINCT member_id) * 100.0::DOUBLE / (SELECT count(*) FROM roster) AS a FROM f GROUP BY week)) AS habit,
+  (SELECT median(x) * 100 FROM ({_HIT}) WHERE week = (SELECT max(week) FROM card)) AS efficiency,
+  (SELECT median(CASE WHEN s > 0 THEN c / s END) FROM card WHERE week = (SELECT max(week) FROM card WHERE c IS NOT NULL) AND c IS NOT NULL) AS skill,
+  (SELECT count(*) FROM (SELECT tool FROM f GROUP BY tool HAVING sum(tokens) > 0 OR sum(reqs) > 0)) AS breadth,
+  (SELECT min(date_diff('day', CAST(g AS DATE), CAST(first AS DATE))) FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY first) AS place, min(first) OVER (PARTITION BY model) AS g FROM (SELECT model, member_id, min(date) AS first FROM f WHERE member_id IS NOT NULL AND model NOT IN ('', 'unknown', 'default') GROUP BY ALL)) WHERE place = (SELECT ceil(count(*) / 2.0)::BIGINT FROM roster)) AS lead),
+  s AS (SELECT {_AXIS("habit", "habit")} AS h, {_AXIS("efficiency", "efficiency")} AS e, {_AXIS("skill", "skill")} AS k, CASE WHEN lead < 7 THEN 5 WHEN lead < 14 THEN 4 ELSE 3 END AS cap, {_AXIS("breadth", "breadth")} AS b FROM v),
+  a AS (SELECT h, e, least(k, cap) AS k, b, cap < k AS capped FROM s), z AS (SELECT *, least(h, e, k, b) AS stage FROM a),
+  y AS (SELECT *, CASE stage WHEN h THEN 'habit' WHEN e THEN 'efficiency' WHEN k THEN 'skill' ELSE 'breadth' END AS bottleneck FROM z)
+  SELECT h::BIGINT AS habit, e::BIGINT AS efficiency, k::BIGINT AS skill, b::BIGINT AS breadth, stage::BIGINT AS stage, bottleneck, capped AND bottleneck = 'skill' AS by_lead_days,
+  CASE WHEN stage = 5 THEN NULL WHEN bottleneck = 'skill' AND capped THEN CASE WHEN stage >= 4 THEN 7 ELSE 14 END ELSE (CASE bottleneck {" ".join(f"WHEN '{a}' THEN {list(n)}" for a, n in AXES.items())} END)[stage] END::BIGINT AS target FROM y""")
 def maturity(spark: SparkSession, d: str) -> DataFrame:
-    """Stages 1 to 5 by axis; the weakest axis is the member's stage."""
-    s = facts(spark, d).where("member_id IS NOT NULL").groupBy("member_id").agg((F.count_distinct("date") * 100.0 / 30).alias("habit"), F.count_distinct("model").alias("skill"), F.count_distinct("tool").alias("breadth"))
-    steps = {"habit": (30, 60, 85, 100), "skill": (3, 6, 12, 15), "breadth": (2, 3, 4, 5)}
-    a = s.select("member_id", *[(streaks.ladder(F.col(c), x) + 1).cast("long").alias(c) for c, x in steps.items()])
-    least = F.least(*steps)
-    return a.select("*", least.alias("stage"), F.when(F.col("habit") == least, "habit").when(F.col("skill") == least, "skill").otherwise("breadth").alias("bottleneck"))
+    """The team's stage from its latest week: share of active members, cache hits, depth of sessions, tools, and the lead time of new models."""
+    c = card(spark, d)
+    latest = lambda x, rows: rows.groupBy("week").agg(F.percentile(x, F.lit(0.5)).alias("m")).agg(F.max_by("m", "week"))
+    parts = {
+        "habit": adoption_rate(spark, d).agg(F.max_by("active_pct", "week")),
+        "efficiency": latest(ratio(F.col("r"), F.col("i") + F.col("r")) * 100, c),
+        "skill": latest(ratio(F.col("c"), F.col("s")), c.where("c IS NOT NULL")),
+        "breadth": tool_summary(spark, d).where("tokens > 0 OR requests > 0").agg(F.count(F.lit(1))),
+        "lead_days": lead_days(spark, d).agg(F.min("lead_days")),
+    }
+    out = None
+    for name, part in parts.items():  # a row each
+        part = part.toDF(name)
+        out = part if out is None else out.join(F.broadcast(part))
+    return stages(out)
 
 
 def weekly_first(spark: SparkSession, d: str) -> DataFrame:

@@ -43,17 +43,13 @@ def session_max_merge(spark: SparkSession, d: str) -> DataFrame:
     return s.select(*merge.BUCKET, "parser_version", *METRICS, "requests", F.array_join("machine_ids", ",").alias("machine_ids"))
 
 
-@query("superseded_buckets", "WITH b AS (SELECT * FROM sessions WHERE hour >= '2024-01-15T12'), t AS (SELECT tool, session_id, 3 AS top, min(hour) AS since FROM b GROUP BY ALL) SELECT s.external_id, s.tool, s.session_id, s.hour, s.model, s.parser_version FROM sessions s LEFT JOIN t ON s.tool = t.tool AND s.session_id = t.session_id WHERE NOT coalesce(s.parser_version < t.top AND s.hour >= t.since AND NOT EXISTS (SELECT 1 FROM b WHERE (b.external_id, b.tool, b.session_id, b.hour, b.model) = (s.external_id, s.tool, s.session_id, s.hour, s.model) AND b.parser_version = 3), false)")
+@query("superseded_buckets", "WITH b AS (SELECT * FROM sessions WHERE hour >= '2024-01-15T12' AND hour NOT LIKE '%3'), t AS (SELECT tool, session_id, min(hour) AS since FROM b GROUP BY ALL) SELECT s.external_id, s.tool, s.session_id, s.hour, s.model, s.parser_version FROM sessions s LEFT JOIN t ON s.tool = t.tool AND s.session_id = t.session_id WHERE NOT coalesce(s.parser_version < 3 AND s.hour >= t.since AND NOT EXISTS (SELECT 1 FROM b WHERE (b.external_id, b.tool, b.session_id, b.hour, b.model) = (s.external_id, s.tool, s.session_id, s.hour, s.model)), false)")
 def superseded_buckets(spark: SparkSession, d: str) -> DataFrame:
     """A later parse, version 3, resends sessions from midday of the 15th, but only some of their buckets."""
     s = merge.merge_sessions(buckets(spark, d)).select(*merge.BUCKET, "parser_version")
     late = s.where("hour >= '2024-01-15T12'")
-    first = late.groupBy("tool", "session_id").agg(F.min("hour").alias("since"))
-    batch = late.join(first, ["tool", "session_id"]).where("parser_version = 3 OR hour = since").withColumn("parser_version", F.lit(3))
-    resent = late.where("parser_version = 3").select(*merge.BUCKET)
-    top = batch.groupBy("tool", "session_id").agg(F.max("parser_version").alias("top"), F.min("hour").alias("since"))
-    doomed = s.join(top, ["tool", "session_id"]).where("parser_version < top AND hour >= since").select(*merge.BUCKET).join(resent, merge.BUCKET, "left_anti")
-    return s.join(doomed, merge.BUCKET, "left_anti")
+    resent = late.withColumn("parser_version", F.lit(3)).where(~F.col("hour").endswith("3"))
+    return merge.drop_superseded(s, resent)
 
 
 @query("account_tag_merge", "WITH t AS (SELECT external_id, tool, CASE k % 3 WHEN 0 THEN 'transcript' WHEN 1 THEN 'hook' ELSE 'none' END AS e, CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS s, 'org' || (k % 4 // 3) AS org FROM ev WHERE event_id % 7 = 0), m AS (SELECT * FROM t QUALIFY s = max(s) OVER (PARTITION BY external_id, tool)) SELECT external_id, tool, CASE WHEN count(DISTINCT org) > 1 THEN 'mixed' ELSE min(org) END AS org, max(s)::INT AS strength FROM m GROUP BY ALL")

@@ -18,7 +18,7 @@ def priced(spark: SparkSession, d: str) -> DataFrame:
     """Facts summed to the grain of prices, with matched and reference rates."""
     f = facts(spark, d).groupBy(*DIMS).agg(*[F.sum(c).alias(c) for c in [*TOKENS, "requests", "tokens", "reqs"]])
     p = seed_prices(spark)
-    return match_prices(f, p).join(F.broadcast(reference_rates(p, f)), "date", "left")
+    return reference_rates(match_prices(f, p), p)
 
 
 @query("price_match", "SELECT model, tool, family, round(input_rate, 6) AS input_rate, round(output_rate, 6) AS output_rate, count(DISTINCT date) AS days FROM pf GROUP BY ALL")

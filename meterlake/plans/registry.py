@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.labels import FAMILIES, NO_MODEL
 from ..functions.pricing import SEED, SINCE
 from ..sources.telemetry import AS_OF, MODELS, TOOLS
 
@@ -17,6 +18,13 @@ def _case(c: str, pairs) -> str:
     return f"CASE {c} " + " ".join(f"WHEN {a!r} THEN {b!r}" for a, b in pairs) + " END"
 
 
+#: A model's family in SQL, with places for the model and the family of its price.
+FAMILY_SQL = (
+    "CASE WHEN trim(lower({model})) IN (" + ", ".join(f"'{m}'" for m in NO_MODEL) + ") THEN NULL "
+    + " ".join(f"WHEN contains(lower({{model}}), '{w}') THEN '{f}'" for w, f in FAMILIES)
+    + " WHEN lower({priced}) LIKE 'gpt%' THEN 'gpt' WHEN {priced} <> 'cursor-default' THEN lower({priced}) ELSE coalesce(nullif(regexp_extract(trim(lower({model})), '[a-z]+'), ''), trim(lower({model}))) END"
+)
+
 #: The adapter in SQL: events to facts, then days, hours, members, limit readings, reports, prices.
 CTES = {
     "raw_e": f"""SELECT event_id, ts, user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, value,

@@ -5,47 +5,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import week
 from ..functions.semantics import entropy, ratio
-from ..sources.telemetry import daily_usage, usage_events, vendor_reports
+from ..sources.telemetry import AS_OF, daily_usage, usage_events, vendor_reports
+from ..operators.devices import health_warnings
 from .registry import CTES, query
 from .totals import facts, total
 
 _Z = "coalesce(sum({0}), 0)::DOUBLE"
-RATIOS_SQL = "CASE WHEN i + r > 0 THEN r / (i + r) END AS cache_reuse, CASE WHEN w > 0 THEN o / w END AS context_yield, CASE WHEN n > 0 THEN (i + o) / n END AS depth"
-CTES["card"] = f"SELECT week, member_id, {_Z.format('input_tokens')} AS i, {_Z.format('output_tokens')} AS o, {_Z.format('cache_read_tokens')} AS r, {_Z.format('cache_creation_tokens')} AS w, {_Z.format('reqs')} AS n FROM f WHERE member_id IS NOT NULL GROUP BY week, member_id"
+CTES["card_sessions"] = "SELECT strftime(date_trunc('week', CAST(date AS DATE)), '%Y-%m-%d') AS week, member_id, count(DISTINCT session_id)::DOUBLE AS s FROM ev WHERE member_id IS NOT NULL AND tool = 'claude_code' GROUP BY ALL"
+CTES["card"] = f"""SELECT c.*, s FROM (SELECT week, member_id, {_Z.format('input_tokens')} AS i, {_Z.format('output_tokens')} AS o, {_Z.format('cache_read_tokens')} AS r, {_Z.format('cache_creation_tokens')} AS w, {_Z.format('reqs')} AS n,
+  sum(CASE WHEN tool = 'claude_code' THEN reqs END)::DOUBLE AS c FROM f WHERE member_id IS NOT NULL GROUP BY week, member_id) c LEFT JOIN card_sessions USING (week, member_id)"""
+#: Ratios of sums: what is divided by what.
+RATIOS = {"cache_reuse": "rw", "context_yield": "ow", "depth": "cs", "input_per_request": "in", "cache_per_request": "rn", "output_per_request": "on"}
+_RATIO = lambda a, b: f"CASE WHEN sum({b}) > 0 THEN sum({a}) / sum({b}) END"
 
 
 def card(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly sums by member; ``c`` and ``s`` are requests and sessions of one tool only, null where it wasn't used."""
     names = {"input_tokens": "i", "output_tokens": "o", "cache_read_tokens": "r", "cache_creation_tokens": "w", "reqs": "n"}
     g = facts(spark, d).where("member_id IS NOT NULL").groupBy("week", "member_id")
-    return g.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(n) for c, n in names.items()])
+    own = F.sum(F.when(F.col("tool") == "claude_code", F.col("reqs"))).cast("double").alias("c")
+    sums = g.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(n) for c, n in names.items()], own)
+    e = usage_events(spark, d).where("member_id IS NOT NULL AND tool = 'claude_code'").groupBy(week(F.col("date")).alias("week"), "member_id")
+    return sums.join(e.agg(F.count_distinct("session_id").cast("double").alias("s")), ["week", "member_id"], "left")
 
 
-def ratios() -> dict[str, Column]:
-    i, o, r, w, n = (F.col(c) for c in "iorwn")
-    return {"cache_reuse": ratio(r, i + r), "context_yield": ratio(o, w), "depth": ratio(i + o, n)}
+def of_sums(name: str) -> Column:
+    """A ratio of sums over the rows of a group, null where nothing is to divide by."""
+    a, b = RATIOS[name]
+    return ratio(F.sum(a), F.sum(b))
 
 
-@query("scorecard_ratios", f"SELECT member_id, round(cache_reuse, 6) AS cache_reuse, round(context_yield, 6) AS context_yield, round(depth, 6) AS depth FROM (SELECT member_id, {RATIOS_SQL} FROM (SELECT member_id, sum(i) AS i, sum(o) AS o, sum(r) AS r, sum(w) AS w, sum(n) AS n FROM card GROUP BY member_id))")
+@query("scorecard_ratios", "SELECT member_id, " + ", ".join(f"round({_RATIO(*ab)}, 6) AS {n}" for n, ab in RATIOS.items()) + " FROM card GROUP BY member_id")
 def scorecard_ratios(spark: SparkSession, d: str) -> DataFrame:
-    s = card(spark, d).groupBy("member_id").agg(*[F.sum(c).alias(c) for c in "iorwn"])
-    return s.select("member_id", *[F.round(x, 6).alias(n) for n, x in ratios().items()])
+    return card(spark, d).groupBy("member_id").agg(*[F.round(of_sums(n), 6).alias(n) for n in RATIOS])
 
 
-@query("weekly_series", f"WITH x AS (SELECT week, member_id, i, o, r, w, n, {RATIOS_SQL} FROM card) SELECT week, round(CASE WHEN sum(i) + sum(r) > 0 THEN sum(r) / (sum(i) + sum(r)) END, 6) AS pooled, round(median(cache_reuse), 6) AS median, CASE WHEN count(cache_reuse) >= 8 THEN round(quantile_cont(cache_reuse, 0.25), 6) END AS p25, CASE WHEN count(cache_reuse) >= 8 THEN round(quantile_cont(cache_reuse, 0.75), 6) END AS p75 FROM x GROUP BY week")
-def weekly_series(spark: SparkSession, d: str) -> DataFrame:
-    """Pooled ratio, and over members the exact median and quartiles, told from eight members on."""
-    x = card(spark, d).withColumn("x", ratios()["cache_reuse"])
-    several = F.count("x") >= 8
+def team_series(members: DataFrame, name: str) -> DataFrame:
+    """By week the ratio of all sums, and over members the exact median and quartiles; quartiles from eight members on."""
+    a, b = RATIOS[name]
+    x = members.withColumn("x", ratio(F.col(a), F.col(b)))
     q = lambda p: F.round(F.percentile("x", F.lit(p)), 6)
-    return x.groupBy("week").agg(F.round(ratio(F.sum("r"), F.sum("i") + F.sum("r")), 6).alias("pooled"), q(0.5).alias("median"), F.when(several, q(0.25)).alias("p25"), F.when(several, q(0.75)).alias("p75"))
+    several = F.count(F.lit(1)) >= 8
+    return x.groupBy("week").agg(F.round(of_sums(name), 6).alias("pooled"), q(0.5).alias("median"), F.when(several, q(0.25)).alias("p25"), F.when(several, q(0.75)).alias("p75"))
+
+
+def _series_sql(name: str, rows: str = "card") -> str:
+    a, b = RATIOS[name]
+    quartile = lambda p: f"CASE WHEN count(*) >= 8 THEN round(quantile_cont(x, {p}), 6) END"
+    return f"SELECT week, round({_RATIO(a, b)}, 6) AS pooled, round(median(x), 6) AS median, {quartile(0.25)} AS p25, {quartile(0.75)} AS p75 FROM (SELECT *, CASE WHEN {b} > 0 THEN {a} / {b} END AS x FROM {rows}) GROUP BY week"
+
+
+@query("weekly_series", _series_sql("cache_reuse"))
+def weekly_series(spark: SparkSession, d: str) -> DataFrame:
+    return team_series(card(spark, d), "cache_reuse")
+
+
+@query("weekly_yield_series", _series_sql("context_yield"))
+def weekly_yield_series(spark: SparkSession, d: str) -> DataFrame:
+    return team_series(card(spark, d), "context_yield")
+
 
+@query("weekly_depth_series", _series_sql("depth", "(SELECT * FROM card WHERE c IS NOT NULL)"))
+def weekly_depth_series(spark: SparkSession, d: str) -> DataFrame:
+    """Requests to a session, over those who used that tool in the week."""
+    return team_series(card(spark, d).where("c IS NOT NULL"), "depth")
 
-@query("personal_scorecard", "WITH x AS (SELECT member_id, CASE WHEN sum(i) + sum(r) > 0 THEN sum(r) / (sum(i) + sum(r)) END AS c FROM card GROUP BY member_id) SELECT member_id, round(c, 6) AS cache_reuse, round(c - (SELECT median(c) FROM x), 6) AS against_team FROM x")
+
+_MINE = ["cache_reuse", "context_yield", "depth"]
+
+
+@query("personal_scorecard", "WITH x AS (SELECT member_id, " + ", ".join(f"{_RATIO(*RATIOS[n])} AS {n}" for n in _MINE) + " FROM card GROUP BY member_id) SELECT member_id, " + ", ".join(f"round({n}, 6) AS {n}, round((SELECT median({n}) FROM x), 6) AS team_{n}" for n in _MINE) + " FROM x")
 def personal_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    s = card(spark, d).groupBy("member_id").agg(*[F.sum(c).alias(c) for c in "iorwn"]).select("member_id", ratios()["cache_reuse"].alias("c"))
-    team = s.agg(F.percentile("c", F.lit(0.5)).alias("team"))
-    return s.join(F.broadcast(team)).select("member_id", F.round("c", 6).alias("cache_reuse"), F.round(F.col("c") - F.col("team"), 6).alias("against_team"))
+    """Each member's ratios beside the team's medians."""
+    s = card(spark, d).groupBy("member_id").agg(*[of_sums(n).alias(n) for n in _MINE])
+    team = s.agg(*[F.round(F.percentile(n, F.lit(0.5)), 6).alias(f"team_{n}") for n in _MINE])
+    return s.join(F.broadcast(team)).select("member_id", *[F.round(n, 6).alias(n) for n in _MINE], *[f"team_{n}" for n in _MINE])
+
+
+@query("cache_savings_rate", "SELECT round(CASE WHEN saved + spent > 0 THEN saved / (saved + spent) END, 6) AS rate FROM (SELECT sum(r0 / 1e6::DOUBLE * (input_rate - cache_read_rate)) AS saved, sum((i0*input_rate + o0*output_rate + r0*cache_read_rate + w0*cache_write_rate) / 1e6::DOUBLE) AS spent FROM pf WHERE family IS NOT NULL)")
+def cache_savings_rate(spark: SparkSession, d: str) -> DataFrame:
+    """What cache reads saved, of what would have been spent without them."""
+    from .priced import cache_savings
+
+    return cache_savings(spark, d).select(F.round(ratio(F.col("saved"), F.col("spent") + F.col("saved")), 6).alias("rate"))
 
 
 @query("tool_entropy", "WITH t AS (SELECT member_id, tool, sum(tokens)::DOUBLE AS t FROM f WHERE member_id IS NOT NULL GROUP BY ALL), p AS (SELECT member_id, t / sum(t) OVER (PARTITION BY member_id) AS p FROM t WHERE t > 0) SELECT member_id, round(CASE WHEN count(*) = 1 THEN 0 ELSE -sum(p * log2(p)) / log2(count(*)) END, 6) AS entropy FROM p GROUP BY member_id")
@@ -61,10 +105,22 @@ def model_breadth_entropy(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("week").agg(F.round(F.percentile("e", F.lit(0.5)), 6).alias("median_breadth"), F.count(F.lit(1)).alias("members"))
 
 
-@query("context_yield_dump", "SELECT week, round(sum(o) / nullif(sum(i) + sum(r), 0), 6) AS yield, round(min(CASE WHEN i + r > 0 THEN o / (i + r) END), 6) AS low, round(max(CASE WHEN i + r > 0 THEN o / (i + r) END), 6) AS high FROM card GROUP BY week")
+@query("context_yield_dump", f"SELECT week, round({_RATIO('o', 'w')}, 6) AS yield, round(min(CASE WHEN w > 0 THEN o / w END), 6) AS low, round(max(CASE WHEN w > 0 THEN o / w END), 6) AS high FROM card WHERE CAST(week AS DATE) > CAST('{{as_of}}' AS DATE) - 84 GROUP BY week")
 def context_yield_dump(spark: SparkSession, d: str) -> DataFrame:
-    own = ratio(F.col("o"), F.col("i") + F.col("r"))
-    return card(spark, d).groupBy("week").agg(F.round(ratio(F.sum("o"), F.sum("i") + F.sum("r")), 6).alias("yield"), F.round(F.min(own), 6).alias("low"), F.round(F.max(own), 6).alias("high"))
+    """The last twelve weeks' yield, and its spread over members."""
+    own = ratio(F.col("o"), F.col("w"))
+    c = card(spark, d).where(F.to_date("week") > F.date_sub(F.lit(AS_OF).cast("date"), 84))
+    return c.groupBy("week").agg(F.round(of_sums("context_yield"), 6).alias("yield"), F.round(F.min(own), 6).alias("low"), F.round(F.max(own), 6).alias("high"))
+
+
+@query("context_yield_delta", f"SELECT round(a, 6) AS now, round(b, 6) AS before, round(a - b, 6) AS delta FROM (SELECT {_RATIO('o', 'w').replace('sum(', 'sum(n')} AS a, {_RATIO('o', 'w').replace('sum(', 'sum(b')} AS b FROM (SELECT CASE WHEN date >= '2024-01-24' THEN coalesce(output_tokens, 0) END::DOUBLE AS no, CASE WHEN date >= '2024-01-24' THEN coalesce(cache_creation_tokens, 0) END::DOUBLE AS nw, CASE WHEN date < '2024-01-24' THEN coalesce(output_tokens, 0) END::DOUBLE AS bo, CASE WHEN date < '2024-01-24' THEN coalesce(cache_creation_tokens, 0) END::DOUBLE AS bw FROM f WHERE member_id IS NOT NULL AND date >= '2024-01-17' AND date < '2024-01-31'))")
+def context_yield_delta(spark: SparkSession, d: str) -> DataFrame:
+    """The team's yield of the last seven days against the seven before."""
+    f = facts(spark, d, "2024-01-17", "2024-01-30").where("member_id IS NOT NULL")
+    late = F.col("date") >= "2024-01-24"
+    part = lambda c, when: F.sum(F.when(when, F.coalesce(c, F.lit(0)))).cast("double")
+    x = f.agg(*[ratio(part("output_tokens", w), part("cache_creation_tokens", w)).alias(n) for n, w in (("now", late), ("before", ~late))])
+    return x.select(F.round("now", 6).alias("now"), F.round("before", 6).alias("before"), F.round(F.col("now") - F.col("before"), 6).alias("delta"))
 
 
 # Reports against usage: of a person's day the larger side counts for the tool both cover; other products are added.
@@ -107,28 +163,29 @@ CTES["shared"] = "SELECT repo, file, string_agg(DISTINCT member_id::VARCHAR, '+'
 @query("digest_conflicts", "SELECT repo, members, count(*) AS file_count, string_agg(file, ',' ORDER BY file) FILTER (place <= 3) AS sample_files FROM (SELECT *, row_number() OVER (PARTITION BY repo, members ORDER BY file) AS place FROM shared) GROUP BY repo, members")
 def digest_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Files that two or more members touched, by repository and set of members."""
-    e = usage_events(spark, d).where("member_id IS NOT NULL AND date >= '2024-01-24'")
+    e = usage_events(spark, d, "2024-01-24").where("member_id IS NOT NULL")
     t = e.select(F.col("member_id").cast("string").alias("m"), F.concat(F.lit("repo"), (F.col("k") % 5).cast("string")).alias("repo"), F.concat(F.lit("file"), (F.col("event_id") % 400).cast("string")).alias("file"))
     shared = t.groupBy("repo", "file").agg(F.array_sort(F.collect_set("m")).alias("who")).where(F.size("who") >= 2)
-    files = F.array_sort(F.collect_list("file"))
-    return shared.groupBy("repo", F.array_join("who", "+").alias("members")).agg(F.count(F.lit(1)).alias("file_count"), F.array_join(F.slice(files, 1, 3), ",").alias("sample_files"))
+    shared = shared.select("repo", "file", F.array_join("who", "+").alias("members"))
+    place = F.row_number().over(Window.partitionBy("repo", "members").orderBy("file"))
+    first = F.collect_list(F.when(F.col("place") <= 3, F.col("file")))
+    return shared.withColumn("place", place).groupBy("repo", "members").agg(F.count(F.lit(1)).alias("file_count"), F.array_join(F.array_sort(first), ",").alias("sample_files"))
 
 
-@query("device_union", "SELECT machine_id, max(date) AS last_date, sum(tokens) FILTER (date > '2024-01-17')::BIGINT AS recent_tokens, sum(reqs) FILTER (date > '2024-01-17')::BIGINT AS recent_requests, max(date) < '2024-01-30' AS stale FROM f WHERE machine_id <> '' AND external_id = 'u7@example.test' GROUP BY machine_id")
+@query("device_union", "SELECT external_id, machine_id, max(date) AS last_date, sum(tokens) FILTER (date > '2024-01-17')::BIGINT AS recent_tokens, sum(reqs) FILTER (date > '2024-01-17')::BIGINT AS recent_requests, max(date) < '2024-01-30' AS stale FROM f WHERE machine_id <> '' GROUP BY external_id, machine_id")
 def device_union(spark: SparkSession, d: str) -> DataFrame:
-    f = facts(spark, d).where("machine_id != '' AND external_id = 'u7@example.test'")
+    f = facts(spark, d).where("machine_id != ''")
     recent = lambda c: F.sum(F.when(F.col("date") > "2024-01-17", F.col(c))).cast("long")
-    return f.groupBy("machine_id").agg(F.max("date").alias("last_date"), recent("tokens").alias("recent_tokens"), recent("reqs").alias("recent_requests"), (F.max("date") < "2024-01-30").alias("stale"))
+    return f.groupBy("external_id", "machine_id").agg(F.max("date").alias("last_date"), recent("tokens").alias("recent_tokens"), recent("reqs").alias("recent_requests"), (F.max("date") < "2024-01-30").alias("stale"))
 
 
-@query("device_health", "WITH h AS (SELECT machine_id, date, count(*) AS files, count(*) FILTER (k % 9 = 0) AS odd FROM ev WHERE machine_id <> '' GROUP BY ALL), b AS (SELECT *, avg(odd) OVER (PARTITION BY machine_id ORDER BY CAST(date AS DATE) RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS base FROM h) SELECT machine_id, date, odd, round(base, 6) AS base, base IS NOT NULL AND odd >= 5 AND odd / greatest(1, base) > 1.2::DOUBLE AS warn FROM b")
+@query("device_health", "WITH h AS (SELECT machine_id, tool AS parser, date, count(*) AS files, count(*) FILTER (k % 9 = 0) AS odd, count(DISTINCT CASE WHEN k % 4 = 0 THEN session_id END) AS sessions FROM ev WHERE machine_id <> '' GROUP BY ALL), b AS (SELECT *, avg(odd) OVER w AS odd_before, avg(files) OVER w AS files_before FROM h WINDOW w AS (PARTITION BY machine_id, parser ORDER BY CAST(date AS DATE) RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)), l AS (SELECT * FROM b QUALIFY date = max(date) OVER (PARTITION BY machine_id, parser)) SELECT machine_id, parser, date, files, sessions, odd, round(files_before, 6) AS files_before, round(odd_before, 6) AS odd_before, odd_before IS NOT NULL AND (files > 0 AND files >= files_before AND sessions = 0 OR odd >= 5 AND odd / greatest(1, odd_before) > 1.2::DOUBLE) AS warn FROM l")
 def device_health(spark: SparkSession, d: str) -> DataFrame:
-    """A device's day against the mean of the week before; no week before, no warning."""
-    h = usage_events(spark, d).where("machine_id != ''").groupBy("machine_id", "date").agg(F.count_if(F.col("k") % 9 == 0).alias("odd"))
-    before = Window.partitionBy("machine_id").orderBy(F.unix_date(F.to_date("date"))).rangeBetween(-7, -1)
-    h = h.withColumn("b", F.avg("odd").over(before))
-    warn = F.col("b").isNotNull() & (F.col("odd") >= 5) & (F.col("odd") / F.greatest(F.lit(1.0), F.col("b")) > 1.2)
-    return h.select("machine_id", "date", "odd", F.round("b", 6).alias("base"), warn.alias("warn"))
+    """The latest reading of each device's parser against the mean of the week before, events standing for files."""
+    g = usage_events(spark, d).where("machine_id != ''").groupBy("machine_id", F.col("tool").alias("parser"), "date")
+    h = g.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("k") % 9 == 0).alias("odd"), F.count_distinct(F.when(F.col("k") % 4 == 0, F.col("session_id"))).alias("sessions"))
+    x = health_warnings(h)
+    return x.select("machine_id", "parser", "date", "files", "sessions", "odd", F.round("files_before", 6).alias("files_before"), F.round("odd_before", 6).alias("odd_before"), "warn")
 
 
 @query("sessions_vs_legacy", "WITH s AS (SELECT tool, machine_id, date, sum(input_tokens) AS a FROM ev WHERE source = 'uploader' AND k % 2 = 0 GROUP BY ALL), l AS (SELECT tool, machine_id, date, sum(input_tokens) AS b FROM daily WHERE source = 'uploader' GROUP BY ALL) SELECT coalesce(s.tool, l.tool) AS tool, coalesce(s.machine_id, l.machine_id) AS machine_id, coalesce(s.date, l.date) AS date, coalesce(a, 0)::BIGINT AS sessions, coalesce(b, 0)::BIGINT AS legacy, (coalesce(a, 0) - coalesce(b, 0))::BIGINT AS diff FROM s FULL JOIN l ON s.tool = l.tool AND s.machine_id = l.machine_id AND s.date = l.date")
@@ -147,11 +204,11 @@ def tool_freshness(spark: SparkSession, d: str) -> DataFrame:
     return used.join(ran, "tool", "full")
 
 
-@query("latest_reports", "SELECT date, external_id, product, tokens, requests FROM reports WHERE external_id = 'u7@example.test' ORDER BY date DESC, product LIMIT 20")
+@query("latest_reports", "SELECT date, external_id, product, tokens, requests FROM reports QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY date DESC, product) <= 20")
 def latest_reports(spark: SparkSession, d: str) -> DataFrame:
-    """A member's latest report rows, the feature being a short list."""
-    r = vendor_reports(spark, d).where("external_id = 'u7@example.test'").select("date", "external_id", "product", "tokens", "requests")
-    return r.orderBy(F.desc("date"), "product").limit(20)
+    """Every person's latest report rows, the feature being a short list of 20."""
+    place = F.row_number().over(Window.partitionBy("external_id").orderBy(F.desc("date"), "product"))
+    return vendor_reports(spark, d).withColumn("place", place).where("place <= 20").select("date", "external_id", "product", "tokens", "requests")
 
 
 @query("local_audit", "SELECT tool, date, " + ", ".join(f"count(*) FILTER (raw_model = '{m}') AS m{i}" for i, m in enumerate(("opus-5", "gpt-5.5"))) + ", count(*) AS n FROM ev GROUP BY tool, date")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import add_days, week
+from ..functions.calendar import add_days, days_before, week
+from ..functions.labels import few
 from ..functions.semantics import active_user, counted_requests, premium, tokens
 from ..sources.telemetry import AS_OF, TOOLS, daily_usage, hourly_usage, limit_readings, members, roster, usage_events
 from .registry import query
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Daily usage with the columns most queries share."""
-    return daily_usage(spark, d).select("*", tokens().alias("tokens"), active_user().alias("person"), counted_requests().alias("reqs"), week(F.col("date")).alias("week"))
+def facts(spark: SparkSession, d: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Daily usage, of a range of days if given, with the columns most queries share."""
+    return daily_usage(spark, d, first, last).select("*", tokens().alias("tokens"), active_user().alias("person"), counted_requests().alias("reqs"), week(F.col("date")).alias("week"))
 
 
 def total(c: Column | str) -> Column:
@@ -26,7 +27,7 @@ def share(a: Column, b: Column) -> Column:
 
 @query("period_totals", "SELECT sum(tokens)::BIGINT AS total_tokens, sum(coalesce(input_tokens, 0))::BIGINT AS total_input, sum(coalesce(output_tokens, 0))::BIGINT AS total_output, sum(reqs)::BIGINT AS total_requests, count(DISTINCT person) AS active_members, count(DISTINCT tool) AS tool_count FROM f WHERE date BETWEEN '2024-01-05' AND '2024-01-25'")
 def period_totals(spark: SparkSession, d: str) -> DataFrame:
-    f = facts(spark, d).where(F.col("date").between("2024-01-05", "2024-01-25"))
+    f = facts(spark, d, "2024-01-05", "2024-01-25")
     return f.agg(
         total("tokens").alias("total_tokens"),
         total(F.coalesce("input_tokens", F.lit(0))).alias("total_input"),
@@ -64,7 +65,7 @@ def adoption_rate(spark: SparkSession, d: str) -> DataFrame:
 @query("adoption_matrix", "SELECT r.member_id, r.name, t.tool, max(f.date) AS last_date FROM roster r CROSS JOIN (SELECT DISTINCT tool FROM f) t LEFT JOIN f ON f.member_id = r.member_id AND f.tool = t.tool GROUP BY ALL")
 def adoption_matrix(spark: SparkSession, d: str) -> DataFrame:
     f = facts(spark, d)
-    cells = roster(spark, d).select("member_id", "name").join(F.broadcast(f.select("tool").distinct()))
+    cells = roster(spark, d).select("member_id", "name").join(F.broadcast(few(f, "tool"))).withColumn("tool", F.explode("tool"))
     return cells.join(f.groupBy("member_id", "tool").agg(F.max("date").alias("last_date")), ["member_id", "tool"], "left")
 
 
@@ -88,16 +89,16 @@ def unmapped_ids(spark: SparkSession, d: str) -> DataFrame:
     return f.agg(total("tokens").alias("tokens"), total("reqs").alias("requests"), F.max("date").alias("last_date"), F.bool_or(email).alias("claimable"))
 
 
-@query("member_breakdown", "SELECT tool, model, sum(tokens)::BIGINT AS tokens, sum(coalesce(input_tokens,0))::BIGINT AS input, sum(coalesce(output_tokens,0))::BIGINT AS output, sum(coalesce(cache_read_tokens,0))::BIGINT AS cache_read, sum(coalesce(cache_creation_tokens,0))::BIGINT AS cache_creation, sum(reqs)::BIGINT AS requests FROM f WHERE member_id = 7 GROUP BY tool, model")
+@query("member_breakdown", "SELECT member_id, tool, model, sum(tokens)::BIGINT AS tokens, sum(coalesce(input_tokens,0))::BIGINT AS input, sum(coalesce(output_tokens,0))::BIGINT AS output, sum(coalesce(cache_read_tokens,0))::BIGINT AS cache_read, sum(coalesce(cache_creation_tokens,0))::BIGINT AS cache_creation, sum(reqs)::BIGINT AS requests FROM f WHERE member_id IS NOT NULL GROUP BY member_id, tool, model")
 def member_breakdown(spark: SparkSession, d: str) -> DataFrame:
     zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long")
-    f = facts(spark, d).where("member_id = 7").groupBy("tool", "model")
+    f = facts(spark, d).where("member_id IS NOT NULL").groupBy("member_id", "tool", "model")
     return f.agg(total("tokens").alias("tokens"), zero("input_tokens").alias("input"), zero("output_tokens").alias("output"), zero("cache_read_tokens").alias("cache_read"), zero("cache_creation_tokens").alias("cache_creation"), total("reqs").alias("requests"))
 
 
-@query("member_trend", "SELECT date, sum(tokens)::BIGINT AS tokens, sum(reqs)::BIGINT AS requests FROM f WHERE member_id = 7 GROUP BY date")
+@query("member_trend", "SELECT member_id, date, sum(tokens)::BIGINT AS tokens, sum(reqs)::BIGINT AS requests FROM f WHERE member_id IS NOT NULL GROUP BY member_id, date")
 def member_trend(spark: SparkSession, d: str) -> DataFrame:
-    return facts(spark, d).where("member_id = 7").groupBy("date").agg(total("tokens").alias("tokens"), total("reqs").alias("requests"))
+    return facts(spark, d).where("member_id IS NOT NULL").groupBy("member_id", "date").agg(total("tokens").alias("tokens"), total("reqs").alias("requests"))
 
 
 @query("known_tools", "SELECT tool, count(*) AS rows FROM f GROUP BY tool")
@@ -158,9 +159,9 @@ def limit_hits(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count_if(F.col("p") >= 90).alias("days90"), F.count_if(F.col("p") >= 100).alias("days100")).where("days90 > 0")
 
 
-@query("limit_history_pivot", "SELECT date, " + ", ".join(f"round(max(utilization_pct) FILTER (window_ = '{t}'), 6) AS {t}" for t in TOOLS.values()) + " FROM limits WHERE member_id = 7 GROUP BY date")
+@query("limit_history_pivot", "SELECT member_id, date, " + ", ".join(f"round(max(utilization_pct) FILTER (window_ = '{t}'), 6) AS {t}" for t in TOOLS.values()) + " FROM limits GROUP BY member_id, date")
 def limit_history_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return limit_readings(spark, d).where("member_id = 7").groupBy("date").pivot("window", list(TOOLS.values())).agg(F.round(F.max("utilization_pct"), 6))
+    return limit_readings(spark, d).groupBy("member_id", "date").pivot("window", list(TOOLS.values())).agg(F.round(F.max("utilization_pct"), 6))
 
 
 SUMS = "sum(input_tokens)::BIGINT AS input, sum(output_tokens)::BIGINT AS output, sum(cache_read_tokens)::BIGINT AS cache_read, sum(cache_creation_tokens)::BIGINT AS cache_creation, sum(reqs)::BIGINT AS requests, string_agg(DISTINCT model, ',' ORDER BY model) AS models"
@@ -202,10 +203,12 @@ def model_adoption(spark: SparkSession, d: str) -> DataFrame:
 @query("lead_days", "WITH a AS (SELECT model, member_id, min(date) AS first FROM f WHERE member_id IS NOT NULL AND model NOT IN ('', 'unknown', 'default') GROUP BY ALL), n AS (SELECT ceil(count(*) / 2.0)::BIGINT AS k FROM roster), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY first) AS place, min(first) OVER (PARTITION BY model) AS g FROM a) SELECT model, date_diff('day', CAST(g AS DATE), CAST(first AS DATE))::BIGINT AS lead_days FROM r, n WHERE place = k")
 def lead_days(spark: SparkSession, d: str) -> DataFrame:
     """Days from a model's first use until half the team uses it; models that don't get so far are left out."""
-    a = model_adoption(spark, d).select("model", "global_first", F.split("member_first_dates", ",").alias("dates"))
-    k = roster(spark, d).agg(F.ceil(F.count(F.lit(1)) / 2).cast("int").alias("k"))
-    a = a.join(F.broadcast(k)).where(F.size("dates") >= F.col("k"))
-    return a.select("model", F.datediff(F.to_date(F.element_at("dates", F.col("k"))), F.to_date("global_first")).cast("long").alias("lead_days"))
+    f = facts(spark, d).where(F.col("member_id").isNotNull() & ~F.col("model").isin("", "unknown", "default"))
+    own = Window.partitionBy("model")
+    first = f.groupBy("model", "member_id").agg(F.min("date").alias("first"))
+    first = first.select("model", "first", F.row_number().over(own.orderBy("first")).alias("place"), F.min("first").over(own).alias("since"))
+    half = roster(spark, d).agg(F.ceil(F.count(F.lit(1)) / 2).alias("half"))
+    return first.join(F.broadcast(half), F.col("place") == F.col("half")).select("model", F.datediff(F.to_date("first"), F.to_date("since")).cast("long").alias("lead_days"))
 
 
 @query("onboarding_activity", "SELECT r.member_id, r.onboarded_at, count(DISTINCT f.date) AS active_days, coalesce(string_agg(DISTINCT f.date, ',' ORDER BY f.date), '') AS active_dates FROM roster r LEFT JOIN f ON f.member_id = r.member_id AND f.date >= r.onboarded_at WHERE r.onboarded_at >= '2023-11-08' GROUP BY ALL")
@@ -226,8 +229,7 @@ def ramp_weeks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("weekly_report", "SELECT tool, coalesce(sum(tokens) FILTER (date >= '2024-01-24' AND date < '2024-01-31'), 0)::BIGINT AS tokens, coalesce(sum(tokens) FILTER (date >= '2024-01-17' AND date < '2024-01-24'), 0)::BIGINT AS prev_tokens, count(DISTINCT person) FILTER (date >= '2024-01-24' AND date < '2024-01-31') AS users FROM f WHERE date >= '2024-01-17' AND date < '2024-01-31' GROUP BY tool")
 def weekly_report(spark: SparkSession, d: str) -> DataFrame:
-    mid, first = (add_days(F.lit(AS_OF), -n) for n in (7, 14))
-    f = facts(spark, d).where((F.col("date") >= first) & (F.col("date") < AS_OF)).withColumn("now", F.col("date") >= mid)
+    f = facts(spark, d, days_before(AS_OF, 14), days_before(AS_OF, 1)).withColumn("now", F.col("date") >= days_before(AS_OF, 7))
     part = lambda c: F.sum(F.when(c, F.col("tokens")).otherwise(0)).cast("long")
     return f.groupBy("tool").agg(part(F.col("now")).alias("tokens"), part(~F.col("now")).alias("prev_tokens"), F.count_distinct(F.when(F.col("now"), F.col("person"))).alias("users"))
 
@@ -246,15 +248,9 @@ def sync_freshness(spark: SparkSession, d: str) -> DataFrame:
     return last.select("tool", F.col("x.date").alias("last_synced_date"), "x.status", "run_id")
 
 
-@query("requests_only_tools", "SELECT tool, sum(reqs)::BIGINT AS requests FROM f WHERE source = 'poller' GROUP BY tool HAVING sum(CASE WHEN tokens > 5000 THEN tokens ELSE 0 END) = 0 OR sum(reqs) > 0")
-def requests_only_tools(spark: SparkSession, d: str) -> DataFrame:
-    g = facts(spark, d).where("source = 'poller'").groupBy("tool").agg(total("reqs").alias("requests"), total(F.when(F.col("tokens") > 5000, F.col("tokens")).otherwise(0)).alias("t"))
-    return g.where("t = 0 OR requests > 0").select("tool", "requests")
-
-
 @query("recent_tools", "SELECT member_id, count(DISTINCT tool) AS tools FROM f WHERE date > '2024-01-24' AND member_id IS NOT NULL GROUP BY member_id")
 def recent_tools(spark: SparkSession, d: str) -> DataFrame:
-    f = facts(spark, d).where((F.col("date") > add_days(F.lit(AS_OF), -7)) & F.col("member_id").isNotNull())
+    f = facts(spark, d, days_before(AS_OF, 6)).where("member_id IS NOT NULL")
     return f.groupBy("member_id").agg(F.count_distinct("tool").alias("tools"))
 
 

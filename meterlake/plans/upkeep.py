@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import device_label, family_of, report_tool, window_label
+from ..functions.labels import device_label, family_of, few, report_tool, window_label
 from ..functions.semantics import METRICS
 from ..operators import devices, feeds
 from ..sources.telemetry import daily_usage, members, roster, usage_events, vendor_reports
-from .registry import CTES, query
+from .registry import CTES, FAMILY_SQL, query
 
 NOW = "2024-01-30 12:00:00"
 CTES["health"] = f"SELECT external_id, machine_id, tool AS parser, floor(epoch(ts))::BIGINT AS seen_at, k AS files, k // 2 AS emitted, event_id FROM ev WHERE machine_id <> '' AND ts <= TIMESTAMP '{NOW}'"
@@ -105,9 +105,11 @@ def report_tools(spark: SparkSession, d: str) -> DataFrame:
     return vendor_reports(spark, d).groupBy(report_tool(F.col("product")).alias("tool")).agg(F.sum("tokens").alias("tokens"))
 
 
-@query("model_families", "SELECT DISTINCT model, coalesce(nullif(regexp_extract(lower(model), '[a-z]+'), ''), 'unknown') AS family FROM daily")
+@query("model_families", f"SELECT DISTINCT d.model, {FAMILY_SQL.format(model='d.model', priced='p.family')} AS family FROM daily d LEFT JOIN price_of p ON d.model = p.model AND d.tool = p.tool AND d.date = p.date")
 def model_families(spark: SparkSession, d: str) -> DataFrame:
-    return daily_usage(spark, d).select("model", family_of(F.col("model"), F.lit(None).cast("string")).alias("family")).distinct()
+    from .priced import priced
+
+    return priced(spark, d).select("model", family_of(F.col("model"), F.col("family")).alias("family")).distinct()
 
 
 @query("window_labels", "SELECT DISTINCT 'codex_' || (k * 60) || 'm' AS window_, CASE WHEN (k * 60) % 1440 = 0 THEN (k * 60 // 1440) || 'd' ELSE k || 'h' END AS label FROM ev WHERE k > 0")
@@ -129,5 +131,5 @@ def onboarding_recency(spark: SparkSession, d: str) -> DataFrame:
 
     f = facts(spark, d)
     used = f.groupBy("member_id", "tool").agg(F.bool_or(F.col("date") > "2024-01-17").alias("recent"), F.sum(F.when(F.col("date") > "2024-01-24", F.col("tokens"))).cast("long").alias("week_tokens"))
-    cells = roster(spark, d).select("member_id").join(F.broadcast(f.select("tool").distinct()))
+    cells = roster(spark, d).select("member_id").join(F.broadcast(few(f, "tool"))).withColumn("tool", F.explode("tool"))
     return cells.join(used, ["member_id", "tool"], "left").select("member_id", "tool", F.coalesce("recent", F.lit(False)).alias("recent"), F.coalesce("week_tokens", F.lit(0)).alias("week_tokens"))

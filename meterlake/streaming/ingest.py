@@ -25,7 +25,7 @@ def merge_batch(spark: SparkSession, batch: DataFrame, table: str) -> None:
     new = batch.withColumn("day", F.substring("hour", 1, 10))
     if exists(spark, table):
         touched = new.select("tool", "day").distinct()
-        old = spark.read.parquet(table).join(F.broadcast(touched), ["tool", "day"], "left_semi")
+        old = spark.read.parquet(table).join(touched, ["tool", "day"], "left_semi")
         new = old.select(*new.columns).unionByName(new)
     rows = new.dropDuplicates([*merge.BUCKET, "arrival"]).checkpoint()  # read before it is overwritten
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tool", "day").parquet(table)
