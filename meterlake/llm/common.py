@@ -15,6 +15,12 @@ def tasks(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread_over(df: DataFrame, size: Column, each: int) -> int:
+    """Into how many parts rows go: one for so many bytes, at least as many as the session has shuffle partitions."""
+    whole = df.agg(F.sum(size)).first()[0] or 0
+    return max(tasks(df), -(-int(whole) // each))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute once into the shared checkpoint folder and cut the lineage there.
 

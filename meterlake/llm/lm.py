@@ -2,16 +2,21 @@
 
 The corpus is cut into blocks of tokens. A block asks for what it needs, and
 gives what it has, in one message to each shard: first its distinct words, then
-its distinct pairs of word and successor, each with its count in the training
-documents. A shard adds the counts of all blocks up, builds its part of the
-model and answers every message in the order of its entries; so no model is ever
-gathered in one place, and no table of n-grams is exploded into rows.
-
-A shard of pairs holds two levels in compact buffers that are searched where they
-lie, as a memory-mapped file would be: the contexts with monotone pointers, and
-below each context its successors, both coded by Elias-Fano, beside quantised
-probabilities. Successors are stored relative to their context, so one sequence
-rises over all of them and a pair is found by one successor search.
+its distinct pairs of word and successor, then its distinct triples of pair and
+successor, each with its count in the training documents. A shard adds the counts
+of all blocks up, builds its part of the model and answers every message in the
+order of its entries; so no model is ever gathered in one place, and no table of
+n-grams is exploded into rows.
+
+A shard of pairs or triples holds two levels in compact buffers that are searched
+where they lie, as a memory-mapped file would be: the contexts with monotone
+pointers, and below each context its successors, both coded by Elias-Fano, beside
+quantised probabilities. Successors are stored relative to their context, so one
+sequence rises over all of them and an n-gram is found by one successor search.
+
+The trie of triples is pruned: it holds what occurs ``least`` times or more. No
+triple occurs more often than its two pairs, so a block sends only triples both of
+whose pairs occur that often.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import durable, tasks
+from .common import durable, spread_over
 from .packing import MESSAGE, messages, pack, pack_rising, unpack, unpack_rising
 
 #: Tokens of a block at least; a longer document is a block by itself.
@@ -34,8 +39,12 @@ END = b""
 #: Contexts over this share of all tokens are spread over the shards by successor.
 HOT = 1 / 200
 CODES = 255
-#: Pairs that are searched for at once.
+#: N-grams that are searched for at once.
 ASKED = 1 << 18
+#: Weight of the shorter context at pairs and at triples, in tokens, and occurrences that a triple must have.
+PRIORS, LEAST = (100.0, 20.0), 2
+#: Bytes of blocks that go to one shard on average.
+SHARD = 32 << 20
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
@@ -115,22 +124,24 @@ class Trie:
         self.levels = np.r_[np.float32(0), levels].astype(np.float32)
         self.codes = np.clip(np.searchsorted(self.levels, share.astype(np.float32), "right") - 1, 0, CODES).astype(np.uint8)
 
-    def search(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 for a pair that the trie lacks."""
-        out = np.zeros(len(context), np.uint8)
-        if self.successors.n:
-            for at in range(0, len(context), ASKED):
-                part = slice(at, at + ASKED)
-                out[part] = self._search(context[part], successor[part])
+    def search(self, contexts: np.ndarray, runs: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """The code of each n-gram, 0 for one that the trie lacks; contexts stand once, with the number of their successors."""
+        out = np.zeros(len(successors), np.uint8)
+        ends = np.cumsum(runs)
+        at = 0
+        while at < len(contexts) and self.successors.n:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ASKED, "right")))
+            part = slice(int(ends[at - 1]) if at else 0, int(ends[to - 1]))
+            out[part] = self._search(contexts[at:to], runs[at:to], successors[part])
+            at = to
         return out
 
-    def _search(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        c, of = np.unique(context, return_inverse=True)
-        place = self.contexts.successor(c)
+    def _search(self, contexts: np.ndarray, runs: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        place = self.contexts.successor(contexts)
         own = np.minimum(place, self.contexts.n - 1)
-        known = ((place < self.contexts.n) & (self.contexts[own] == c))[of] & (successor < self.width)
-        first, end = (self.pointers[own + x].astype(np.int64)[of] for x in (0, 1))
-        wanted = own.astype(np.uint64)[of] * self.width + np.where(known, successor, np.uint64(0))
+        known = np.repeat((place < self.contexts.n) & (self.contexts[own] == contexts), runs) & (successors < self.width)
+        first, end = (np.repeat(self.pointers[own + x].astype(np.int64), runs) for x in (0, 1))
+        wanted = np.repeat(own.astype(np.uint64), runs) * self.width + np.where(known, successors, np.uint64(0))
         at = self.successors.successor(wanted)
         known &= (at >= first) & (at < end)
         at = np.minimum(at, self.successors.n - 1)
@@ -204,6 +215,8 @@ def _word_shard(shards: int):
         shard, rows = key[0].as_py(), table.to_pylist()
         hashes = [unpack_rising(r["a"]) for r in rows]
         every, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        if len(every) * shards >> 32:
+            raise ValueError("numbers of words don't fit in 32 bits; more shards or fewer words")
         counts = np.bincount(inverse, np.concatenate([unpack(r["b"]) for r in rows]).astype(float), len(every)).astype(np.int64)
         out = [(shard, -1, pack(np.array([counts.sum(), (counts > 0).sum()])), None, None, None)]
         for r, h in zip(rows, hashes, strict=True):
@@ -221,33 +234,81 @@ class _Read:
         self.row, self.shards = row, shards
         self.sizes, self.train = unpack(row["sizes"]).astype(np.int64), unpack(row["train"]).astype(bool)
         self.tokens, hashes = unpack(row["tokens"]).astype(np.int64), unpack_rising(row["hashes"])
+        self.words = len(hashes)
         self.number, self.count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         to = hashes % np.uint64(shards)
         for a in answers:
             m = to == a["shard"]
             self.number[m], self.count[m] = unpack(a["a"]), unpack(a["b"])
-        starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
-        self.starts = starts
+        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
         before = np.r_[self.tokens[-1:], self.tokens[:-1]]
-        before[starts] = self.tokens[-1]  # a text begins after an end
-        keys = before * len(hashes) + self.tokens
+        before[self.starts] = self.tokens[-1]  # a text begins after an end
         self.before = before
-        self.pairs, self.at = np.unique(keys, return_inverse=True)
+        self.pairs, self.at = np.unique(before * len(hashes) + self.tokens, return_inverse=True)
         v, w = np.divmod(self.pairs, len(hashes))
-        self.v, self.w, self.v_count = self.number[v], self.number[w], self.count[v]
+        self.v, self.w, self.v_count = self.number[v].astype(np.uint64), self.number[w].astype(np.uint64), self.count[v]
 
-    def shard_of(self, hot: float) -> np.ndarray:
-        spread = np.where(self.v_count > hot, self.w, 0)
-        mix = (self.v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (spread.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return ((mix >> np.uint64(33)) % np.uint64(self.shards)).astype(np.int64)
+    def counts(self, at: np.ndarray, kinds: int, places: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """How often each kind occurs in the training documents, given the kind at each place."""
+        return np.bincount(at[np.repeat(self.train, self.sizes)[places]], minlength=kinds)
 
     def dealt(self, hot: float) -> Iterator[tuple[int, np.ndarray]]:
-        """The pairs of each shard, by context and successor."""
-        to = self.shard_of(hot)
-        order = np.lexsort((self.w, self.v, to))
-        cuts = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])
-        for part in np.split(order, cuts[1:]):
-            yield int(to[part[0]]), part
+        return _dealt(self.v, self.w, self.v_count > hot, self.shards)
+
+    def triples(self, said: list[dict], hot: float) -> None:
+        """With the answers about pairs: the triples both of whose pairs occur often enough, and the places where they stand."""
+        self.pair_count, answers = np.zeros(len(self.pairs), np.int64), {a["shard"]: a for a in said}
+        for shard, part in self.dealt(hot):
+            a = answers[shard]
+            often = np.unpackbits(np.frombuffer(a["c"], np.uint8), count=len(part)).astype(bool)
+            self.pair_count[part[often]] = unpack(a["d"])
+        inner = np.ones(len(self.at), bool)
+        inner[self.starts] = False
+        self.context = np.r_[0, self.at[:-1]]  # the pair before each token
+        self.after = np.flatnonzero(inner & (self.pair_count[self.context] > 0))
+        asked = self.after[self.pair_count[self.at[self.after]] > 0]
+        keys, self.triple_at = np.unique(self.context[asked] * self.words + self.tokens[asked], return_inverse=True)
+        self.asked = asked
+        of, w = np.divmod(keys, self.words)
+        self.t_context, self.t_word = self.v[of] << np.uint64(32) | self.w[of], self.number[w].astype(np.uint64)
+        self.t_count = self.pair_count[of]
+
+    def dealt_triples(self, hot: float) -> Iterator[tuple[int, np.ndarray]]:
+        return _dealt(self.t_context, self.t_word, self.t_count > hot, self.shards)
+
+
+def _dealt(context: np.ndarray, successor: np.ndarray, spread: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The n-grams of each shard, by context and successor; those of a frequent context are dealt by successor too."""
+    mix = context * np.uint64(0x9E3779B97F4A7C15)
+    mix = (mix ^ mix >> np.uint64(29)) ^ np.where(spread, successor, np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    to = ((mix >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((successor, context, to))
+    cuts = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+    for part in np.split(order, cuts[1:]) if len(order) else ():
+        yield int(to[part[0]]), part
+
+
+def _packed(shard: int, block: int, context: np.ndarray, successor: np.ndarray, counts: np.ndarray, context_counts: np.ndarray) -> tuple:
+    """A message of n-grams sorted by context and successor."""
+    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    w = np.diff(successor, prepend=np.uint64(0))
+    w[first] = successor[first]
+    high, low = context[first] >> np.uint64(32), context[first] & np.uint64(0xFFFFFFFF)
+    runs = np.stack([np.diff(high, prepend=np.uint64(0)), low, np.diff(np.r_[first, len(context)]).astype(np.uint64)])
+    if not high.any():
+        runs[1] = np.diff(low, prepend=np.uint64(0))
+    return shard, block, pack(runs.reshape(-1)), pack(w), pack(counts), pack(context_counts[first])
+
+
+def _opened(row: dict) -> tuple[np.ndarray, ...]:
+    """Contexts, runs, successors, counts and the counts of the contexts of a message."""
+    high, low, runs = unpack(row["a"]).reshape(3, -1)
+    context = np.cumsum(high, dtype=np.uint64) << np.uint64(32) | low if high.any() else np.cumsum(low, dtype=np.uint64)
+    runs = runs.astype(np.int64)
+    w, first = unpack(row["b"]), np.r_[0, np.cumsum(runs)[:-1]].astype(np.int64)
+    total = np.cumsum(w, dtype=np.uint64)
+    w = total - np.repeat(total[first] - w[first], runs)
+    return context, runs, w, unpack(row["c"]).astype(np.int64), unpack(row["d"]).astype(np.int64)
 
 
 def _pair_messages(shards: int, hot: float):
@@ -256,81 +317,112 @@ def _pair_messages(shards: int, hot: float):
         if not rows:
             return messages([])
         b = _Read(rows[0], answers.to_pylist(), shards)
-        counts = np.bincount(b.at[np.repeat(b.train, b.sizes)], minlength=len(b.pairs))
-        out = []
-        for shard, part in b.dealt(hot):
-            v = b.v[part]
-            first = np.flatnonzero(np.r_[True, np.diff(v) != 0])
-            w = np.diff(b.w[part], prepend=0)
-            w[first] = b.w[part][first]
-            runs = np.stack([np.diff(v[first], prepend=0), np.diff(np.r_[first, len(v)])])
-            out.append((shard, rows[0]["block"], pack(runs.reshape(-1)), pack(w), pack(counts[part]), pack(b.v_count[part][first])))
-        return messages(out)
+        counts = b.counts(b.at, len(b.pairs))
+        return messages([_packed(shard, rows[0]["block"], b.v[p], b.w[p], counts[p], b.v_count[p]) for shard, p in b.dealt(hot)])
 
     return run
 
 
-def _pair_shard(prior: float):
-    """The shard's trie, and for every message the codes of its pairs and what the codes stand for."""
+def _triple_messages(shards: int, hot: float):
+    def run(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, said = blocks.to_pylist(), answers.to_pylist()
+        if not rows:
+            return messages([])
+        b = _Read(rows[0], [a for a in said if a["level"] == 1], shards)
+        b.triples([a for a in said if a["level"] == 2], hot)
+        counts = b.counts(b.triple_at, len(b.t_word), b.asked)
+        return messages([_packed(shard, rows[0]["block"], b.t_context[p], b.t_word[p], counts[p], b.t_count[p]) for shard, p in b.dealt_triples(hot)])
+
+    return run
+
+
+def _shard(prior: float, least: int, often: int | None):
+    """The shard's trie of what occurs ``least`` times or more, and for every message the codes of its n-grams and what the codes stand for.
+
+    With ``often``, also which of its n-grams occur so many times, and how many.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        shard, asked = key[0].as_py(), []
-        for r in table.to_pylist():
-            dv, runs = unpack(r["a"]).reshape(2, -1).astype(np.int64)
-            w, first = unpack(r["b"]).astype(np.int64), np.r_[0, np.cumsum(runs)[:-1]]
-            total = np.cumsum(w)
-            w = total - np.repeat(total[first] - w[first], runs)
-            asked.append((r["block"], np.repeat(np.cumsum(dv), runs), w, unpack(r["c"]).astype(np.int64), np.repeat(unpack(r["d"]).astype(np.int64), runs)))
-        v, w, c, of = (np.concatenate([a[i] for a in asked]) for i in (1, 2, 3, 4))
-        seen = c > 0
-        v, w, c, of = v[seen], w[seen], c[seen], of[seen]
+        shard, rows = key[0].as_py(), table.to_pylist()
+        asked = [_opened(r) for r in rows]
+        v = np.concatenate([np.repeat(c, n) for c, n, *_ in asked])
+        w, c = (np.concatenate([a[i] for a in asked]) for i in (2, 3))
+        of = np.concatenate([np.repeat(n, runs) for _, runs, _, _, n in asked])
         order = np.lexsort((w, v))
-        v, w, c, of = v[order], w[order], c[order], of[order]
-        new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(v) else np.zeros(0, np.int64)
-        c = np.add.reduceat(c, new) if len(v) else c
-        trie = Trie(v[new].astype(np.uint64), w[new].astype(np.uint64), c / (of[new] + prior))
-        return messages([(shard, block, pack(trie.search(x.astype(np.uint64), y.astype(np.uint64))), trie.levels.tobytes(), None, None) for block, x, y, _, _ in asked])
+        v, w = v[order], w[order]
+        new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+        c = np.add.reduceat(c[order], new)
+        own = c >= max(least, 1)
+        trie = Trie(v[new][own], w[new][own], c[own] / (of[order][new][own] + prior))
+        every = np.empty(len(order), np.int64)
+        if often is not None:
+            every[order] = np.repeat(c, np.diff(np.r_[new, len(order)]))
+        out, at = [], 0
+        for r, (contexts, runs, successors, _, _) in zip(rows, asked, strict=True):
+            many = (None, None)
+            if often is not None:
+                n = every[at : at + len(successors)]
+                many = np.packbits(n >= often).tobytes(), pack(n[n >= often])
+            at += len(successors)
+            out.append((shard, r["block"], pack(trie.search(contexts, runs, successors)), trie.levels.tobytes(), *many))
+        return messages(out)
 
     return run
 
 
-def _scores(shards: int, hot: float, prior: float, n: int, kinds: int, id_type: pa.DataType):
+def _shares(n: int, dealt: Iterator[tuple[int, np.ndarray]], said: list[dict]) -> np.ndarray:
+    """What the answers' codes stand for, by n-gram."""
+    out, answers = np.zeros(n), {a["shard"]: a for a in said}
+    for shard, part in dealt:
+        out[part] = np.frombuffer(answers[shard]["b"], np.float32)[unpack(answers[shard]["a"]).astype(np.int64)]
+    return out
+
+
+def _scores(shards: int, hot: float, priors: tuple[float, float], order: int, n: int, kinds: int, id_type: pa.DataType):
     def run(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         rows, said = blocks.to_pylist(), answers.to_pylist()
         names = ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"]
         types = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not rows:
             return pa.schema(list(zip(names, types, strict=True))).empty_table()
-        b = _Read(rows[0], [a for a in said if a["level"] == 1], shards)
-        share, codes = np.zeros(len(b.pairs)), {a["shard"]: a for a in said if a["level"] == 2}
-        for shard, part in b.dealt(hot):
-            share[part] = np.frombuffer(codes[shard]["b"], np.float32)[unpack(codes[shard]["a"]).astype(np.int64)]
+        level = lambda k: [a for a in said if a["level"] == k]
+        b = _Read(rows[0], level(1), shards)
         plain = (b.count + 1) / (n + kinds + 1)
-        back = prior / (b.count + prior)
-        each = np.log10(share[b.at] + back[b.before] * plain[b.tokens])
+        back = priors[0] / (b.count + priors[0])
+        each = _shares(len(b.pairs), b.dealt(hot), level(2))[b.at] + back[b.before] * plain[b.tokens]
+        if order > 2:
+            b.triples(level(2), hot)
+            each[b.after] *= (priors[1] / (b.pair_count + priors[1]))[b.context[b.after]]
+            each[b.asked] += _shares(len(b.t_word), b.dealt_triples(hot), level(3))[b.triple_at]
         total = lambda x: np.add.reduceat(x, b.starts)
         known = (b.count > 0).astype(np.int64)
-        out = [rows[0]["ids"], b.train, b.sizes, total(known[b.tokens]), total(np.log10(plain)[b.tokens]), total(each)]
+        out = [rows[0]["ids"], b.train, b.sizes, total(known[b.tokens]), total(np.log10(plain)[b.tokens]), total(np.log10(each))]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
     return run
 
 
-def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", prior: float = 100.0, block: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", order: int = 3, priors: tuple[float, float] = PRIORS, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``doc_id, train, n_tokens, n_known, train_tokens, base_score, score``.
 
     The model learns from the rows for which ``train`` holds (null doesn't) and
     scores all. Tokens are words, A-Z in lower case, then an end. ``base_score`` is
-    the add-one unigram log10 probability; ``score`` that of the bigram model, whose
-    probability of a successor is its count over the context's count plus
-    ``prior``, quantised downwards, and for the rest the unigram probability. A
-    null text counts as empty and has one token, the end. Repeated rows each count
+    the add-one unigram log10 probability; ``score`` that of the model of ``order``
+    2 or 3. The probability of a successor is its count over the context's count
+    plus the level's prior, quantised downwards, and for the rest that of the next
+    shorter context; the first token of a text has an end for its context and none
+    longer. Triples of fewer than ``least`` training occurrences, two at least, are
+    pruned and have no share of their own; a pair of fewer is no context.
+
+    A null text counts as empty and has one token, the end. Repeated rows each count
     and get their row; an empty table gives none. Other columns are ignored.
 
-    Words are told apart by 64-bit hashes. A context with over 1 in 200 of all
-    tokens is spread over the shards, so no shard holds a third of the pairs.
+    Words are told apart by 64-bit hashes, and have numbers under 2^32. A context
+    with over 1 in 200 of all tokens is spread over the shards, so no shard holds a
+    third of the n-grams. The number of shards follows the size of the blocks.
     """
-    shards = tasks(docs)
+    if order not in (2, 3) or least < 2:
+        raise ValueError("order must be 2 or 3, and least 2 or more")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = base.schema["doc_id"].dataType
     arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
@@ -338,14 +430,22 @@ def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
         base = base.withColumn("doc_id", F.col("doc_id").cast("string"))
     name = "long" if arrow == pa.int64() else "int" if arrow == pa.int32() else "string"
     blocks = durable(base.mapInArrow(_blocks(arrow, block), f"block long, ids array<{name}>, {BLOCK_TYPES}"))
-    by_shard = lambda m: m.groupBy("shard")
+    shards = spread_over(blocks, F.length("tokens") + F.length("hashes"), SHARD)
+    by_shard = lambda m: m.repartition(shards, "shard").groupBy("shard")
+    by_block = lambda m: m.repartition(shards, "block").groupBy("block")
     words = durable(by_shard(blocks.select("block", "hashes", "counts").mapInArrow(_word_messages(shards), MESSAGE)).applyInArrow(_word_shard(shards), MESSAGE))
     n, kinds = (int(sum(x)) for x in zip((0, 0), *[unpack(bytes(r.a)).tolist() for r in words.where("block = -1").select("a").toLocalIterator()]))  # two numbers a shard
     words, hot = words.where("block >= 0"), n * HOT
-    pairs = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_pair_messages(shards, hot), MESSAGE)
-    codes = by_shard(pairs).applyInArrow(_pair_shard(prior), MESSAGE)
-    answers = words.withColumn("level", F.lit(1)).unionAll(codes.withColumn("level", F.lit(2)))
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _scores(shards, hot, prior, n, kinds, arrow), f"doc_id {name}, train boolean, n_tokens long, n_known long, base_score double, score double"
+    pairs = by_block(blocks).cogroup(by_block(words)).applyInArrow(_pair_messages(shards, hot), MESSAGE)
+    said = words.withColumn("level", F.lit(1))
+    codes = by_shard(pairs).applyInArrow(_shard(priors[0], 1, least if order > 2 else None), MESSAGE)
+    if order > 2:
+        codes = durable(codes)
+    said = said.unionAll(codes.withColumn("level", F.lit(2)))
+    if order > 2:
+        triples = by_block(blocks).cogroup(by_block(said)).applyInArrow(_triple_messages(shards, hot), MESSAGE)
+        said = said.unionAll(by_shard(triples).applyInArrow(_shard(priors[1], least, None), MESSAGE).withColumn("level", F.lit(3)))
+    out = by_block(blocks).cogroup(by_block(said)).applyInArrow(
+        _scores(shards, hot, priors, order, n, kinds, arrow), f"doc_id {name}, train boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -182,29 +182,48 @@ def test_mixing(spark):
     assert words == collections.Counter({r.doc_id: r.taken for r in out if r.taken})
 
 
-def test_lm(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm(spark, order):
     rng = random.Random(6)
     vocabulary = [f"W{i}" for i in range(40)]
     docs = [(i, None if i == 5 else " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(40)], k=rng.randint(0, 60)))) for i in range(200)]
     train = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 != 2}
     tokens = {i: [w.lower() for w in (t or "").split()] + [""] for i, t in docs}
-    c, c2 = collections.Counter(), collections.Counter()
+    c, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
     for i in train:
         c.update(tokens[i])
         c2.update(zip(["", *tokens[i]], tokens[i]))
+        c3.update(zip(["", *tokens[i]], tokens[i], tokens[i][1:]))
     n, v = sum(c.values()), len(c)
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    for block in (50, 10**6):
-        out = lm.score(table(spark, docs), ~held, block=block, prior=20.0).collect()
+    base = lambda w: (c[w] + 1) / (n + v + 1)
+    two = lambda a, w: (c2[a, w] + 20 * base(w)) / (c[a] + 20)
+
+    def three(a, b, w, least):
+        if order == 2 or c2[a, b] < least:
+            return two(b, w)
+        own = c3[a, b, w] if c3[a, b, w] >= least else 0
+        return (own + 5 * two(b, w)) / (c2[a, b] + 5)
+
+    assert sum(x >= 3 for x in c3.values()) > 50
+    for block, least in ((50, 2), (10**6, 3)):
+        out = lm.score(table(spark, docs), ~held, block=block, priors=(20.0, 5.0), order=order, least=least).collect()
         for r in out:
-            base = lambda w: (c[w] + 1) / (n + v + 1)
-            assert r.train == (r.doc_id in train) and r.train_tokens == n and r.n_tokens == len(tokens[r.doc_id])
-            assert r.n_known == sum(c[w] > 0 for w in tokens[r.doc_id])
-            assert r.base_score == pytest.approx(sum(math.log10(base(w)) for w in tokens[r.doc_id]))
-            want = sum(math.log10((c2[a, w] + 20 * base(w)) / (c[a] + 20)) for a, w in zip(["", *tokens[r.doc_id]], tokens[r.doc_id]))
+            t = tokens[r.doc_id]
+            assert r.train == (r.doc_id in train) and r.train_tokens == n and r.n_tokens == len(t)
+            assert r.n_known == sum(c[w] > 0 for w in t)
+            assert r.base_score == pytest.approx(sum(math.log10(base(w)) for w in t))
+            want = math.log10(two("", t[0])) + sum(math.log10(three(a, b, w, least)) for a, b, w in zip(["", *t], t, t[1:]))
             assert r.score == pytest.approx(want, abs=0.03 * r.n_tokens)
 
 
+def test_lm_of_order_three_tells_held_out_texts_better(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    bits = {order: lm.score(docs, train, order=order).where("not train").agg(F.sum("score") / F.sum("n_tokens")).first()[0] for order in (2, 3)}
+    assert bits[3] > bits[2]
+
+
 @pytest.mark.parametrize("top", [1, 3, 1000, 10**6, 2**62])
 def test_elias_fano_is_read_and_searched_in_place(top):
     rng = np.random.default_rng(top % 97)
@@ -225,7 +244,8 @@ def test_trie_and_packing():
     v, w = (np.array(x, np.uint64) for x in zip(*pairs))
     trie = lm.Trie(v, w, np.linspace(0.01, 0.9, len(v)))
     ask = rng.integers(0, 310, (5000, 2)).astype(np.uint64)
-    codes = trie.search(ask[:, 0], ask[:, 1])
+    ask = ask[np.argsort(ask[:, 0], kind="stable")]
+    codes = trie.search(*np.unique(ask[:, 0], return_counts=True), ask[:, 1])
     assert [bool(x) for x in codes] == [(int(a), int(b)) in set(pairs) for a, b in ask]
 
 
