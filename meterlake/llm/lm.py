@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import durable, spread_over
+from .common import durable, spread_over, tasks
 from .packing import MESSAGE, messages, pack, pack_rising, unpack, unpack_rising
 
 #: Tokens of a block at least; a longer document is a block by itself.
@@ -429,23 +429,21 @@ def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
     if not pa.types.is_integer(arrow):
         base = base.withColumn("doc_id", F.col("doc_id").cast("string"))
     name = "long" if arrow == pa.int64() else "int" if arrow == pa.int32() else "string"
+    parts = tasks(docs)
+    near = lambda m: m.repartition(parts, "block")  # noqa: E731  each level's answers move once, for all that read them
     blocks = durable(base.mapInArrow(_blocks(arrow, block), f"block long, ids array<{name}>, {BLOCK_TYPES}"))
     shards = spread_over(blocks, F.length("tokens") + F.length("hashes"), SHARD)
     by_shard = lambda m: m.repartition(shards, "shard").groupBy("shard")
-    by_block = lambda m: m.repartition(shards, "block").groupBy("block")
+    placed = near(blocks)
+    told = lambda answers, run, types=MESSAGE: placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, types)
     words = durable(by_shard(blocks.select("block", "hashes", "counts").mapInArrow(_word_messages(shards), MESSAGE)).applyInArrow(_word_shard(shards), MESSAGE))
     n, kinds = (int(sum(x)) for x in zip((0, 0), *[unpack(bytes(r.a)).tolist() for r in words.where("block = -1").select("a").toLocalIterator()]))  # two numbers a shard
-    words, hot = words.where("block >= 0"), n * HOT
-    pairs = by_block(blocks).cogroup(by_block(words)).applyInArrow(_pair_messages(shards, hot), MESSAGE)
-    said = words.withColumn("level", F.lit(1))
-    codes = by_shard(pairs).applyInArrow(_shard(priors[0], 1, least if order > 2 else None), MESSAGE)
+    hot = n * HOT
+    said = near(words.where("block >= 0").withColumn("level", F.lit(1)))
+    codes = by_shard(told(said, _pair_messages(shards, hot))).applyInArrow(_shard(priors[0], 1, least if order > 2 else None), MESSAGE)
+    said = said.unionAll(near(codes.withColumn("level", F.lit(2))))
     if order > 2:
-        codes = durable(codes)
-    said = said.unionAll(codes.withColumn("level", F.lit(2)))
-    if order > 2:
-        triples = by_block(blocks).cogroup(by_block(said)).applyInArrow(_triple_messages(shards, hot), MESSAGE)
-        said = said.unionAll(by_shard(triples).applyInArrow(_shard(priors[1], least, None), MESSAGE).withColumn("level", F.lit(3)))
-    out = by_block(blocks).cogroup(by_block(said)).applyInArrow(
-        _scores(shards, hot, priors, order, n, kinds, arrow), f"doc_id {name}, train boolean, n_tokens long, n_known long, base_score double, score double"
-    )
+        codes = by_shard(told(said, _triple_messages(shards, hot))).applyInArrow(_shard(priors[1], least, None), MESSAGE)
+        said = said.unionAll(near(codes.withColumn("level", F.lit(3))))
+    out = told(said, _scores(shards, hot, priors, order, n, kinds, arrow), f"doc_id {name}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
