@@ -3,7 +3,8 @@
 A text is brought into a canonical form: copyright lines go, letters become
 lower case, equivalent spellings become one, and whatever is no letter or digit
 becomes one space. The SHA-256 of the whole canonical text is joined to the
-digests of known licenses in the same form.
+digests of known licenses in the same form. Every line is looked up in the same way,
+which finds the notices of one line that stand inside other texts.
 """
 
 from __future__ import annotations
@@ -68,6 +69,24 @@ KNOWN = {
     "MIT-line": "Released under the MIT License.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
+}
+# Digests of the canonical forms of whole licenses as their publishers give them out; a test makes them anew from the texts.
+DIGESTS = {
+    "Apache-2.0": "0be25ae8b112b6c47bf696a745855eebba678079747ad8bbf877d928555027f1",
+    "Artistic-1.0-Perl": "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2",
+    "BSD-3-Clause-UC": "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2": "fdbd790ae9850ae81a2c777de181b7ceb77f56f8916bab9409c3a7724c8f131a",
+    "GFDL-1.3": "9af8b09a25e07e574718758cdf5a64581433b2e9f0cd27bd6665cce5b182563b",
+    "GPL-1.0": "b0b451371aa8b1fca2656e1c4adfd20298318818523446f7571338a5b932e23f",
+    "GPL-2.0": "c683128a79af968653f7a06709159e41adcfcb00ca1e8ab9ffa1d516dcf82123",
+    "GPL-3.0": "ab0ff01b5102d67da216e91690a50504aebf46513a85db94155933b2db63283f",
+    "LGPL-2.0": "b64047590f42a52d46a8a93fad9485df2e189694e4b51288546e57ce10e59769",
+    "LGPL-2.1": "bc7898eef7d53923eff574c7a898468049b8e1e90eef19ba0b8132904dd70a66",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    "MPL-2.0": "7f7a609103d49ef139df4ae6d94daa56e3f924838b03840831300356510a8766",
 }
 
 
@@ -80,23 +99,35 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(c, OTHER, " "))
 
 
-def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """``license_id, text``."""
-    return spark.createDataFrame(list((KNOWN if texts is None else texts).items()), "license_id string, text string")
+def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None, digests: dict[str, str] | None = None) -> DataFrame:
+    """``license_id, text, digest``: licenses by their text, or by the digest of its canonical form."""
+    rows = [(i, t, None) for i, t in (KNOWN if texts is None else texts).items()]
+    rows += [(i, None, d) for i, d in ((DIGESTS if texts is None else {}) if digests is None else digests).items()]
+    return spark.createDataFrame(rows, "license_id string, text string, digest string")
 
 
 def license_scan(docs: DataFrame, known: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, license_id, digest``; ``license_id`` is null for a text that is no known license.
+    """One row per input row: ``doc_id, license_id, digest, line_licenses``.
+
+    ``license_id`` is null for a text that is no known license; ``line_licenses``
+    lists, sorted and once each, those that a line of the text is.
 
-    ``known`` has ``license_id, text``; of licenses alike in canonical form the
-    smallest name counts, null names and empty forms don't. A null text counts as
-    empty and matches nothing. Repeated rows each get their row; an empty table
-    gives none. Other columns are ignored. Texts are read once and not shuffled
-    while the known digests are few enough to broadcast.
+    ``known`` has ``license_id`` and ``text`` or ``digest``; of licenses alike in
+    canonical form the smallest name counts, null names and empty forms don't. A
+    null text counts as empty and matches nothing. Repeated rows each get their row;
+    an empty table gives none. Other columns are ignored. Texts are read once and
+    not shuffled. The known digests are broadcast, at most BROADCAST_ROWS of them;
+    with more, whole texts are joined by shuffle and ``line_licenses`` is null.
     """
-    k = known.select(F.sha2(canonical(F.coalesce("text", F.lit(""))), 256).alias("digest"), "license_id", canonical(F.coalesce("text", F.lit(""))).alias("form"))
-    k = k.where("form != '' and license_id is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    if k.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        k = F.broadcast(k)
-    d = slim(docs, doc_id, text).select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return d.join(k, "digest", "left").select("doc_id", "license_id", "digest")
+    form = canonical(F.coalesce("text", F.lit("")))
+    own = F.col("digest") if "digest" in known.columns else F.lit(None).cast("string")
+    k = known.select("license_id", F.coalesce(own, F.when(form != "", F.sha2(form, 256))).alias("digest"))
+    k = k.where("digest is not null and license_id is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    d = slim(docs, doc_id, text)
+    whole = F.sha2(canonical(F.col("text")), 256).alias("digest")
+    if k.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return d.select("doc_id", whole).join(k, "digest", "left").select("doc_id", "license_id", "digest", F.lit(None).cast("array<string>").alias("line_licenses"))
+    table = k.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("known"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.try_element_at("known", F.sha2(canonical(x), 256)))
+    d = d.join(F.broadcast(table)).select("doc_id", whole, F.array_sort(F.array_distinct(F.array_compact(lines))).alias("line_licenses"))
+    return d.join(F.broadcast(k), "digest", "left").select("doc_id", "license_id", "digest", "line_licenses")

@@ -44,7 +44,8 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    found = licenses.license_scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    return found.withColumn("line_licenses", F.array_join("line_licenses", ","))
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +98,12 @@ def _license_sql() -> str:
         return f"trim(regexp_replace({out}, '{licenses.OTHER}', ' ', 'g'), ' ')"
 
     rows = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in licenses.KNOWN.items())
+    digests = ", ".join(f"('{k}', '{v}')" for k, v in licenses.DIGESTS.items())
     return f"""
-WITH k AS (SELECT sha256({form("t")}) AS digest, min(id) AS license_id FROM (VALUES {rows}) v(id, t) GROUP BY 1),
-d AS (SELECT doc_id, sha256({form("coalesce(text, '')")}) AS digest FROM documents)
-SELECT doc_id, license_id, digest FROM d LEFT JOIN k USING (digest)"""
+WITH k AS (SELECT digest, min(id) AS license_id FROM (SELECT id, sha256({form("t")}) AS digest FROM (VALUES {rows}) v(id, t) UNION ALL SELECT * FROM (VALUES {digests}) w(id, digest)) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses FROM (SELECT n, sha256({form("x")}) AS digest FROM (SELECT n, unnest(string_split(t, chr(10))) AS x FROM d)) JOIN k USING (digest) GROUP BY n)
+SELECT doc_id, license_id, digest, coalesce(line_licenses, '') AS line_licenses FROM (SELECT n, doc_id, sha256({form("t")}) AS digest FROM d) LEFT JOIN k USING (digest) LEFT JOIN l USING (n)"""
 
 
 ORACLE_SQL = {

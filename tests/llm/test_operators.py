@@ -251,9 +251,41 @@ def test_trie_and_packing():
 
 def test_license_scan(spark):
     mit = licenses.KNOWN["MIT"]
-    texts = ["Copyright (c) 2020 Someone\n\n" + mit, mit.upper().replace(" ", "\n  "), mit + " more", "Released under the MIT License.", "", None, "(c) only"]
-    out = licenses.license_scan(table(spark, list(enumerate(texts))), licenses.known_licenses(spark)).orderBy("doc_id").collect()
-    assert [r.license_id for r in out] == ["MIT", "MIT", None, "MIT-line", None, None, None]
+    texts = ["Copyright (c) 2020 Someone\n\n" + mit, mit.upper().replace(" ", "\n  "), mit + " more", "Released under the MIT License.", "", None, "(c) only", "some prose\n  released under the MIT Licence\nmore\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License."]
+    docs = table(spark, list(enumerate(texts)))
+    out = licenses.license_scan(docs, licenses.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r.license_id for r in out] == ["MIT", "MIT", None, "MIT-line", None, None, None, None]
+    assert [r.line_licenses for r in out] == [["MIT"], [], [], ["MIT-line"], [], [], [], ["CC-BY-NC-4.0-line", "MIT-line"]]
+    none = licenses.license_scan(docs, licenses.known_licenses(spark, {}, {})).collect()
+    assert len(none) == len(texts) and not any(r.license_id or r.line_licenses for r in none)
+
+
+def test_license_scan_with_more_known_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 3)
+    out = licenses.license_scan(table(spark, [(1, licenses.KNOWN["ISC"]), (2, "x")]), licenses.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [(r.license_id, r.line_licenses) for r in out] == [("ISC", None), (None, None)]
+
+
+def test_whole_licenses_wrapped_and_spelled_otherwise(spark):
+    """Whole license texts of this machine, as they are and wrapped anew, in capitals, with other spellings and copyright lines."""
+    import pathlib
+    import textwrap
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause-UC"}
+    files = {i: pathlib.Path("/usr/share/common-licenses", f) for f, i in names.items()}
+    if not all(f.exists() for f in files.values()):
+        pytest.skip("no license texts on this machine")
+    texts = []
+    for i, f in files.items():
+        text = f.read_text(encoding="utf-8", errors="replace")
+        body = "\n".join(x for x in text.split("\n") if "opyright" not in x)
+        other = text.replace("license", "licence").replace("License", "Licence").replace("https://", "http://").replace('"', "'")
+        texts += [(i, text), (i, other), (i, "Copyright (C) 2001 Some One\n" + text)]
+        if body == text:
+            texts.append((i, textwrap.fill(text, 50, replace_whitespace=False)))
+    docs = table(spark, list(enumerate(t for _, t in texts)))
+    out = licenses.license_scan(docs, licenses.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r.license_id for r in out] == [i for i, _ in texts]
 
 
 def test_imatch(spark):
