@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import durable, slim, tasks
+from .common import durable, slim, spread_over, tasks
 from .packing import MESSAGE, messages, pack, pack_rising, unpack, unpack_rising
 
 #: Bytes of a repeated string, of its gram, and how many grams it has; the columns of a context.
@@ -41,6 +41,10 @@ SIDE = LENGTH - GRAM
 COLUMNS = 2 * SIDE + GRAM
 #: Bytes of a block at least; a longer document is a block by itself.
 BLOCK = 4_000_000
+#: Compressed bytes of blocks that go to one shard on average.
+SHARD = 16 << 20
+#: Contexts that are built at once.
+SLICE = 1 << 16
 #: Stands beside a text in its contexts; no UTF-8 text has this byte.
 EDGE = 0xFF
 #: A gram is split if it has over this share of its shard's places, and at least so many.
@@ -76,6 +80,10 @@ def _marks(rows: np.ndarray) -> np.ndarray:
     return mark
 
 
+def _slices(n: int) -> Iterator[slice]:
+    return (slice(i, i + SLICE) for i in range(0, n, SLICE))
+
+
 def _heads(rows: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """Which of sorted rows differ from the one before, in themselves or their keys."""
     first = np.ones(len(rows), bool)
@@ -104,7 +112,7 @@ class _Block:
     """A block's texts one after another, and the grams that are smallest in some string of theirs."""
 
     def __init__(self, row: dict) -> None:
-        self.ids, self.sizes = np.array(row["ids"], np.int64), unpack(row["sizes"]).astype(np.int64)
+        self.ids, self.sizes = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64), unpack(row["sizes"]).astype(np.int64)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8)
         self.ends = np.cumsum(self.sizes)
         n = len(self.data)
@@ -139,6 +147,17 @@ class _Block:
     def share(self, shards: int) -> np.ndarray:
         return (self.grams % np.uint64(shards)).astype(np.int64)
 
+    def _rows(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The contexts of some places, EDGE beside their texts."""
+        padded = np.pad(self.data[max(0, int(at.min()) - SIDE) : int(at.max()) + GRAM + SIDE], (max(0, SIDE - int(at.min())), SIDE + GRAM), constant_values=EDGE)
+        rows = np.lib.stride_tricks.sliding_window_view(padded, COLUMNS)[at - at.min()]
+        before, after = (at - (self.ends - self.sizes)[doc]), self.ends[doc] - at
+        cut = np.flatnonzero((before < SIDE) | (after < GRAM + SIDE))
+        if len(cut):
+            column = np.arange(COLUMNS) - SIDE
+            rows[cut] = np.where((column >= -before[cut, None]) & (column < after[cut, None]), rows[cut], np.uint8(EDGE))
+        return rows
+
     def contexts(self, answers: list[dict], shards: int) -> None:
         """Contexts of the grams that two documents share, equal ones of a block once, in the order in which shards get them."""
         to, shared, hot = self.share(shards), np.zeros(len(self.grams), bool), np.zeros(len(self.grams), bool)
@@ -149,19 +168,21 @@ class _Block:
                 hot[m] = np.unpackbits(np.frombuffer(a["b"], np.uint8), count=int(m.sum())).astype(bool)
         own = shared[self.kind]
         at, doc, kind = self.at[own], self.doc[own], self.kind[own]
-        padded = np.concatenate([np.full(SIDE, EDGE, np.uint8), self.data, np.full(SIDE, EDGE, np.uint8)])
-        rows = np.lib.stride_tricks.sliding_window_view(padded, COLUMNS)[at] if len(at) else np.zeros((0, COLUMNS), np.uint8)
-        place = at[:, None] - SIDE + np.arange(COLUMNS, dtype=np.int32)
-        start, end = (self.ends - self.sizes)[doc], self.ends[doc]
-        rows = np.where((place >= start[:, None]) & (place < end[:, None]), rows, np.uint8(EDGE))
-        del place
-        mark = _marks(rows)
+        mark = np.zeros(len(at), np.uint64)
+        for part in _slices(len(at)):
+            mark[part] = _marks(self._rows(at[part], doc[part]))
         order = np.lexsort((at, self.ids[doc], mark, kind))
-        at, doc, kind, mark, rows = at[order], doc[order], kind[order], mark[order], rows[order]
-        first = _heads(rows, mark, kind)
+        at, doc, kind, mark = at[order], doc[order], kind[order], mark[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (mark[1:] != mark[:-1]) | (kind[1:] != kind[:-1])
+        like = np.flatnonzero(~first)
+        for part in _slices(len(like)):
+            a, b = like[part], like[part] - 1
+            first[a] = (self._rows(at[a], doc[a]) != self._rows(at[b], doc[b])).any(axis=1)
         self.spot, self.owner, self.first = at, doc, first
         self.group = np.cumsum(first) - 1
-        kind, rows, ids = kind[first], rows[first], self.ids[doc[first]]
+        kind, ids = kind[first], self.ids[doc[first]]
+        rows = np.concatenate([np.zeros((0, COLUMNS), np.uint8), *[self._rows(at[first][part], doc[first][part]) for part in _slices(len(ids))]])
         self.whole, split = np.flatnonzero(~hot[kind]), np.flatnonzero(hot[kind])
         self.split, sent = [], [(rows[self.whole], to[kind[self.whole]], ids[self.whole])]
         for column, own, string, alone, shard, least in _strings(rows[split], ids[split], shards):
@@ -310,10 +331,10 @@ def _kept(shards: int):
         b.contexts([a for a in said if a["step"] == 1], shards)
         gone = b.removed([a for a in said if a["step"] == 2])
         out = []
-        for i, a, e in zip(b.ids.tolist(), (b.ends - b.sizes).tolist(), b.ends.tolist(), strict=True):
+        for i, a, e in zip(rows[0]["ids"], (b.ends - b.sizes).tolist(), b.ends.tolist(), strict=True):
             g = gone[a:e]
             spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(e > a and g[0])
-            out.append((None if i == NO_ID else i, e - a, int(np.count_nonzero(g)), spans, b.data[a:e][~g].tobytes()))
+            out.append((i, e - a, int(np.count_nonzero(g)), spans, b.data[a:e][~g].tobytes()))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), OUT.types, strict=True)], schema=OUT)
 
     return run
@@ -324,17 +345,20 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     A byte goes if a string of 50 bytes that covers it also starts in a document
     with a smaller identifier; strings are judged on the input. Identifiers are
-    whole numbers. A null one counts as larger than any other; rows of one
+    whole numbers. A null one counts as the largest there can be; rows of one
     identifier don't make each other's bytes go. A null text counts as empty;
     texts under 50 bytes stay whole. An empty table gives no rows. Other columns
     are ignored.
     """
-    shards = tasks(docs)
-    base = slim(docs, doc_id, text).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    parts = tasks(docs)
+    base = slim(docs, doc_id, text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     blocks = durable(base.mapInArrow(_blocks(block), "block long, ids array<long>, sizes binary, data binary"))
-    shared = durable(blocks.mapInArrow(_gram_messages(shards), MESSAGE).groupBy("shard").applyInArrow(_gram_shard, MESSAGE))
-    asked = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_context_messages(shards), MESSAGE)
-    told = asked.groupBy("shard").applyInArrow(_context_shard, MESSAGE)
-    answers = shared.withColumn("step", F.lit(1)).unionAll(told.withColumn("step", F.lit(2)))
+    shards = spread_over(blocks, F.length("data"), SHARD)
+    by_shard = lambda m: m.repartition(shards, "shard").groupBy("shard")
+    near = lambda m: m.repartition(parts, "block")  # noqa: E731  each step's answers move once, for all that read them
+    shared = durable(by_shard(blocks.mapInArrow(_gram_messages(shards), MESSAGE)).applyInArrow(_gram_shard, MESSAGE))
+    placed, said = near(blocks), near(shared.withColumn("step", F.lit(1)))
+    asked = placed.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_context_messages(shards), MESSAGE)
+    told = near(by_shard(asked).applyInArrow(_context_shard, MESSAGE).withColumn("step", F.lit(2)))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_kept(shards), out)
+    return placed.groupBy("block").cogroup(said.unionAll(told).groupBy("block")).applyInArrow(_kept(shards), out)
