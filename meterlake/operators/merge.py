@@ -7,7 +7,7 @@ are (person, day, tool) or finer, so no window holds more than one person's day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import KNOWN, METRICS, UNSUPPORTED, default_evidence, machine_pseudonym, max_merged, sum_merged
@@ -108,13 +108,57 @@ def divert(legacy: DataFrame, covered: DataFrame) -> tuple[DataFrame, DataFrame]
     return legacy.join(covered, keys, "left_anti"), legacy.join(covered, keys, "left_semi")
 
 
+#: Fields that tell the scope of a report.
+SCOPE = ["source_id", "account_id", "period_start", "period_end", "time_zone", "granularity", "coverage", "partition"]
+
+
+def _scope() -> Column:
+    return F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SCOPE])), 256)
+
+
+def replace_reports(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored report rows with those of every scope of a batch replaced whole; a row that its scope no longer has is gone.
+
+    ``batch`` has a ``snapshot`` beside the fields of ``stored``: two snapshots of one
+    scope in a batch are an error. A snapshot without rows comes as one row whose
+    ``external_id`` is null, and empties its scope.
+    """
+    b = batch.withColumn("scope", _scope())
+    n = b.groupBy("scope").agg(F.count_distinct("snapshot").alias("n"))
+    once = F.when(F.col("n") == 1, True).otherwise(F.raise_error(F.lit("two reports of one scope"))).cast("boolean")
+    fresh = b.join(n, "scope").where(once)
+    stays = stored.withColumn("scope", _scope()).join(fresh.select("scope").distinct(), "scope", "left_anti")
+    return stays.select(*stored.columns).unionByName(fresh.where("external_id IS NOT NULL").select(*stored.columns))
+
+
 def latest_reports(snapshots: DataFrame) -> DataFrame:
-    """Report rows of each scope's latest snapshot; a row that it no longer has is gone. Scopes are told by the digest of their fields."""
-    keyed = snapshots.withColumn("scope", F.sha2(F.to_json(F.array("source_id", "account_id", "period")), 256))
-    last = keyed.withColumn("latest", F.max("arrival").over(Window.partitionBy("scope")))
+    """Report rows of each scope's latest arrival."""
+    last = snapshots.withColumn("latest", F.max("arrival").over(Window.partitionBy(_scope())))
     return last.where("arrival = latest").drop("latest")
 
 
+#: A session identifier that stands for a device's day, and its date.
+DAY_SESSION = r"^grok-.{1,8}-(\d{4}-\d{2}-\d{2})$"
+
+
+def drop_renamed(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored buckets that a batch doesn't replace under another name of their device's day.
+
+    Both have BUCKET's columns, ``parser_version`` and ``machine_ids``, an array. A
+    newer parser may name a device's days otherwise; then for each device in the
+    batch, older versions' day sessions of the same person from its first day on go,
+    unless the batch has them. Sessions with identifiers of their own stay.
+    """
+    day_of = F.regexp_extract("session_id", DAY_SESSION, 1)
+    own = lambda df: df.where((F.col("tool") == "grok") & (day_of != "")).withColumn("machine", F.explode("machine_ids"))
+    named = own(batch).select("external_id", "machine", "session_id", "parser_version", F.substring("hour", 1, 10).alias("day"))
+    device = named.groupBy("external_id", "machine").agg(F.max("parser_version").alias("top"), F.min("day").alias("first"))
+    stale = own(stored).withColumn("day", F.substring("hour", 1, 10)).where(day_of == F.col("day")).join(device, ["external_id", "machine"])
+    stale = stale.where((F.col("day") >= F.col("first")) & (F.col("parser_version") < F.col("top")))
+    stale = stale.join(named.select("external_id", "machine", "session_id").distinct(), ["external_id", "machine", "session_id"], "left_anti")
+    return stored.join(stale.select(*BUCKET).distinct(), BUCKET, "left_anti")
+
+
 def pseudonymous(rows: DataFrame) -> DataFrame:
     return rows.withColumn("machine_id", machine_pseudonym(F.col("machine_id")))
 

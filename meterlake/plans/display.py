@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import spine
@@ -129,6 +129,20 @@ def member_series_other(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("series", "date").agg(F.round(F.sum("value"), 9).alias("value"))
 
 
+@query("member_series_spine", """WITH s AS (SELECT strftime(DATE '2023-12-28' + CAST(range AS INT), '%Y-%m-%d') AS date FROM range(40)), n AS (SELECT 'm' || member_id AS series, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' · ' || member_id ELSE name END AS label FROM roster UNION ALL SELECT 'other', 'other' WHERE EXISTS (SELECT 1 FROM shown LEFT JOIN roster r USING (member_id) WHERE r.member_id IS NULL)),
+  k AS (SELECT coalesce('m' || r.member_id, 'other') AS series, x.date, x.usd_value, x.unpriced FROM shown x LEFT JOIN roster r ON r.member_id = x.member_id) SELECT n.series, n.label, s.date, round(sum(k.usd_value), 9) AS value, coalesce(sum(k.unpriced), 0)::BIGINT AS unpriced_tokens FROM s CROSS JOIN n LEFT JOIN k ON k.series = n.series AND k.date = s.date GROUP BY ALL""")
+def member_series_spine(spark: SparkSession, d: str) -> DataFrame:
+    """A value, null if none, for every listed member and day, the others together; members of one name are told apart."""
+    same = F.count(F.lit(1)).over(Window.partitionBy("name")) > 1
+    names = roster(spark, d).select(F.concat(F.lit("m"), F.col("member_id").cast("string")).alias("series"), F.when(same, F.concat_ws(" · ", "name", F.col("member_id").cast("string"))).otherwise(F.col("name")).alias("label"), "member_id")
+    x = shown(spark, daily_usage(spark, d)).select("member_id", "date", "value", "unpriced").join(names.select("member_id", "series"), "member_id", "left")
+    per = x.groupBy(F.coalesce("series", F.lit("other")).alias("series"), "date").agg(F.sum("value").alias("v"), F.sum("unpriced").alias("u"))
+    other = per.where("series = 'other'").select("series", F.lit("other").alias("label")).limit(1)  # one label
+    dates = F.transform(F.sequence(F.lit("2023-12-28").cast("date"), F.lit("2024-02-05").cast("date")), lambda x: F.date_format(x, "yyyy-MM-dd"))
+    cells = names.select("series", "label").unionByName(other).select("series", "label", F.explode(dates).alias("date"))
+    return cells.join(per, ["series", "date"], "left").select("series", "label", "date", F.round("v", 9).alias("value"), F.coalesce("u", F.lit(0)).cast("long").alias("unpriced_tokens"))
+
+
 @query("display_heatmap", "SELECT s.dow, s.hour, sum(h.t)::BIGINT AS tokens FROM (SELECT a.range AS dow, b.range AS hour FROM range(7) a, range(24) b) s LEFT JOIN (SELECT isodow(CAST(substr(hour,1,10) AS DATE)) - 1 AS dow, CAST(substr(hour,12,2) AS BIGINT) AS hour, CASE WHEN NOT (source = 'poller' AND tool = 'copilot') THEN nullif(coalesce(input_tokens, 0) + coalesce(output_tokens, 0), 0) END AS t FROM hourly) h USING (dow, hour) GROUP BY ALL")
 def display_heatmap(spark: SparkSession, d: str) -> DataFrame:
     """Cells without a measured value stay null."""

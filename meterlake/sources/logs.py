@@ -29,6 +29,11 @@ def lines(spark: SparkSession, path: str, *, modified_after: str | None = None)
     return raw.select("file", order.alias("pos"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
+def since(events: DataFrame, first: str | None) -> DataFrame:
+    """Events of the days from the first on: a file touched since may hold older lines."""
+    return events if first is None else events.where(F.col("date") >= first)
+
+
 def _long(path: str) -> Column:
     """A whole non-negative number of the line, else null."""
     return F.when(F.get_json_object("value", path).rlike(r"^\d{1,15}$"), F.get_json_object("value", path).cast("long"))
@@ -99,12 +104,25 @@ def gemini_events(rows: DataFrame) -> DataFrame:
     return _events(d, "gemini")
 
 
+def device_tag(machine_id: Column) -> Column:
+    """The short name of a device inside a session's identifier; none for an unknown device."""
+    return F.when(machine_id != "", F.substring(F.sha1(machine_id), 1, 8))
+
+
 def grok_events(rows: DataFrame) -> DataFrame:
-    """One call per line; instants in seconds or milliseconds; a device's day stands for a session."""
-    ts = F.get_json_object("value", "$.ts").cast("double")
+    """One call per line; instants in seconds or milliseconds. A line without a session's identifier belongs to that of its device's day.
+
+    ``rows`` may have ``machine_id``; without it devices can't be told apart.
+    """
+    ts = _text("$.ts").try_cast("double")
     at = F.timestamp_millis(F.when(ts < 1e12, ts * 1000).otherwise(ts).cast("long")).cast("timestamp_ntz")
-    r = rows.select("file", at.alias("ts"), F.coalesce(_text("$.model"), F.lit("grok")).alias("model"), _long("$.input").alias("input_tokens"), _long("$.output").alias("output_tokens"), _long("$.cacheRead").alias("cache_read_tokens"), F.lit(None).cast("long").alias("cache_creation_tokens"))
-    r = r.where("ts IS NOT NULL").withColumn("session_id", F.concat(F.lit("grok-"), day(kst(F.col("ts")))))
+    named = [F.nullif(_text(f"$.{f}"), F.lit("")) for f in ("session_id", "sessionId", "conversation_id", "conversationId")]
+    device = device_tag(F.col("machine_id")) if "machine_id" in rows.columns else F.lit(None).cast("string")
+    none = F.lit(None).cast("long")
+    r = rows.where(ts.isNotNull() & ~F.isnan(ts)).select(
+        F.coalesce(*named, F.concat_ws("-", F.lit("grok"), device, day(kst(at)))).alias("session_id"), at.alias("ts"), F.coalesce(F.nullif(_text("$.model"), F.lit("")), F.lit("grok")).alias("model"),
+        _long("$.prompt_tokens").alias("input_tokens"), _long("$.completion_tokens").alias("output_tokens"), none.alias("cache_read_tokens"), none.alias("cache_creation_tokens"),
+    )
     return _events(r, "grok")
 
 

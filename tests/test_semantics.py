@@ -1,6 +1,7 @@
 """The measurement rules, prices, streaks, ledger and sources on literal fixtures and against slow plain versions."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from meterlake.functions import calendar, labels, pricing, semantics
 from meterlake.operators import devices, ledger, maturity, merge, streaks
 from meterlake.plans import display, totals
-from meterlake.sources import logs, vendors
+from meterlake.sources import connectors, logs, payloads, vendors
 
 
 def test_observe(spark):
@@ -311,3 +312,89 @@ def test_stream_merges_once(spark, tmp_path):
     stored = spark.read.parquet(table)
     assert stored.count() == 2
     assert merge.merge_sessions(stored).first().input_tokens == 3
+
+
+def test_landed_payloads(spark):
+    import json
+
+    row = {"date": "2024-01-02", "tool": "t", "inputTokens": 5, "source": "uploader", "externalId": "someone else"}
+    session = {"tool": "t", "sessionId": "s", "hour": "2024-01-02T03", "parserVersion": 2, "requests": 1}
+    bodies = [
+        {"rows": [row], "hourly": [{"hour": "2024-01-02T03", "tool": "t", "source": "uploader", "outputTokens": 7}]},
+        {"sessions": [session], "health": [{"parser": " p ", "filesScanned": 3, "linesUnrecognized": 0, "sessionsEmitted": 1, "error": "e" * 300}, {"parser": "q", "filesScanned": -1}, 5], "device": {"machineId": " m ", "uploaderVersion": "1", "label": "x" * 40}},
+        {"device": {"machineId": "m", "uploaderVersion": "2"}},
+        {"rows": [row | {"date": "2024-02-30"}]},
+        {"rows": [row, row | {"inputTokens": 1.5}]},
+        {"rows": [row], "hourly": [{"hour": "2024-01-02", "tool": "t", "source": "uploader"}]},
+        {"rows": [row | {"source": "elsewhere"}]},
+        {"sessions": [session | {"parserVersion": 0}]},
+        {"rows": [], "device": {"machineId": ""}},
+        {"rows": [row], "device": {"machineId": 7}, "health": "none"},
+    ]
+    df = spark.createDataFrame([("u@x.test", i, json.dumps(b)) for i, b in enumerate(bodies)] + [("u@x.test", 10, "{not json")], "external_id string, arrival long, body string")
+    out = {k: v.orderBy("arrival").collect() for k, v in payloads.parsed(df).items()}
+    assert [(r.arrival, r.external_id, r.input_tokens) for r in out["rows"]] == [(0, "u@x.test", 5), (9, "u@x.test", 5)]
+    assert [(r.hour, r.output_tokens) for r in out["hourly"]] == [("2024-01-02T03", 7)]
+    assert [(r.session_id, r.parser_version, r.requests, r.input_tokens) for r in out["sessions"]] == [("s", 2, 1, None)]
+    assert [(r.parser, r.files, len(r.error)) for r in out["health"]] == [("p", 3, 200)]
+    assert [(r.arrival, r.machine_id, r.uploader_version, r.label and len(r.label)) for r in out["devices"]] == [(1, "m", "1", 32), (2, "m", "2", None), (9, "7", "", None)][:2]
+    assert [(r.arrival, r.error) for r in out["refused"]] == [(3, "rows"), (4, "rows"), (5, "hourly"), (6, "rows"), (7, "sessions"), (8, "empty"), (10, "json")]
+
+
+def test_grok_lines_and_renamed_days(spark):
+    lines = ['{"ts":1704067200,"model":"grok-4","prompt_tokens":5,"completion_tokens":2}', '{"ts":1704067200000,"prompt_tokens":1.5}', '{"ts":"x"}', '{"ts":1704067200,"sessionId":"own"}']
+    rows = spark.createDataFrame([("f", i, v, m) for i, v in enumerate(lines) for m in ("a", "b")], "file string, pos long, value string, machine_id string")
+    got = logs.grok_events(rows).collect()
+    tags = {hashlib.sha1(m.encode()).hexdigest()[:8] for m in "ab"}
+    assert {r.session_id for r in got} == {f"grok-{t}-2024-01-01" for t in tags} | {"own"}
+    assert sorted((r.model, r.input_tokens is None, r.output_tokens is None) for r in got) == [("grok", True, True)] * 4 + [("grok-4", False, False)] * 2
+    cols = "external_id string, tool string, session_id string, hour string, model string, parser_version int, machine_ids array<string>"
+    old = [("u", "grok", "grok-rawname12-2024-01-01", "2024-01-01T05", "m", 2, ["a"]), ("u", "grok", "grok-rawname-2024-01-01", "2024-01-01T05", "m", 2, ["a"]), ("u", "grok", "grok-rawname-2023-12-31", "2023-12-31T05", "m", 2, ["a"]), ("u", "grok", "grok-other-2024-01-02", "2024-01-02T05", "m", 2, ["b"]), ("u", "grok", "conversation", "2024-01-02T05", "m", 2, ["a"]), ("v", "grok", "grok-rawname-2024-01-01", "2024-01-01T05", "m", 2, ["a"]), ("u", "grok", "grok-new-2024-01-01", "2024-01-01T05", "m", 2, ["a"])]
+    new = [("u", "grok", "grok-new-2024-01-01", "2024-01-01T05", "m", 3, ["a"])]
+    left = merge.drop_renamed(spark.createDataFrame(old, cols), spark.createDataFrame(new, cols))
+    assert sorted((r.external_id, r.session_id) for r in left.collect()) == sorted((r[0], r[2]) for i, r in enumerate(old) if i != 1)
+
+
+def test_reports_are_replaced_by_scope(spark):
+    cols = "source_id string, account_id string, period_start string, period_end string, time_zone string, granularity string, coverage string, partition string, external_id string, tokens long"
+    row = lambda day, who, n: ("s", "a", day, day, "UTC", "day", "all", None, who, n)
+    stored = spark.createDataFrame([row("2024-01-01", "u", 1), row("2024-01-01", "v", 2), row("2024-01-02", "u", 3), row("2024-01-03", "u", 4)], cols)
+    batch = spark.createDataFrame([(*row("2024-01-01", "u", 9), 1), (*row("2024-01-03", None, None), 2)], cols + ", snapshot long")
+    out = merge.replace_reports(stored, batch).collect()
+    assert sorted((r.period_start, r.external_id, r.tokens) for r in out) == [("2024-01-01", "u", 9), ("2024-01-02", "u", 3)]
+    twice = spark.createDataFrame([(*row("2024-01-01", "u", 9), 1), (*row("2024-01-01", "v", 9), 2)], cols + ", snapshot long")
+    with pytest.raises(Exception, match="two reports of one scope"):
+        merge.replace_reports(stored, twice).collect()
+
+
+def test_pins_keep_a_message_where_it_was(spark):
+    line = lambda s, i: f'{{"type":"assistant","sessionId":"{s}","timestamp":"2024-01-01T00:00:00Z","requestId":"r{i}","message":{{"id":"m{i}","model":"x","usage":{{"input_tokens":{i}}}}}}}'
+    rows = spark.createDataFrame([("a", 1, line("s1", 1)), ("b", 1, line("s2", 1)), ("b", 2, line("s2", 2)), ("a", 2, line("s1", 2))], "file string, pos long, value string")
+    digest = lambda i: hashlib.sha1(f"m{i}|r{i}".encode()).hexdigest()
+    pins = spark.createDataFrame([(digest(1), "s2"), (digest(2), "gone")], "key string, session_id string")
+    got = {r.input_tokens: r.session_id for r in logs.claude_events(rows, pins).collect()}
+    assert got == {1: "s2", 2: "s1"}
+
+
+def test_codex_limits(spark):
+    line = lambda at, used, minutes, until: f'{{"timestamp":"{at}","payload":{{"rate_limits":{{"primary":{{"used_percent":{used},"window_minutes":{minutes},"resets_at":{until}}}}}}}}}'
+    now = dt.datetime(2024, 1, 1, 2, tzinfo=dt.UTC)
+    later = int(now.timestamp()) + 600
+    for rows, want in (
+        ([line("2024-01-01T00:00:00Z", 10, 300, later), line("2024-01-01T01:00:00Z", 20.5, 300, later)], [("codex_300m", 20.5)]),
+        ([line("2024-01-01T01:00:00Z", 20, 300, later - 1200)], []),
+        ([line("2024-01-01T00:00:00Z", 20, 60, later)], []),
+    ):
+        df = spark.createDataFrame([("f", i, v) for i, v in enumerate(rows)], "file string, pos long, value string")
+        got = logs.codex_limits(df, F.lit(now.isoformat()).cast("timestamp")).collect()
+        assert [(r.window, r.utilization_pct) for r in got] == want
+
+
+def test_register_of_connectors(spark, tmp_path):
+    (tmp_path / "g.jsonl").write_text('{"ts":1704067200,"prompt_tokens":5}\n{"ts":1704240000,"prompt_tokens":7}\n')
+    run = connectors.CONNECTORS["grok"]
+    assert sorted(r.input_tokens for r in run(spark, str(tmp_path), None).collect()) == [5, 7]
+    assert [r.input_tokens for r in run(spark, str(tmp_path), "2024-01-02").collect()] == [7]
+    assert {"cursor", "anthropic", "copilot", "gemini_workspace"} <= connectors.CONNECTORS.keys()
+    with pytest.raises(ValueError, match="exists"):
+        connectors.connector("grok", run)
