@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +26,16 @@ def spread_over(df: DataFrame, size: Column, each: int) -> int:
 def durable(df: DataFrame) -> DataFrame:
     """Compute once into the shared checkpoint folder and cut the lineage there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without
-    one (tests) gets its own.
+    The folder is the session's ``spark.checkpoint.dir``. A session of one machine
+    that names none (tests) gets its own; a cluster's has to name one that all share.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/meterlake-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()
 
 
