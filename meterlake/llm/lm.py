@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import durable, spread_over, tasks
+from .common import durable, spread_over
 from .packing import MESSAGE, messages, pack, pack_rising, unpack, unpack_rising
 
 #: Tokens of a block at least; a longer document is a block by itself.
@@ -208,8 +208,20 @@ def _word_messages(shards: int):
     return run
 
 
+def _addressed(shards: int):
+    """Blocks as they wait for answers: of the words' hashes only the shards are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to = [pack(unpack_rising(h) % np.uint64(shards)) for h in batch.column("hashes").to_pylist()]
+            names = ["block", "ids", "sizes", "train", "tokens"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(to, pa.binary())], names=[*names, "shards"])
+
+    return run
+
+
 def _word_shard(shards: int):
-    """Counts of words; a word's number is its place in the shard, so numbers are nearly dense."""
+    """Counts of words; a word's number is its place in the shard by frequency, so numbers are nearly dense and those of frequent words small."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard, rows = key[0].as_py(), table.to_pylist()
@@ -218,10 +230,12 @@ def _word_shard(shards: int):
         if len(every) * shards >> 32:
             raise ValueError("numbers of words don't fit in 32 bits; more shards or fewer words")
         counts = np.bincount(inverse, np.concatenate([unpack(r["b"]) for r in rows]).astype(float), len(every)).astype(np.int64)
+        rank = np.empty(len(every), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(every))
         out = [(shard, -1, pack(np.array([counts.sum(), (counts > 0).sum()])), None, None, None)]
         for r, h in zip(rows, hashes, strict=True):
             at = np.searchsorted(every, h)
-            out.append((shard, r["block"], pack(at * shards + shard), pack(counts[at]), None, None))
+            out.append((shard, r["block"], pack(rank[at] * shards + shard), pack(counts[at]), None, None))
         return messages(out)
 
     return run
@@ -233,10 +247,9 @@ class _Read:
     def __init__(self, row: dict, answers: list[dict], shards: int) -> None:
         self.row, self.shards = row, shards
         self.sizes, self.train = unpack(row["sizes"]).astype(np.int64), unpack(row["train"]).astype(bool)
-        self.tokens, hashes = unpack(row["tokens"]).astype(np.int64), unpack_rising(row["hashes"])
-        self.words = len(hashes)
-        self.number, self.count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        to = hashes % np.uint64(shards)
+        self.tokens, to = unpack(row["tokens"]).astype(np.int64), unpack(row["shards"]).astype(np.int64)
+        self.words = len(to)
+        self.number, self.count = np.zeros(len(to), np.int64), np.zeros(len(to), np.int64)
         for a in answers:
             m = to == a["shard"]
             self.number[m], self.count[m] = unpack(a["a"]), unpack(a["b"])
@@ -244,8 +257,8 @@ class _Read:
         before = np.r_[self.tokens[-1:], self.tokens[:-1]]
         before[self.starts] = self.tokens[-1]  # a text begins after an end
         self.before = before
-        self.pairs, self.at = np.unique(before * len(hashes) + self.tokens, return_inverse=True)
-        v, w = np.divmod(self.pairs, len(hashes))
+        self.pairs, self.at = np.unique(before * self.words + self.tokens, return_inverse=True)
+        v, w = np.divmod(self.pairs, self.words)
         self.v, self.w, self.v_count = self.number[v].astype(np.uint64), self.number[w].astype(np.uint64), self.count[v]
 
     def counts(self, at: np.ndarray, kinds: int, places: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -429,12 +442,11 @@ def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
     if not pa.types.is_integer(arrow):
         base = base.withColumn("doc_id", F.col("doc_id").cast("string"))
     name = "long" if arrow == pa.int64() else "int" if arrow == pa.int32() else "string"
-    parts = tasks(docs)
-    near = lambda m: m.repartition(parts, "block")  # noqa: E731  each level's answers move once, for all that read them
+    near = lambda m: m.repartition(shards, "block")  # noqa: E731  each level's answers move once, for all that read them
     blocks = durable(base.mapInArrow(_blocks(arrow, block), f"block long, ids array<{name}>, {BLOCK_TYPES}"))
     shards = spread_over(blocks, F.length("tokens") + F.length("hashes"), SHARD)
     by_shard = lambda m: m.repartition(shards, "shard").groupBy("shard")
-    placed = near(blocks)
+    placed = near(blocks.mapInArrow(_addressed(shards), f"block long, ids array<{name}>, sizes binary, train binary, tokens binary, shards binary"))
     told = lambda answers, run, types=MESSAGE: placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, types)
     words = durable(by_shard(blocks.select("block", "hashes", "counts").mapInArrow(_word_messages(shards), MESSAGE)).applyInArrow(_word_shard(shards), MESSAGE))
     n, kinds = (int(sum(x)) for x in zip((0, 0), *[unpack(bytes(r.a)).tolist() for r in words.where("block = -1").select("a").toLocalIterator()]))  # two numbers a shard
