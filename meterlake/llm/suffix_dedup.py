@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import durable, slim, spread_over, tasks
+from .common import durable, slim, spread_over
 from .packing import MESSAGE, messages, pack, pack_rising, unpack, unpack_rising
 
 #: Bytes of a repeated string, of its gram, and how many grams it has; the columns of a context.
@@ -350,12 +350,11 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     texts under 50 bytes stay whole. An empty table gives no rows. Other columns
     are ignored.
     """
-    parts = tasks(docs)
     base = slim(docs, doc_id, text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     blocks = durable(base.mapInArrow(_blocks(block), "block long, ids array<long>, sizes binary, data binary"))
     shards = spread_over(blocks, F.length("data"), SHARD)
     by_shard = lambda m: m.repartition(shards, "shard").groupBy("shard")
-    near = lambda m: m.repartition(parts, "block")  # noqa: E731  each step's answers move once, for all that read them
+    near = lambda m: m.repartition(shards, "block")  # noqa: E731  each step's answers move once, for all that read them
     shared = durable(by_shard(blocks.mapInArrow(_gram_messages(shards), MESSAGE)).applyInArrow(_gram_shard, MESSAGE))
     placed, said = near(blocks), near(shared.withColumn("step", F.lit(1)))
     asked = placed.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_context_messages(shards), MESSAGE)
