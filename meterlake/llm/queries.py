@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from . import bpe, imatch, licenses, lm, quality, secrets, simhash, suffix_dedup
 from .common import SPACE, read
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .mixing import mix_sources
+from .top_products import top_products
+from .whitening import whiten
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -73,6 +76,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=shifted)
+
+
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -84,6 +100,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_top_products": op13_top_products,
 }
 
 
@@ -106,6 +125,26 @@ l AS (SELECT n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line
 SELECT doc_id, license_id, digest, coalesce(line_licenses, '') AS line_licenses FROM (SELECT n, doc_id, sha256({form("t")}) AS digest FROM d) LEFT JOIN k USING (digest) LEFT JOIN l USING (n)"""
 
 
+def _vectors_sql(scale: int, more: str = "", where: str = "true") -> str:
+    """Rows whose vector is there and finite, entries as whole numbers."""
+    finite = "len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0"
+    return f"SELECT vec_id{more}, list_transform(embedding, lambda v: floor({scale} * v::DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL AND {finite} AND {where}"
+
+
+HARD_NEGATIVES_SQL = f"""
+WITH v AS ({_vectors_sql(256, ", CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label", "label IS NOT NULL")}),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.x, r.x)::BIGINT AS score FROM v a JOIN v r ON a.vec_id != r.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+TOP_PRODUCTS_SQL = f"""
+WITH v AS ({_vectors_sql(1024)}),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.x, r.x)::BIGINT AS score FROM v q JOIN v r ON q.vec_id != r.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+QUALIFY rank <= 10"""
+
 ORACLE_SQL = {
     "op1_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -113,4 +152,6 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 WINDOW g AS (PARTITION BY t)""",
     "op5_license_scan": _license_sql(),
+    "op12_hard_negatives": HARD_NEGATIVES_SQL,
+    "op13_top_products": TOP_PRODUCTS_SQL,
 }
