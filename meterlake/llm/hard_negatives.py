@@ -150,7 +150,7 @@ def _scored(found: DataFrame, anchors: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def hard_negatives(
-    vectors: DataFrame, anchors: Column, *, label: Column | str = "label", positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95), scale: int = 256, cells: int = 64, each: int = 8192, many: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, anchors: Column, *, label: Column | str = "label", positives: int = 5, negatives: int = 3, window: tuple[int, int] = (50, 95), scale: int = 256, cells: int = 256, each: int = 8192, many: int = 2048, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """Rows ``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``.
 
