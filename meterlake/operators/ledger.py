@@ -24,16 +24,22 @@ def snapshot_deltas(rows: DataFrame, keys: list[str], order: str, fields: list[s
 CHAIN = ["member_id", "tool", "account_id", "session_id"]
 
 
-def derive_chain(records: DataFrame) -> DataFrame:
-    """Records of ``CHAIN`` with their contribution: ``d_*``, ``verified``, ``conflicts``, ``reset``.
+def measured(records: DataFrame) -> tuple[str, ...]:
+    return (*METRICS, "requests") if "requests" in records.columns else METRICS
+
+
+def marked_chain(records: DataFrame) -> DataFrame:
+    """Records of ``CHAIN``, all of them, with their contribution ``d_*`` and ``accepted, ambiguous, reset, impossible, verified``.
 
     Events count as they are. Cumulative records of one instant that disagree are
     all left out, and the chain is tainted from there on; so do a change of model,
     an incomplete or foreign record, a fall of a counter, and more cache reads than
-    input. A tainted chain still counts, but not as verified.
+    input. A tainted chain still counts, but not as verified. Requests are a metric
+    where the records have them.
     """
+    metrics = measured(records)
     cum = F.col("kind") == "cumulative"
-    sign = F.xxhash64(*[F.coalesce(F.col(m).cast("string"), F.lit("null")) for m in METRICS], "model", "provider")
+    sign = F.xxhash64(*[F.coalesce(F.col(m).cast("string"), F.lit("null")) for m in metrics], "model", "provider")
     instant = Window.partitionBy(*CHAIN, "occurred_at")
     r = records.withColumn("sign", F.when(cum, sign))
     r = r.select("*", F.min("sign").over(instant).alias("s_min"), F.max("sign").over(instant).alias("s_max"), F.count("sign").over(instant).alias("n_cum"))
@@ -48,8 +54,8 @@ def derive_chain(records: DataFrame) -> DataFrame:
     prev = lambda m: F.last(value(m), ignorenulls=True).over(before)
     r = r.select(
         "*",
-        *[F.when(~cum, F.col(m)).when(prev(m).isNull() | (value(m) < prev(m)), value(m)).otherwise(value(m) - prev(m)).alias(f"d_{m}") for m in METRICS],
-        F.exists(F.array(*[F.coalesce(value(m) < prev(m), F.lit(False)) for m in METRICS]), lambda x: x).alias("reset"),
+        *[F.when(~cum, F.col(m)).when(prev(m).isNull() | (value(m) < prev(m)), value(m)).otherwise(value(m) - prev(m)).alias(f"d_{m}") for m in metrics],
+        F.exists(F.array(*[F.coalesce(value(m) < prev(m), F.lit(False)) for m in metrics]), lambda x: x).alias("reset"),
         (usable & ((F.col("completeness") != "final") | (F.col("identity_quality") != "native") | F.coalesce(prev_model != F.col("model"), F.lit(False)))).alias("odd"),
     )
     impossible = usable & F.coalesce(F.col("d_cache_read_tokens") > F.col("d_input_tokens"), F.lit(False))
@@ -57,16 +63,28 @@ def derive_chain(records: DataFrame) -> DataFrame:
     fresh = F.col("d_input_tokens") - F.col("d_cache_read_tokens")
     r = r.withColumn("d_input_tokens", F.when(~cum, F.col("d_input_tokens")).when(fresh.isNotNull(), F.greatest(F.lit(0), fresh)))
     taint = F.max(F.col("ambiguous") | F.col("odd") | F.col("reset") | F.col("impossible")).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    r = r.withColumn("taint", taint).where("accepted")
     sound = (F.col("completeness") == "final") & (F.col("identity_quality") == "native")
-    return r.withColumn("verified", sound & (~(F.col("kind") == "cumulative") | ~F.col("taint")))
+    return r.withColumn("taint", taint).withColumn("verified", sound & (~(F.col("kind") == "cumulative") | ~F.col("taint")))
+
+
+def derive_chain(records: DataFrame) -> DataFrame:
+    """The records of a chain that count, as ``marked_chain`` has them."""
+    return marked_chain(records).where("accepted")
+
+
+def ledger_rows(chain: DataFrame, keys: list[str]) -> DataFrame:
+    """What counts, added up by keys and verification; one missing value makes a sum missing, and its evidence unknown."""
+    metrics = measured(chain)
+    sums = [poisoned_sum(F.col(f"d_{m}")).alias(m) for m in metrics]
+    out = chain.groupBy(*keys, "verified").agg(*sums, F.count_if("reset").alias("resets"))
+    return out.select("*", *[F.when(F.col(m).isNotNull(), KNOWN).otherwise("unknown").alias(f"ev_{m}") for m in metrics])
 
 
 def ledger_days(chain: DataFrame) -> DataFrame:
-    """Derived rows by day, model and verification; one missing value makes a sum missing."""
+    """Derived rows by day, model and verification."""
     day = F.date_format(F.col("occurred_at") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd")
-    g = chain.groupBy("member_id", "tool", day.alias("date"), "model", "verified")
-    return g.agg(*[poisoned_sum(F.col(f"d_{m}")).alias(m) for m in METRICS], F.count_if("reset").alias("resets"))
+    days = ledger_rows(chain.withColumn("date", day), ["member_id", "tool", "date", "model"])
+    return days.select("member_id", "tool", "date", "model", "verified", *METRICS, "resets")
 
 
 def _decide(s: Column, n: Column) -> Column:
@@ -103,7 +121,9 @@ KEY = ["member_id", "tool", "account_id"]
 
 
 def with_digest(records: DataFrame) -> DataFrame:
-    return records.withColumn("digest", F.sha2(F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"}), 256))
+    """Records with the digest of all that they tell."""
+    told = [*RECORD, "requests", "ev_requests"] if "requests" in records.columns else RECORD
+    return records.withColumn("digest", F.sha2(F.to_json(F.struct(*told), {"ignoreNullFields": "false"}), 256))
 
 
 def classify(records: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import display, growing, logging, merging, priced, scorecards, status, totals, upkeep
+from . import display, growing, logging, merging, priced, reviewed, scorecards, status, totals, upkeep
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "display", "growing", "logging", "merging", "priced", "scorecards", "status", "totals", "upkeep"]
+__all__ = ["ORACLES", "QUERIES", "display", "growing", "logging", "merging", "priced", "reviewed", "scorecards", "status", "totals", "upkeep"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.calendar import spine
 from ..functions.pricing import convert, match_prices, reference_rates, seed_prices
 from ..functions.labels import few
 from ..functions.semantics import KNOWN, METRICS, UNSUPPORTED, observe
+from ..operators.scan import Match, Reports, Review, display_scan
 from ..sources.telemetry import daily_usage, hourly_usage, roster
 from .registry import CTES, query
 from .totals import share
@@ -46,7 +49,7 @@ def shown(spark: SparkSession, facts: DataFrame, unit: str = "usd", basis: str =
     missing; the status is unsupported if all metrics are, known if none of the
     others is unknown.
     """
-    evidence = {"cache_creation_tokens": F.col("ev_cache_creation")}
+    evidence = {m: F.col(f"ev_{m}") for m in (*METRICS, "requests") if f"ev_{m}" in facts.columns}
     seen = facts.select("*", *[observe(m, evidence.get(m)).alias(f"o_{m}") for m in (*METRICS, "requests")])
     for m in METRICS:
         seen = seen.withColumn(m, F.col(f"o_{m}.value"))
@@ -64,6 +67,16 @@ def shown(spark: SparkSession, facts: DataFrame, unit: str = "usd", basis: str =
     )
 
 
+def view(spark: SparkSession, d: str, match: Match = Match(), *, unit: str = "usd", basis: str = "all", grain: str = "day", review: Review | None = None, reports: Reports | None = None) -> DataFrame:
+    """The scan that every display query starts from, shown in a unit; the filter's days reach the events as instants."""
+    when = match.terms.get("date")
+    when = when if isinstance(when, Mapping) else {"gte": when, "lte": when}
+    facts = hourly_usage(spark, d) if grain == "hour" else daily_usage(spark, d, when.get("gte"), when.get("lte"))
+    if grain == "hour":
+        facts = facts.withColumn("date", F.substring("hour", 1, 10))
+    return shown(spark, display_scan(facts, match, grain=grain, review=review, reports=reports), unit, basis)
+
+
 def added_up(*, users: bool = True) -> list:
     """Aggregates of shown rows: null only if all are; what is unknown, unsupported, from where."""
     out = [
@@ -82,18 +95,18 @@ ADDED = "round(sum(usd_value), 9) AS value, sum(unpriced)::BIGINT AS unpriced_to
 
 @query("display_totals", f"SELECT {ADDED}, count(DISTINCT external_id) AS users FROM shown")
 def display_totals(spark: SparkSession, d: str) -> DataFrame:
-    return shown(spark, daily_usage(spark, d)).agg(*added_up())
+    return view(spark, d).agg(*added_up())
 
 
 @query("display_tool_summary", f"SELECT tool, {ADDED}, count(DISTINCT external_id) AS users FROM shown GROUP BY tool")
 def display_tool_summary(spark: SparkSession, d: str) -> DataFrame:
-    return shown(spark, daily_usage(spark, d)).groupBy("tool").agg(*added_up())
+    return view(spark, d).groupBy("tool").agg(*added_up())
 
 
 @query("requests_only_tools", "SELECT tool, sum(v_requests)::BIGINT AS requests FROM shown GROUP BY tool HAVING sum(usd_value) IS NULL AND sum(v_requests) > 0")
 def requests_only_tools(spark: SparkSession, d: str) -> DataFrame:
     """Tools that report requests and nothing else that has a value."""
-    return requests_only(shown(spark, daily_usage(spark, d)))
+    return requests_only(view(spark, d))
 
 
 def requests_only(rows: DataFrame) -> DataFrame:
@@ -103,15 +116,14 @@ def requests_only(rows: DataFrame) -> DataFrame:
 
 @query("display_model_distribution", "SELECT tool, model, round(sum(usd_value), 9) AS value, sum(unpriced)::BIGINT AS unpriced_tokens FROM shown GROUP BY tool, model HAVING coalesce(sum(usd_value), 0) > 0 OR sum(unpriced) > 0")
 def display_model_distribution(spark: SparkSession, d: str) -> DataFrame:
-    g = shown(spark, daily_usage(spark, d)).groupBy("tool", "model").agg(F.round(F.sum("value"), 9).alias("value"), F.sum("unpriced").cast("long").alias("unpriced_tokens"))
+    g = view(spark, d).groupBy("tool", "model").agg(F.round(F.sum("value"), 9).alias("value"), F.sum("unpriced").cast("long").alias("unpriced_tokens"))
     return g.where("coalesce(value, 0) > 0 OR unpriced_tokens > 0")
 
 
 @query("display_daily_spine", "SELECT s.date, t.tool, round(sum(x.raw_value), 9) AS value, bool_or(x.status = 'unknown') AS some_unknown FROM (SELECT strftime(DATE '2023-12-28' + CAST(range AS INT), '%Y-%m-%d') AS date FROM range(40)) s CROSS JOIN (SELECT DISTINCT tool FROM daily) t LEFT JOIN shown x ON x.date = s.date AND x.tool = t.tool GROUP BY s.date, t.tool")
 def display_daily_spine(spark: SparkSession, d: str) -> DataFrame:
-    f = daily_usage(spark, d)
-    cells = spine(spark, "2023-12-28", "2024-02-05").join(F.broadcast(few(f, "tool"))).withColumn("tool", F.explode("tool"))
-    per = shown(spark, f, "raw").groupBy("date", "tool").agg(F.round(F.sum("value"), 9).alias("value"), F.bool_or(F.col("status") == "unknown").alias("some_unknown"))
+    cells = spine(spark, "2023-12-28", "2024-02-05").join(F.broadcast(few(daily_usage(spark, d), "tool"))).withColumn("tool", F.explode("tool"))
+    per = view(spark, d, unit="raw").groupBy("date", "tool").agg(F.round(F.sum("value"), 9).alias("value"), F.bool_or(F.col("status") == "unknown").alias("some_unknown"))
     return cells.join(per, ["date", "tool"], "left")
 
 
@@ -124,7 +136,7 @@ def display_daily_requests(spark: SparkSession, d: str) -> DataFrame:
 @query("member_series_other", "WITH k AS (SELECT coalesce(r.member_id::VARCHAR, '__other') AS series, x.date, x.usd_value FROM shown x LEFT JOIN roster r ON r.member_id = x.member_id), a AS (SELECT series, date, usd_value FROM k UNION ALL SELECT '__total', date, usd_value FROM shown) SELECT series, date, round(sum(usd_value), 9) AS value FROM a GROUP BY ALL")
 def member_series_other(spark: SparkSession, d: str) -> DataFrame:
     known = roster(spark, d).select("member_id", F.col("member_id").cast("string").alias("own"))
-    x = shown(spark, daily_usage(spark, d)).select("member_id", "date", "value").join(known, "member_id", "left")
+    x = view(spark, d).select("member_id", "date", "value").join(known, "member_id", "left")
     x = x.select("date", "value", F.explode(F.array(F.coalesce("own", F.lit("__other")), F.lit("__total"))).alias("series"))
     return x.groupBy("series", "date").agg(F.round(F.sum("value"), 9).alias("value"))
 
@@ -135,7 +147,7 @@ def member_series_spine(spark: SparkSession, d: str) -> DataFrame:
     """A value, null if none, for every listed member and day, the others together; members of one name are told apart."""
     same = F.count(F.lit(1)).over(Window.partitionBy("name")) > 1
     names = roster(spark, d).select(F.concat(F.lit("m"), F.col("member_id").cast("string")).alias("series"), F.when(same, F.concat_ws(" · ", "name", F.col("member_id").cast("string"))).otherwise(F.col("name")).alias("label"), "member_id")
-    x = shown(spark, daily_usage(spark, d)).select("member_id", "date", "value", "unpriced").join(names.select("member_id", "series"), "member_id", "left")
+    x = view(spark, d).select("member_id", "date", "value", "unpriced").join(names.select("member_id", "series"), "member_id", "left")
     per = x.groupBy(F.coalesce("series", F.lit("other")).alias("series"), "date").agg(F.sum("value").alias("v"), F.sum("unpriced").alias("u"))
     other = per.where("series = 'other'").select("series", F.lit("other").alias("label")).limit(1)  # one label
     dates = F.transform(F.sequence(F.lit("2023-12-28").cast("date"), F.lit("2024-02-05").cast("date")), lambda x: F.date_format(x, "yyyy-MM-dd"))
@@ -156,7 +168,7 @@ def display_heatmap(spark: SparkSession, d: str) -> DataFrame:
 @query("display_compare", "WITH a AS (SELECT tool, date >= '2024-01-24' AS now, sum(raw_value) AS v, bool_or(status = 'unknown') AS u, string_agg(DISTINCT source, ',' ORDER BY source) AS s, string_agg(DISTINCT date_basis, ',' ORDER BY date_basis) AS b FROM shown WHERE date >= '2024-01-17' AND date < '2024-01-31' GROUP BY ALL) SELECT n.tool, CASE WHEN NOT n.u AND NOT p.u AND n.s = p.s AND n.b = p.b THEN round(n.v - p.v, 6) END AS delta, CASE WHEN NOT n.u AND NOT p.u AND n.s = p.s AND n.b = p.b AND p.v > 0 THEN round((n.v - p.v) * 100.0::DOUBLE / p.v, 6) END AS pct, n.u OR p.u AS incomplete, n.s = p.s AND n.b = p.b AS alike FROM a n JOIN a p ON n.tool = p.tool AND n.now AND NOT p.now")
 def display_compare(spark: SparkSession, d: str) -> DataFrame:
     """Change against the week before, told only where both weeks are complete, of the same sources and date bases."""
-    x = shown(spark, daily_usage(spark, d, "2024-01-17", "2024-01-30"), "raw").withColumn("now", F.col("date") >= "2024-01-24")
+    x = view(spark, d, Match({"date": {"gte": "2024-01-17", "lte": "2024-01-30"}}), unit="raw").withColumn("now", F.col("date") >= "2024-01-24")
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     a = x.groupBy("tool", "now").agg(F.sum("value").alias("v"), F.bool_or(F.col("status") == "unknown").alias("u"), listed("source").alias("s"), listed("date_basis").alias("b"))
     n, p = (a.where("now") if k else a.where("NOT now") for k in (1, 0))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import add_days
+from ..functions.calendar import add_days, days_before
 from ..operators import devices, feeds, merge
+from ..operators.scan import Match
 from ..sources.telemetry import AS_OF, daily_usage, members, roster, usage_events
-from .display import shown
+from .display import view
 from .merging import buckets, covered
 from .registry import CTES, query
 from .totals import model_adoption
@@ -80,22 +81,22 @@ def session_validity(spark: SparkSession, d: str) -> DataFrame:
 @query("display_member_list", "SELECT r.member_id, r.name, round(sum(x.usd_value), 9) AS value, coalesce(sum(x.unpriced), 0)::BIGINT AS unpriced_tokens, max(x.date) AS last_active, count(x.date) > 0 AS has_record FROM roster r LEFT JOIN shown x ON x.member_id = r.member_id GROUP BY r.member_id, r.name")
 def display_member_list(spark: SparkSession, d: str) -> DataFrame:
     """The roster kept whole: who has no measured value has none, not 0."""
-    x = shown(spark, daily_usage(spark, d)).groupBy("member_id").agg(F.round(F.sum("value"), 9).alias("value"), F.sum("unpriced").cast("long").alias("unpriced_tokens"), F.max("date").alias("last_active"))
+    x = view(spark, d).groupBy("member_id").agg(F.round(F.sum("value"), 9).alias("value"), F.sum("unpriced").cast("long").alias("unpriced_tokens"), F.max("date").alias("last_active"))
     out = roster(spark, d).select("member_id", "name").join(x, "member_id", "left")
     return out.withColumn("has_record", F.col("last_active").isNotNull()).na.fill(0, ["unpriced_tokens"])
 
 
 @query("display_unmapped", "SELECT tool, external_id, round(sum(usd_value), 9) AS value, sum(unpriced)::BIGINT AS unpriced_tokens, max(date) AS last_date FROM shown WHERE member_id IS NULL GROUP BY tool, external_id")
 def display_unmapped(spark: SparkSession, d: str) -> DataFrame:
-    x = shown(spark, daily_usage(spark, d).where("member_id IS NULL")).groupBy("tool", "external_id")
+    x = view(spark, d, Match({"member_id": None})).groupBy("tool", "external_id")
     return x.agg(F.round(F.sum("value"), 9).alias("value"), F.sum("unpriced").cast("long").alias("unpriced_tokens"), F.max("date").alias("last_date"))
 
 
 @query("display_wow", "SELECT r.member_id, r.name, round(sum(x.usd_value) FILTER (x.date >= '2024-01-24'), 9) AS value, round(sum(x.usd_value) FILTER (x.date < '2024-01-24'), 9) AS prev_value, NULL::DOUBLE AS pct FROM roster r LEFT JOIN shown x ON x.member_id = r.member_id AND x.date >= '2024-01-17' AND x.date < '2024-01-31' GROUP BY r.member_id, r.name")
 def display_wow(spark: SparkSession, d: str) -> DataFrame:
     """Two weeks side by side; observed values give no percentage, since either week may be incomplete."""
-    mid, first = (add_days(F.lit(AS_OF), -n) for n in (7, 14))
-    x = shown(spark, daily_usage(spark, d).where((F.col("date") >= first) & (F.col("date") < AS_OF)))
+    mid = days_before(AS_OF, 7)
+    x = view(spark, d, Match({"date": {"gte": days_before(AS_OF, 14), "lt": AS_OF}}))
     part = lambda c: F.round(F.sum(F.when(c, F.col("value"))), 9)
     x = x.groupBy("member_id").agg(part(F.col("date") >= mid).alias("value"), part(F.col("date") < mid).alias("prev_value"))
     return roster(spark, d).select("member_id", "name").join(x, "member_id", "left").withColumn("pct", F.lit(None).cast("double"))
