@@ -27,9 +27,10 @@ def device_label(keys: list[str], order: str) -> Column:
 
 
 def report_tool(product: Column) -> Column:
-    """A product's name as a tool's."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim(product)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(slug == "claude_code", "claude_code").otherwise(F.concat(F.lit("claude_"), F.regexp_replace(slug, "^claude_", "")))
+    """A product's name as a tool's; one without letters or digits is another product."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(product), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    own = F.regexp_replace(slug, "^claude_", "")
+    return F.when(product == "Claude Code", "claude_code").otherwise(F.concat(F.lit("claude_"), F.when(own != "", own).otherwise("other")))
 
 
 #: What names of models hold that tells their family, the first that fits, and names that are no model's.

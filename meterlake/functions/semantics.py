@@ -94,6 +94,15 @@ def poisoned_sum(value: Column) -> Column:
     return F.when(F.count(value) == F.count(F.lit(1)), F.sum(value))
 
 
+def measured(field: str, evidence: Column | None = None) -> Column:
+    """A metric as growth counts it: 0 where it is unsupported, missing, not finite, not positive, or a fractional count."""
+    v = F.col(field)
+    fits = (v > 0) & (v.cast("double") < float("inf")) & ~unsupported(field, F.lit(None).cast("string") if evidence is None else evidence)
+    if field in COUNTS:
+        fits = fits & (v % 1 == 0)
+    return F.when(fits, v).otherwise(F.lit(0).cast("long") if field in COUNTS else F.lit(0))
+
+
 def any_positive(fields: list[str]) -> Column:
     """Whether any field is finite, supported and over 0, counts also whole."""
     one = lambda f: (F.col(f) > 0) & (F.col(f).cast("double") < float("inf")) & ~unsupported(f, F.lit(None)) & ((F.col(f) % 1 == 0) if f in COUNTS else F.lit(True))

@@ -169,7 +169,8 @@ def replace_reviewed(legacy: DataFrame, derived: DataFrame, reviewed: DataFrame)
     Derived rows that no review covers raise an error rather than count twice.
     """
     keys = ["member_id", "tool", "date"]
-    stays = legacy.where("source = 'uploader'").join(reviewed, keys, "left_anti").unionByName(legacy.where("NOT source <=> 'uploader'"))
+    cut = reviewed.select(*keys, F.lit(True).alias("cut"))
+    stays = legacy.join(cut, keys, "left").where("NOT (source <=> 'uploader' AND cut IS NOT NULL)").select(*legacy.columns)
     marked = derived.join(reviewed.withColumn("ok", F.lit(True)), keys, "left")
     checked = marked.where(F.when(F.col("ok"), True).otherwise(F.raise_error(F.lit("derived row outside the reviewed days"))).cast("boolean"))
-    return stays.unionByName(checked.drop("ok"))
+    return stays.unionByName(checked.select(*legacy.columns))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import report_tool
+from ..functions.lineage import settled
 from ..functions.semantics import KNOWN, METRICS, UNKNOWN, observe
 from .ledger import CHAIN, ledger_rows, marked_chain, measured, with_digest
 from .merge import replace_reviewed
@@ -185,26 +186,22 @@ def report_facts(rows: DataFrame, addresses: DataFrame) -> DataFrame:
     return facts_of(out.select("*", *[F.when(F.col(f).isNotNull(), KNOWN).alias(f"ev_{f}") for f in said]))
 
 
-def _person() -> list[Column]:
-    who = F.when(F.col("member_id").isNull(), F.concat(F.lit("x"), F.lower("external_id"))).otherwise(F.concat(F.lit("m"), F.col("member_id").cast("string")))
-    return [who.alias("who"), F.col("date").alias("on_day")]
-
-
 def larger_side(collected: DataFrame, reports: DataFrame, tool: str = "claude_code") -> DataFrame:
     """Collected facts with reports: products of their own are added, of ``tool`` a person's day keeps the larger side.
 
     Larger is who has more tokens without cache reads, then more requests; on a tie
-    what was collected stays, which has devices and hours. Sides are sized by what
-    was observed, before anything is joined, so only days that reports cover are looked at.
+    what was collected stays, which has devices and hours. Each side is read once; a
+    window over a person's day sizes both.
     """
     seen = lambda f: F.coalesce(observe(f, F.col(f"ev_{f}"))["value"], F.lit(0.0))
-    tokens = sum((seen(f) for f in ("input_tokens", "output_tokens", "cache_creation_tokens")), F.lit(0.0))
-    size = lambda rows, side: rows.where(F.col("tool") == tool).groupBy(*_person()).agg(F.struct(F.sum(tokens).alias("t"), F.sum(seen("requests")).alias("q")).alias(side))
-    none = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("q"))
-    won = size(reports, "theirs").join(size(collected, "ours"), ["who", "on_day"], "left").where(F.col("theirs") > F.coalesce("ours", none)).select("who", "on_day")
-    of = lambda rows, how: rows.where(F.col("tool") == tool).select("*", *_person()).join(won, ["who", "on_day"], how).select(*FACT)
-    other = lambda rows: rows.where(F.col("tool") != tool).select(*FACT)
-    return other(collected).unionByName(of(collected, "left_anti")).unionByName(other(reports)).unionByName(of(reports, "left_semi"))
+    who = F.when(F.col("member_id").isNull(), F.concat(F.lit("x"), F.lower("external_id"))).otherwise(F.concat(F.lit("m"), F.col("member_id").cast("string")))
+    both = F.col("tool") == tool
+    rows = collected.select(*FACT, F.lit(False).alias("theirs")).unionByName(reports.select(*FACT, F.lit(True).alias("theirs")))
+    rows = rows.select("*", who.alias("who"), sum((seen(f) for f in ("input_tokens", "output_tokens", "cache_creation_tokens")), F.lit(0.0)).alias("t"), seen("requests").alias("q"))
+    day = Window.partitionBy("who", "date")
+    size = lambda side: F.struct(*[F.coalesce(F.sum(F.when(both & (F.col("theirs") == side), F.col(c))).over(day), F.lit(0.0)).alias(c) for c in "tq"])
+    rows = rows.withColumn("won", size(True) > size(False))
+    return rows.where(~both | (F.col("theirs") == F.col("won"))).select(*FACT)
 
 
 @dataclass(frozen=True)
@@ -237,7 +234,7 @@ def display_scan(collected: DataFrame, match: Match, *, grain: str = "day", revi
         scopes = match.without("hour").on(review.scopes)
         # the ledger is read from its beginning, so only the filters on whose it is and an upper end of the days hold there
         derived, checked = cutover_facts(_history(match).on(dated(review.records)), scopes, today=review.today, grain=grain)
-        facts = replace_reviewed(facts, match.on(derived), approved(checked))
+        facts = replace_reviewed(facts, match.on(derived), settled(approved(checked)))
     if reports is not None and grain == "day" and match.within("date", "member_id"):
         # a report's period is its facts' date; its member is known only after the address book
         dates = Match({"period_start": match.terms["date"]} if "date" in match.terms else {})

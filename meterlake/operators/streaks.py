@@ -278,3 +278,9 @@ def team_axes(members: DataFrame, days: DataFrame, first: str, today: str, uncon
     mid = lambda c: F.round(F.when(F.col("counted_days") > 0, F.percentile(c, F.lit(0.5))), 6)
     out = p.groupBy("week", "counted_days").agg(F.count(F.lit(1)).alias("members"), F.count("n").alias("active_members"), mid(F.coalesce("n", F.lit(0))).alias("frequency"), mid("v").alias("volume"), mid("f").alias("diversity"))
     return out.withColumn("complete", F.col("counted_days") == 7)
+
+
+def latest_complete(weeks: DataFrame) -> DataFrame:
+    """Of weekly rows the latest complete one and the complete one before, ``latest`` telling them apart; a row for each week."""
+    place = F.row_number().over(Window.orderBy(F.desc("week")))
+    return weeks.where("complete").withColumn("place", place).where("place <= 2").withColumn("latest", F.col("place") == 1).drop("place")

@@ -12,7 +12,7 @@ from ..functions.pricing import convert, match_prices, reference_rates, seed_pri
 from ..functions.labels import few
 from ..functions.semantics import KNOWN, METRICS, UNSUPPORTED, observe
 from ..operators.scan import Match, Reports, Review, display_scan
-from ..sources.telemetry import daily_usage, hourly_usage, roster
+from ..sources.telemetry import AS_OF, daily_usage, hourly_usage, roster
 from .registry import CTES, query
 from .totals import share
 
@@ -103,13 +103,8 @@ def display_tool_summary(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d).groupBy("tool").agg(*added_up())
 
 
-@query("requests_only_tools", "SELECT tool, sum(v_requests)::BIGINT AS requests FROM shown GROUP BY tool HAVING sum(usd_value) IS NULL AND sum(v_requests) > 0")
-def requests_only_tools(spark: SparkSession, d: str) -> DataFrame:
-    """Tools that report requests and nothing else that has a value."""
-    return requests_only(view(spark, d))
-
-
 def requests_only(rows: DataFrame) -> DataFrame:
+    """Tools that report requests and nothing else that has a value."""
     g = rows.groupBy("tool").agg(F.sum("value").alias("v"), F.sum("requests").cast("long").alias("requests"))
     return g.where("v IS NULL AND requests > 0").select("tool", "requests")
 
@@ -169,10 +164,21 @@ def display_heatmap(spark: SparkSession, d: str) -> DataFrame:
 def display_compare(spark: SparkSession, d: str) -> DataFrame:
     """Change against the week before, told only where both weeks are complete, of the same sources and date bases."""
     x = view(spark, d, Match({"date": {"gte": "2024-01-17", "lte": "2024-01-30"}}), unit="raw").withColumn("now", F.col("date") >= "2024-01-24")
+    return compared(x, AS_OF).select("tool", F.round("delta", 6).alias("delta"), "pct", "incomplete", "alike")
+
+
+def compared(rows: DataFrame, today: str) -> DataFrame:
+    """Shown rows of two spans (``now`` or not) to ``tool, delta, pct, incomplete, alike, open, unpriced``.
+
+    A change is told only if both spans have a value, nothing unknown, nothing
+    unpriced, no day still in progress, and the same sources and date bases; its
+    percentage only of a value other than 0.
+    """
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    a = x.groupBy("tool", "now").agg(F.sum("value").alias("v"), F.bool_or(F.col("status") == "unknown").alias("u"), listed("source").alias("s"), listed("date_basis").alias("b"))
+    a = rows.groupBy("tool", "now").agg(F.sum("value").alias("v"), F.bool_or(F.col("status") == "unknown").alias("u"), listed("source").alias("s"), listed("date_basis").alias("b"), (F.sum("unpriced") > 0).alias("p"), F.bool_or(F.col("date") == today).alias("o"))
     n, p = (a.where("now") if k else a.where("NOT now") for k in (1, 0))
-    n, p = (t.select("tool", *[F.col(c).alias(f"{k}_{c}") for c in "vusb"]) for t, k in ((n, "n"), (p, "p")))
+    n, p = (t.select("tool", *[F.col(c).alias(f"{k}_{c}") for c in "vusbpo"]) for t, k in ((n, "n"), (p, "p")))
+    either = lambda c: F.col(f"n_{c}") | F.col(f"p_{c}")
     alike = (F.col("n_s") == F.col("p_s")) & (F.col("n_b") == F.col("p_b"))
-    whole, delta = ~F.col("n_u") & ~F.col("p_u") & alike, F.col("n_v") - F.col("p_v")
-    return n.join(p, "tool").select("tool", F.when(whole, F.round(delta, 6)).alias("delta"), F.when(whole, share(delta, F.col("p_v"))).alias("pct"), (F.col("n_u") | F.col("p_u")).alias("incomplete"), alike.alias("alike"))
+    whole, delta = ~either("u") & ~either("p") & ~either("o") & alike, F.col("n_v") - F.col("p_v")
+    return n.join(p, "tool").select("tool", F.when(whole, delta).alias("delta"), F.when(whole, share(delta, F.col("p_v"))).alias("pct"), either("u").alias("incomplete"), alike.alias("alike"), either("o").alias("open"), either("p").alias("unpriced"))

@@ -5,40 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import week
-from ..functions.labels import family_of
+from ..functions.calendar import add_days, week
+from ..functions.pricing import seed_prices
 from ..functions.semantics import ratio
 from ..operators import streaks
+from ..operators.growth_days import growth_days as combined
 from ..operators.maturity import AXES, stages
-from ..sources.telemetry import daily_usage, roster
+from ..operators.scan import facts_of, report_facts
+from ..sources.telemetry import daily_usage, roster, usage_events
 from .registry import CTES, FAMILY_SQL, query
+from .reviewed import reports
 from .scorecards import card
 from .totals import adoption_rate, facts, lead_days, tool_summary
 
 LAST = "2024-01-30"
-# Sparse days, so that streaks break: the event's key decides whether a day counts.
-CTES["act"] = "SELECT DISTINCT member_id, CAST(date AS DATE) AS date FROM ev WHERE member_id IS NOT NULL AND k % 3 = 0"
-CTES["gev"] = f"SELECT *, {FAMILY_SQL.format(model='model', priced='NULL::VARCHAR')} AS family FROM ev WHERE member_id IS NOT NULL AND k % 3 = 0"
-CTES["gdays"] = """SELECT member_id, date, sum(input_tokens + output_tokens)::BIGINT * 40 AS tokens, count(*) * 5 AS requests, count(DISTINCT family) AS families, count(DISTINCT tool) AS tools
-  FROM gev GROUP BY ALL"""
+# Days with gaps, nothing left out: what falls on a member's rest days, by their number and the day of the month, is booked on the day before.
+_REST = "(day(CAST(date AS DATE)) * 7 + member_id) % 9 = 0 OR (day(CAST(date AS DATE)) * 5 + member_id) % 13 = 1"
+_OWN = [("input_tokens", "i", "source = 'poller' AND tool = 'copilot'"), ("output_tokens", "o", "source = 'poller' AND tool = 'copilot'"), ("cache_creation_tokens", "w", "source = 'poller' AND tool = 'copilot'"), ("requests", "q", "source = 'poller' AND (tool = 'copilot' OR (tool = 'cursor' AND model <> ''))")]
+CTES["gall"] = (
+    f"SELECT * EXCLUDE (date), strftime(CAST(date AS DATE) - CASE WHEN {_REST} THEN 1 ELSE 0 END, '%Y-%m-%d') AS date FROM (SELECT member_id, date, tool, model, false AS reported, "
+    + ", ".join(f"CASE WHEN {no} THEN 0 ELSE coalesce({c}, 0) END AS {n}" for c, n, no in _OWN)
+    + ", CASE WHEN source = 'poller' AND tool = 'copilot' THEN 0 ELSE coalesce(cache_read_tokens, 0) END AS r FROM ev UNION ALL SELECT member_id, date, tool, model, true, i, o, w, q, r FROM rep_facts) WHERE member_id IS NOT NULL AND i + o + w + q + r > 0"
+)
+CTES["price_any"] = """SELECT m.model, m.tool, p.family, p.input_rate, p.output_rate, p.cache_write_rate FROM (SELECT DISTINCT model, tool FROM gall) m, prices p, unnest(p.patterns) AS u(pat)
+  WHERE (p.provider = '' OR p.provider = m.tool) AND CASE WHEN pat LIKE '=%' THEN lower(m.model) = substr(pat, 2) WHEN pat LIKE '/%/' THEN regexp_matches(lower(m.model), substr(pat, 2, length(pat) - 2)) ELSE contains(lower(m.model), pat) END
+  QUALIFY row_number() OVER (PARTITION BY m.model, m.tool ORDER BY p.priority, p.family, p.provider) = 1"""
+CTES["gside"] = "SELECT g.*, CASE WHEN g.tool <> 'claude_code' THEN 'other' WHEN reported THEN 'report' ELSE 'local' END AS side, coalesce(i * p.input_rate / 2 + o * p.output_rate / 10 + w * p.cache_write_rate / 2.5::DOUBLE, 0) AS t, " + FAMILY_SQL.format(model="g.model", priced="p.family") + " AS family FROM gall g LEFT JOIN price_any p ON p.model = g.model AND p.tool = g.tool"
+_SIDES = ", ".join(f"coalesce(sum({c}) FILTER (side = '{s}'), 0) AS {s}_{c}" for s in ("other", "local", "report") for c in "tq")
+CTES["gday"] = f"SELECT *, other_t + greatest(local_t, report_t) AS tokens, other_q + greatest(local_q, report_q) AS requests, CASE WHEN abs(local_t - report_t) > 1e-6 THEN local_t > report_t ELSE local_q >= report_q END AS mine FROM (SELECT member_id, date, count(DISTINCT tool) AS tools, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tool_names, {_SIDES} FROM gside GROUP BY ALL)"
+CTES["gfam"] = """SELECT member_id, date, family FROM gside JOIN gday USING (member_id, date) WHERE family IS NOT NULL AND (side = 'other' OR (side = 'local') = mine)
+  GROUP BY member_id, date, family, tokens HAVING CASE WHEN tokens > 0 THEN sum(t) > 0 AND sum(t) + 1e-6 >= tokens * 0.1 ELSE sum(q) > 0 END"""
+CTES["gdays"] = "SELECT d.member_id, d.date, any_value(tokens) AS tokens, any_value(requests) AS requests, any_value(tools) AS tools, any_value(tool_names) AS tool_names, count(family) AS families, coalesce(string_agg(family, ',' ORDER BY family), '') AS family_names FROM gday d LEFT JOIN gfam f ON f.member_id = d.member_id AND f.date = d.date GROUP BY d.member_id, d.date"
+CTES["act"] = "SELECT member_id, CAST(date AS DATE) AS date FROM gdays"
 
 
-def sparse(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.telemetry import usage_events
-
-    return usage_events(spark, d).where("member_id IS NOT NULL AND k % 3 = 0")
+def growth_days(spark: SparkSession, d: str) -> DataFrame:
+    r = reports(spark, d)
+    facts = facts_of(usage_events(spark, d)).unionByName(report_facts(r.rows, r.addresses))
+    n = F.dayofmonth(F.to_date("date"))
+    rest = ((n * 7 + F.col("member_id")) % 9 == 0) | ((n * 5 + F.col("member_id")) % 13 == 1)
+    return combined(facts.withColumn("date", F.when(rest, add_days(F.col("date"), -1)).otherwise(F.col("date"))), seed_prices(spark))
 
 
-def growth_days(spark: SparkSession, d: str) -> DataFrame:
-    g = sparse(spark, d).withColumn("family", family_of(F.col("model"))).groupBy("member_id", "date")
-    names = lambda c: F.array_sort(F.collect_set(c))  # noqa: E731  a day's few tools and families
-    g = g.agg((F.sum(F.col("input_tokens") + F.col("output_tokens")) * 40).alias("tokens"), (F.count(F.lit(1)) * 5).alias("requests"), names("family").alias("family_names"), names("tool").alias("tool_names"))
-    return g.select("*", F.size("family_names").alias("families"), F.size("tool_names").alias("tools"))
+@query("growth_days", "SELECT member_id, date, round(tokens, 4) AS tokens, requests::BIGINT AS requests, family_names, tool_names FROM gdays")
+def growth_days_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Every person's days as growth counts them."""
+    named = [F.array_join(c, ",").alias(c) for c in ("family_names", "tool_names")]
+    return growth_days(spark, d).select("member_id", "date", F.round("tokens", 4).alias("tokens"), "requests", *named)
 
 
 @query("streak_calendar", f"WITH i AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY member_id ORDER BY date) AS INT) AS g FROM act), r AS (SELECT member_id, g, count(*) AS n, max(date) AS last FROM i GROUP BY ALL) SELECT member_id, max(n) AS best, coalesce(max(n) FILTER (last >= DATE '{LAST}' - 1), 0) AS current, strftime(max(last), '%Y-%m-%d') AS last_date, concat_ws(',', CASE WHEN max(n) >= 3 THEN '3' END, CASE WHEN max(n) >= 7 THEN '7' END, CASE WHEN max(n) >= 14 THEN '14' END, CASE WHEN max(n) >= 30 THEN '30' END) AS achievements FROM r GROUP BY member_id")
 def streak_calendar(spark: SparkSession, d: str) -> DataFrame:
-    return streaks.calendar_streaks(sparse(spark, d), LAST)
+    return streaks.calendar_streaks(growth_days(spark, d), LAST)
 
 
 # A day's streak by definition: active days after the latest pair of misses under seven days apart, whose earlier miss is the barrier.
@@ -50,7 +68,7 @@ CTES["tolerant"] = "SELECT e.member_id, e.date, e.active, (SELECT count(*) FROM
 
 @query("streak_tolerant", "SELECT member_id, strftime(date, '%Y-%m-%d') AS date, active, streak FROM tolerant")
 def streak_tolerant(spark: SparkSession, d: str) -> DataFrame:
-    s = streaks.tolerant_streaks(sparse(spark, d), LAST)
+    s = streaks.tolerant_streaks(growth_days(spark, d), LAST)
     return s.select("member_id", F.date_format("date", "yyyy-MM-dd").alias("date"), (F.col("active") == 1).alias("active"), "streak")
 
 
@@ -89,17 +107,27 @@ def activity_calendar(spark: SparkSession, d: str) -> DataFrame:
 OPEN_DAYS = ("2024-01-29",)
 
 
-@query("team_axes", f"""WITH w AS (SELECT strftime(DATE '2024-01-01' + CAST(range AS INT), '%Y-%m-%d') AS date, strftime(date_trunc('week', DATE '2024-01-01' + CAST(range AS INT)), '%Y-%m-%d') AS week FROM range(30)),
+_AXES = f"""WITH w AS (SELECT strftime(DATE '2024-01-01' + CAST(range AS INT), '%Y-%m-%d') AS date, strftime(date_trunc('week', DATE '2024-01-01' + CAST(range AS INT)), '%Y-%m-%d') AS week FROM range(30)),
   c AS (SELECT week, count(*) FILTER (date NOT IN ('{OPEN_DAYS[0]}')) AS counted_days FROM w GROUP BY week),
   p AS (SELECT member_id, week, count(*) AS n, median({_STEP}) AS v FROM gdays JOIN w USING (date) WHERE date NOT IN ('{OPEN_DAYS[0]}') GROUP BY ALL),
-  q AS (SELECT member_id, week, count(DISTINCT family) AS fam FROM gev JOIN w USING (date) WHERE date NOT IN ('{OPEN_DAYS[0]}') GROUP BY ALL)
+  q AS (SELECT member_id, week, count(DISTINCT family) AS fam FROM gfam JOIN w USING (date) WHERE date NOT IN ('{OPEN_DAYS[0]}') GROUP BY ALL)
   SELECT week, counted_days, counted_days = 7 AS complete, count(*) AS members, count(n) AS active_members, round(median(coalesce(n, 0)), 6) AS frequency, round(median(v), 6) AS volume, round(median(fam), 6) AS diversity
-  FROM c CROSS JOIN roster r LEFT JOIN p USING (member_id, week) LEFT JOIN q USING (member_id, week) GROUP BY week, counted_days""")
+  FROM c CROSS JOIN roster r LEFT JOIN p USING (member_id, week) LEFT JOIN q USING (member_id, week) GROUP BY week, counted_days"""
+CTES["axes"] = _AXES
+
+
+@query("team_axes", _AXES)
 def team_axes(spark: SparkSession, d: str) -> DataFrame:
     """Weekly medians over the roster, one of the last days not yet confirmed."""
     return streaks.team_axes(roster(spark, d), growth_days(spark, d), "2024-01-01", LAST, OPEN_DAYS)
 
 
+@query("latest_weeks", "SELECT week, frequency, volume, diversity, (SELECT count(*) FROM axes y WHERE y.complete AND y.week > x.week) = 0 AS latest FROM axes x WHERE complete ORDER BY week DESC LIMIT 2")
+def latest_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """The team's latest complete week and the one before."""
+    return streaks.latest_complete(team_axes(spark, d)).select("week", "frequency", "volume", "diversity", "latest")
+
+
 @query("unconfirmed_days", "SELECT member_id, strftime(CAST(max(date) AS DATE) + CAST(x.range AS INT), '%Y-%m-%d') AS date FROM daily, range(1, 4) x WHERE member_id IS NOT NULL GROUP BY member_id, x.range HAVING CAST(max(date) AS DATE) + CAST(x.range AS INT) <= DATE '2024-01-31'")
 def unconfirmed_days(spark: SparkSession, d: str) -> DataFrame:
     """Up to three days after the latest report, which may yet fill."""

@@ -52,10 +52,10 @@ def superseded_buckets(spark: SparkSession, d: str) -> DataFrame:
     return merge.drop_superseded(s, resent)
 
 
-@query("account_tag_merge", "WITH t AS (SELECT external_id, tool, CASE k % 3 WHEN 0 THEN 'transcript' WHEN 1 THEN 'hook' ELSE 'none' END AS e, CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS s, 'org' || (k % 4 // 3) AS org FROM ev WHERE event_id % 7 = 0), m AS (SELECT * FROM t QUALIFY s = max(s) OVER (PARTITION BY external_id, tool)) SELECT external_id, tool, CASE WHEN count(DISTINCT org) > 1 THEN 'mixed' ELSE min(org) END AS org, max(s)::INT AS strength FROM m GROUP BY ALL")
+@query("account_tag_merge", "WITH t AS (SELECT external_id, tool, CASE k % 3 WHEN 0 THEN 'transcript' WHEN 1 THEN 'hook' ELSE 'none' END AS e, CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS s, 'org' || (k % 4 // 3) AS org FROM ev), m AS (SELECT * FROM t QUALIFY s = max(s) OVER (PARTITION BY external_id, tool)) SELECT external_id, tool, CASE WHEN count(DISTINCT org) > 1 THEN 'mixed' ELSE min(org) END AS org, max(s)::INT AS strength FROM m GROUP BY ALL")
 def account_tag_merge(spark: SparkSession, d: str) -> DataFrame:
     k3 = F.col("k") % 3
-    t = usage_events(spark, d).where("event_id % 7 = 0").select("external_id", "tool", F.when(k3 == 0, "transcript").when(k3 == 1, "hook").otherwise("none").alias("evidence"), F.concat(F.lit("org"), F.floor(F.col("k") % 4 / 3).cast("string")).alias("org"))
+    t = usage_events(spark, d).select("external_id", "tool", F.when(k3 == 0, "transcript").when(k3 == 1, "hook").otherwise("none").alias("evidence"), F.concat(F.lit("org"), F.floor(F.col("k") % 4 / 3).cast("string")).alias("org"))
     return merge.merge_account_tags(t, ["external_id", "tool"])
 
 

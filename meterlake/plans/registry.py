@@ -56,7 +56,7 @@ CTES = {
   CASE WHEN member_id IS NULL THEN 'x' || external_id ELSE 'm' || member_id END AS person,
   CASE WHEN tool = 'copilot' AND source = 'poller' THEN 0 ELSE coalesce(requests, 0) END AS reqs,
   strftime(date_trunc('week', CAST(date AS DATE)), '%Y-%m-%d') AS week FROM daily""",
-    "limits": """SELECT date, member_id, external_id AS account_email, tool AS window_, least(120.0::DOUBLE, k * 1.2::DOUBLE) AS utilization_pct, event_id AS arrival
+    "limits": """SELECT date, member_id, external_id AS account_email, CASE WHEN k % 3 > 0 THEN 'org' || (k % 3) END AS organization, tool AS window_, least(120.0::DOUBLE, k * 1.2::DOUBLE) AS utilization_pct, event_id AS arrival
   FROM ev WHERE member_id IS NOT NULL""",
     "reports": """SELECT date, CASE WHEN user_id % 17 <> 0 THEN user_id END AS member_id, 'u' || user_id || '@example.test' AS external_id, product,
   sum(tokens)::BIGINT AS tokens, count(*) AS requests FROM (SELECT strftime(DATE '2024-01-01' + CAST(o_orderkey % 30 AS INT), '%Y-%m-%d') AS date, o_custkey % 150 AS user_id,

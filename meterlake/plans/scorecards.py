@@ -10,7 +10,7 @@ from ..functions.semantics import entropy, ratio
 from ..sources.telemetry import AS_OF, daily_usage, usage_events, vendor_reports
 from ..operators.devices import health_warnings
 from .registry import CTES, query
-from .totals import facts, total
+from .totals import facts, premium_share, total
 
 _Z = "coalesce(sum({0}), 0)::DOUBLE"
 CTES["card_sessions"] = "SELECT strftime(date_trunc('week', CAST(date AS DATE)), '%Y-%m-%d') AS week, member_id, count(DISTINCT session_id)::DOUBLE AS s FROM ev WHERE member_id IS NOT NULL AND tool = 'claude_code' GROUP BY ALL"
@@ -42,19 +42,28 @@ def scorecard_ratios(spark: SparkSession, d: str) -> DataFrame:
     return card(spark, d).groupBy("member_id").agg(*[F.round(of_sums(n), 6).alias(n) for n in RATIOS])
 
 
+def banded(members: DataFrame, pooled: Column | None) -> DataFrame:
+    """By week ``pooled`` over members' rows, and the exact median and quartiles of their ``x``; quartiles from eight members on."""
+    q = lambda p: F.round(F.percentile("x", F.lit(p)), 6)
+    several = F.count(F.lit(1)) >= 8
+    whole = [] if pooled is None else [pooled.alias("pooled")]
+    return members.groupBy("week").agg(*whole, q(0.5).alias("median"), F.when(several, q(0.25)).alias("p25"), F.when(several, q(0.75)).alias("p75"))
+
+
 def team_series(members: DataFrame, name: str) -> DataFrame:
     """By week the ratio of all sums, and over members the exact median and quartiles; quartiles from eight members on."""
     a, b = RATIOS[name]
-    x = members.withColumn("x", ratio(F.col(a), F.col(b)))
-    q = lambda p: F.round(F.percentile("x", F.lit(p)), 6)
-    several = F.count(F.lit(1)) >= 8
-    return x.groupBy("week").agg(F.round(of_sums(name), 6).alias("pooled"), q(0.5).alias("median"), F.when(several, q(0.25)).alias("p25"), F.when(several, q(0.75)).alias("p75"))
+    return banded(members.withColumn("x", ratio(F.col(a), F.col(b))), F.round(of_sums(name), 6))
+
+
+def _band_sql(rows: str, pooled: str, x: str) -> str:
+    quartile = lambda p: f"CASE WHEN count(*) >= 8 THEN round(quantile_cont(x, {p}), 6) END"
+    return f"SELECT week, {pooled} AS pooled, round(median(x), 6) AS median, {quartile(0.25)} AS p25, {quartile(0.75)} AS p75 FROM (SELECT *, {x} AS x FROM {rows}) GROUP BY week"
 
 
 def _series_sql(name: str, rows: str = "card") -> str:
     a, b = RATIOS[name]
-    quartile = lambda p: f"CASE WHEN count(*) >= 8 THEN round(quantile_cont(x, {p}), 6) END"
-    return f"SELECT week, round({_RATIO(a, b)}, 6) AS pooled, round(median(x), 6) AS median, {quartile(0.25)} AS p25, {quartile(0.75)} AS p75 FROM (SELECT *, CASE WHEN {b} > 0 THEN {a} / {b} END AS x FROM {rows}) GROUP BY week"
+    return _band_sql(rows, f"round({_RATIO(a, b)}, 6)", f"CASE WHEN {b} > 0 THEN {a} / {b} END")
 
 
 @query("weekly_series", _series_sql("cache_reuse"))
@@ -73,6 +82,28 @@ def weekly_depth_series(spark: SparkSession, d: str) -> DataFrame:
     return team_series(card(spark, d).where("c IS NOT NULL"), "depth")
 
 
+@query("premium_series", "WITH p AS (SELECT week, member_id, coalesce(sum(tokens) FILTER (regexp_matches(lower(model), 'opus|fable|mythos')), 0)::DOUBLE AS p, sum(tokens)::DOUBLE AS t FROM f WHERE member_id IS NOT NULL GROUP BY ALL) " + _band_sql("p", "round(CASE WHEN sum(t) > 0 THEN sum(p) / sum(t) END, 6)", "CASE WHEN t > 0 THEN p / t END"))
+def premium_series(spark: SparkSession, d: str) -> DataFrame:
+    """The share of tokens on top-tier models, by week: of all tokens, and its median and quartiles over members."""
+    x = premium_share(spark, d).withColumn("x", ratio(F.col("premium_tokens").cast("double"), F.col("total_tokens")))
+    return banded(x, F.round(ratio(F.sum("premium_tokens").cast("double"), F.sum("total_tokens")), 6))
+
+
+_ENTROPY_SQL = "CASE WHEN count(*) FILTER (t > 0) = 1 THEN 0::DOUBLE WHEN count(*) FILTER (t > 0) > 1 THEN -sum(t / s * log2(t / s)) FILTER (t > 0) / log2(count(*) FILTER (t > 0)) END"
+
+
+@query("breadth_series", f"""WITH m AS (SELECT week, member_id, model, sum(tokens)::DOUBLE AS t FROM f WHERE member_id IS NOT NULL AND model <> '' GROUP BY ALL),
+  o AS (SELECT week, {_ENTROPY_SQL} AS pooled FROM (SELECT *, sum(t) OVER (PARTITION BY week) AS s FROM (SELECT week, model, sum(t) AS t FROM m GROUP BY ALL)) GROUP BY week),
+  e AS (SELECT week, member_id, {_ENTROPY_SQL} AS x FROM (SELECT *, sum(t) OVER (PARTITION BY week, member_id) AS s FROM m) GROUP BY ALL)
+  SELECT week, round(any_value(pooled), 6) AS pooled, round(median(x), 6) AS median, CASE WHEN count(*) >= 8 THEN round(quantile_cont(x, 0.25), 6) END AS p25, CASE WHEN count(*) >= 8 THEN round(quantile_cont(x, 0.75), 6) END AS p75 FROM e JOIN o USING (week) GROUP BY week""")
+def breadth_series(spark: SparkSession, d: str) -> DataFrame:
+    """How evenly tokens spread over models, by week: of the team's sums, and its median and quartiles over members."""
+    t = facts(spark, d).where("member_id IS NOT NULL AND model != ''").groupBy("week", "member_id", "model").agg(F.sum("tokens").cast("double").alias("t"))
+    team = t.groupBy("week", "model").agg(F.sum("t").alias("t")).groupBy("week").agg(F.round(entropy(F.collect_list("t")), 6).alias("pooled"))
+    x = t.groupBy("week", "member_id").agg(entropy(F.collect_list("t")).alias("x"))
+    return banded(x, None).join(team, "week").select("week", "pooled", "median", "p25", "p75")
+
+
 _MINE = ["cache_reuse", "context_yield", "depth"]
 
 
@@ -204,11 +235,16 @@ def tool_freshness(spark: SparkSession, d: str) -> DataFrame:
     return used.join(ran, "tool", "full")
 
 
+def newest_reports(reports: DataFrame, limit: int = 20) -> DataFrame:
+    """Every person's newest report rows, as many as asked for, at least one and at most 200."""
+    place = F.row_number().over(Window.partitionBy("external_id").orderBy(F.desc("date"), "product"))
+    return reports.withColumn("place", place).where(F.col("place") <= max(1, min(limit, 200))).drop("place")
+
+
 @query("latest_reports", "SELECT date, external_id, product, tokens, requests FROM reports QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY date DESC, product) <= 20")
 def latest_reports(spark: SparkSession, d: str) -> DataFrame:
     """Every person's latest report rows, the feature being a short list of 20."""
-    place = F.row_number().over(Window.partitionBy("external_id").orderBy(F.desc("date"), "product"))
-    return vendor_reports(spark, d).withColumn("place", place).where("place <= 20").select("date", "external_id", "product", "tokens", "requests")
+    return newest_reports(vendor_reports(spark, d)).select("date", "external_id", "product", "tokens", "requests")
 
 
 @query("local_audit", "SELECT tool, date, " + ", ".join(f"count(*) FILTER (raw_model = '{m}') AS m{i}" for i, m in enumerate(("opus-5", "gpt-5.5"))) + ", count(*) AS n FROM ev GROUP BY tool, date")

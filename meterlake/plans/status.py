@@ -12,7 +12,7 @@ from ..sources.telemetry import AS_OF, daily_usage, members, roster, usage_event
 from .display import view
 from .merging import buckets, covered
 from .registry import CTES, query
-from .totals import model_adoption
+from .totals import facts, lead_days
 
 WEEK_AGO = "2024-01-24"
 # A member's digest of a day; the last event's key decides what became of it.
@@ -105,8 +105,5 @@ def display_wow(spark: SparkSession, d: str) -> DataFrame:
 @query("lead_first", "WITH a AS (SELECT model, member_id, min(date) AS first FROM f WHERE member_id IS NOT NULL AND model NOT IN ('', 'unknown', 'default') GROUP BY ALL), n AS (SELECT ceil(count(*) / 2.0)::BIGINT AS k FROM roster), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY first) AS place, min(first) OVER (PARTITION BY model) AS g FROM a) SELECT model, g AS global_first, date_diff('day', CAST(g AS DATE), CAST(first AS DATE))::BIGINT AS lead_days FROM r, n WHERE place = k ORDER BY g, model LIMIT 1")
 def lead_first(spark: SparkSession, d: str) -> DataFrame:
     """The earliest model that half the team has taken up, one row."""
-    a = model_adoption(spark, d).select("model", "global_first", F.split("member_first_dates", ",").alias("dates"))
-    k = roster(spark, d).agg(F.ceil(F.count(F.lit(1)) / 2).cast("int").alias("k"))
-    a = a.join(F.broadcast(k)).where(F.size("dates") >= F.col("k"))
-    days = F.datediff(F.to_date(F.element_at("dates", F.col("k"))), F.to_date("global_first")).cast("long")
-    return a.select("model", "global_first", days.alias("lead_days")).orderBy("global_first", "model").limit(1)
+    since = facts(spark, d).where("member_id IS NOT NULL").groupBy("model").agg(F.min("date").alias("global_first"))
+    return lead_days(spark, d).join(since, "model").select("model", "global_first", "lead_days").orderBy("global_first", "model").limit(1)

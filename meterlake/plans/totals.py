@@ -141,10 +141,11 @@ def wow_deltas(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("pct", share(F.col("tokens") - F.col("prev_tokens"), F.col("prev_tokens")))
 
 
-@query("limit_latest", 'SELECT member_id, account_email, window_ AS "window", utilization_pct, date FROM limits QUALIFY row_number() OVER (PARTITION BY member_id, account_email, window_ ORDER BY date DESC, arrival DESC) = 1')
+@query("limit_latest", "SELECT member_id, account_email, coalesce(organization, '') AS organization, window_ AS \"window\", utilization_pct, date FROM limits QUALIFY row_number() OVER (PARTITION BY member_id, account_email, coalesce(organization, ''), window_ ORDER BY date DESC, arrival DESC) = 1")
 def limit_latest(spark: SparkSession, d: str) -> DataFrame:
-    g = limit_readings(spark, d).groupBy("member_id", "account_email", "window")
-    return g.agg(F.max_by(F.struct("utilization_pct", "date"), F.struct("date", "arrival")).alias("x")).select("member_id", "account_email", "window", "x.*")
+    """The latest reading of each member's account, organisation (none is one) and window."""
+    g = limit_readings(spark, d).groupBy("member_id", "account_email", F.coalesce("organization", F.lit("")).alias("organization"), "window")
+    return g.agg(F.max_by(F.struct("utilization_pct", "date"), F.struct("date", "arrival")).alias("x")).select("member_id", "account_email", "organization", "window", "x.*")
 
 
 @query("limit_history", 'SELECT account_email, date, window_ AS "window", round(max(utilization_pct), 6) AS peak_pct, round(arg_max(utilization_pct, arrival), 6) AS last_pct FROM limits GROUP BY ALL')

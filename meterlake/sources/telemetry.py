@@ -85,7 +85,7 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def limit_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plan-limit readings in arrival order."""
     e = usage_events(spark, sf_dir).where("member_id IS NOT NULL")
-    return e.select("date", "member_id", F.col("external_id").alias("account_email"), F.col("tool").alias("window"), F.least(F.lit(120.0), F.col("k") * 1.2).alias("utilization_pct"), F.col("event_id").alias("arrival"))
+    return e.select("date", "member_id", F.col("external_id").alias("account_email"), F.when(F.col("k") % 3 > 0, F.concat(F.lit("org"), (F.col("k") % 3).cast("string"))).alias("organization"), F.col("tool").alias("window"), F.least(F.lit(120.0), F.col("k") * 1.2).alias("utilization_pct"), F.col("event_id").alias("arrival"))
 
 
 def vendor_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
