@@ -101,10 +101,9 @@ def _search(k: int, length: int):
 def _meet(queries: DataFrame, blocks: DataFrame, k: int, length: int) -> DataFrame:
     """Both sides' rows of a tile (``block``, ``part``) meet in one group of bounded size."""
     new = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  both sides come from one table
-    left = new(queries, "block", "part", "query", "own", "x", "norm", "least")
-    tiles = left.select("block", "part").distinct()
-    right = new(blocks.join(tiles, "block"), "block", "part", "vec_id", "x", "norm")
-    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_search(k, length), FOUND)
+    left = new(queries, "block", "part", "query", "own", "x", "norm", "least").groupBy("block", "part")
+    right = new(blocks, "block", "part", "vec_id", "x", "norm").groupBy("block", "part")
+    return left.cogroup(right).applyInArrow(_search(k, length), FOUND)
 
 
 def top_products(
@@ -136,13 +135,19 @@ def top_products(
 
     asked = rows.where("asked").groupBy("vec_id", "x").agg(F.first("norm").alias("norm"))
     asked = durable(asked.select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("own"), "x", "norm"))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(-(-max(asked.count(), 1) // many))))
-    found = durable(_meet(asked.select("*", F.lit(0).cast("long").alias("block"), F.lit(None).cast("long").alias("least")), blocks, k, length))
+    sides = -(-max(asked.count(), 1) // many)
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(sides)))
+    start = blocks.where("block = 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
+    found = durable(_meet(asked.select("*", F.lit(0).cast("long").alias("block"), F.lit(None).cast("long").alias("least")), start, k, length))
     least = found.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
     rest = asked.join(least, "query", "left")
     reach = lambda r: F.col("least").isNull() | (F.col("norm") * (ranges[r]["longest"] * (1 + SLACK)) >= F.col("least"))
-    visited = F.flatten(F.array(*[F.when(reach(r), F.sequence(F.lit(max(first[r], 1)), F.lit(first[r] + parts[r] - 1))).otherwise(F.array().cast("array<int>")) for r in sorted(ranges) if first[r] + parts[r] > 1])) if sum(parts.values()) > 1 else F.array().cast("array<int>")
-    found = found.unionByName(_meet(rest.withColumn("block", F.explode(visited)).withColumn("block", F.col("block").cast("long")), blocks, k, length))
+    spans = {r: (max(first[r], 1), first[r] + parts[r] - 1) for r in sorted(ranges) if first[r] + parts[r] > 1}  # all but the first block
+    if spans:
+        none = F.array().cast("array<long>")
+        visited = F.flatten(F.array(*[F.when(reach(r), F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long"))).otherwise(none) for r, (a, b) in spans.items()]))
+        rest = rest.withColumn("block", F.explode(visited))
+        found = found.unionByName(_meet(rest, blocks.join(rest.select("block", "part").distinct(), "block"), k, length))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), by_id())
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.join(asked.select("query", F.col("own").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
