@@ -57,11 +57,12 @@ def merge_sessions(rows: DataFrame) -> DataFrame:
 def drop_superseded(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Stored buckets that a batch doesn't replace by a newer parse of their session.
 
-    Per session the batch's highest version and first hour count: stored buckets of
-    a lower version from that hour on go, unless the batch has their key.
+    Per person's session the batch's highest version and first hour count: stored
+    buckets of a lower version from that hour on go, unless the batch has their key.
     """
-    top = batch.groupBy("tool", "session_id").agg(F.max("parser_version").alias("top"), F.min("hour").alias("since"))
-    doomed = stored.join(top, ["tool", "session_id"]).where((F.col("parser_version") < F.col("top")) & (F.col("hour") >= F.col("since")))
+    session = ["external_id", "tool", "session_id"]
+    top = batch.groupBy(*session).agg(F.max("parser_version").alias("top"), F.min("hour").alias("since"))
+    doomed = stored.join(top, session).where((F.col("parser_version") < F.col("top")) & (F.col("hour") >= F.col("since")))
     doomed = doomed.select(*BUCKET).join(batch.select(*BUCKET), BUCKET, "left_anti")
     return stored.join(doomed, BUCKET, "left_anti")
 

@@ -1,4 +1,4 @@
-"""Micro-batches: landed session rows merged into the stored table, affected days derived anew.
+"""Micro-batches: landed session rows merged into a log of observations, from which sessions can be told anew.
 
 Late data are always taken, so there is no watermark: each batch touches whole
 (person, tool) partitions of the session table, which are merged and overwritten
