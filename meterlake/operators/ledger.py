@@ -87,17 +87,21 @@ def ledger_days(chain: DataFrame) -> DataFrame:
     return days.select("member_id", "tool", "date", "model", "verified", *METRICS, "resets")
 
 
+#: A partial record whose metrics a later one raises: stored, as both together.
+MERGED = "merged"
+
+
 def _decide(s: Column, n: Column) -> Column:
     """What becomes of record n where s is stored, by the first rule that holds."""
     differ = lambda f: ~s[f].eqNullSafe(n[f])
-    same_metrics = F.forall(F.array(*[s[m].eqNullSafe(n[m]) for m in METRICS]), lambda x: x)
-    raised = F.exists(F.array(*[F.coalesce((n[f"ev_{m}"] == KNOWN) & (s[m].isNull() | (n[m] > s[m])), F.lit(False)) for m in METRICS]), lambda x: x)
+    same_else = F.forall(F.array(*[s[f].eqNullSafe(n[f]) for f in RECORD if f != "model"]), lambda x: x)
+    raised = F.exists(F.array(*[F.coalesce((n[f"ev_{m}"] == KNOWN) & n[m].isNotNull() & (s[m].isNull() | (n[m] > s[m])), F.lit(False)) for m in METRICS]), lambda x: x)
     native = (s["identity_quality"] == "native") & (n["identity_quality"] == "native")
     one_unknown = (s["model"] == "unknown") | (n["model"] == "unknown")
-    model_only = (n["kind"] == "cumulative") & (s["completeness"] == n["completeness"]) & differ("model") & one_unknown & same_metrics & ~differ("provider") & ~differ("identity_quality")
+    model_only = (n["kind"] == "cumulative") & differ("model") & one_unknown & same_else
     return (
         F.when(s["record_id"].isNull(), "stored")
-        .when(s["digest"] == n["digest"], "unchanged")
+        .when(F.forall(F.array(*[s[f].eqNullSafe(n[f]) for f in RECORD]), lambda x: x), "unchanged")
         .when(differ("session_id") | differ("kind"), "conflict:identity_collision")
         .when(differ("occurred_at") & ~((n["revision"] > s["revision"]) & native), "conflict:unverified_timestamp_correction")
         .when(n["parser_version"] < s["parser_version"], "conflict:parser_downgrade")
@@ -111,11 +115,18 @@ def _decide(s: Column, n: Column) -> Column:
         .when(s["completeness"] == "final", "conflict:same_revision_final_conflict")
         .when(n["kind"] != "event", "conflict:same_revision_snapshot_conflict")
         .when(differ("model") | differ("provider") | differ("identity_quality"), "conflict:same_revision_metadata_conflict")
-        .when(raised, "stored")
+        .when(raised, MERGED)
         .otherwise("superseded:partial_not_newer")
     )
 
 
+def _raised(s: Column, n: Column) -> Column:
+    """Record s with the metrics that n knows to be larger."""
+    up = lambda m: F.coalesce((n[f"ev_{m}"] == KNOWN) & n[m].isNotNull() & (s[m].isNull() | (n[m] > s[m])), F.lit(False))
+    news = {m: F.when(up(m), n[m]).otherwise(s[m]) for m in METRICS} | {f"ev_{m}": F.when(up(m), KNOWN).otherwise(s[f"ev_{m}"]) for m in METRICS}
+    return F.struct(n["arrival"].alias("arrival"), *[news.get(f, s[f]).alias(f) for f in RECORD])
+
+
 RECORD = ["record_id", "session_id", "kind", "occurred_at", "model", "provider", "parser_version", "revision", "completeness", "identity_quality", *METRICS, *[f"ev_{m}" for m in METRICS]]
 KEY = ["member_id", "tool", "account_id"]
 
@@ -131,16 +142,18 @@ def classify(records: DataFrame) -> DataFrame:
 
     The versions of one record, a handful, are folded over a sorted array.
     """
-    r = with_digest(records)
-    item = F.struct("arrival", *RECORD, "digest")
+    r = records
+    item = F.struct("arrival", *RECORD)
     g = r.groupBy(*KEY, F.col("record_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("versions"))
     kind = r.select(item.alias("x")).schema["x"].dataType.simpleString()
     zero = F.struct(F.lit(None).cast(kind).alias("kept"), F.array().cast("array<struct<arrival:bigint,decision:string>>").alias("said"))
 
     def step(state: Column, n: Column) -> Column:
         decision = _decide(state["kept"], n)
-        said = F.concat(state["said"], F.array(F.struct(n["arrival"].cast("long").alias("arrival"), decision.alias("decision"))))
-        return F.struct(F.when(decision == "stored", n).otherwise(state["kept"]).alias("kept"), said.alias("said"))
+        told = F.when(decision == MERGED, "stored").otherwise(decision)
+        said = F.concat(state["said"], F.array(F.struct(n["arrival"].cast("long").alias("arrival"), told.alias("decision"))))
+        kept = F.when(decision == "stored", n).when(decision == MERGED, _raised(state["kept"], n)).otherwise(state["kept"])
+        return F.struct(kept.alias("kept"), said.alias("said"))
 
     out = g.select(*KEY, "id", F.explode(F.aggregate("versions", zero, step)["said"]).alias("x"))
     return out.select(*KEY, F.col("id").alias("record_id"), "x.arrival", "x.decision")
