@@ -44,16 +44,37 @@ def receipts(acknowledged: DataFrame) -> DataFrame:
     return g.agg(*[n(x) for x in ("stored", "unchanged", "superseded", "conflict", "rejected")], F.max("at").alias("last_at"), F.max(F.when(F.col("receipt") == "stored", F.col("at"))).alias("last_stored_at"))
 
 
-def sync_since(runs: DataFrame, *, first: str, lookback: int, as_of: str) -> DataFrame:
-    """``tool, since``: from which day a connector fetches next.
+def sync_since(runs: DataFrame, *, first: str, lookback: int, as_of: str, asked: str | None = None, full: DataFrame | None = None) -> DataFrame:
+    """``tool, since``: from which day a connector fetches next, by the first that holds of five.
 
-    An unfinished retry's start counts first; else the last good run's day less the
-    look-back; a connector that never ran starts at ``first``. Never after ``as_of``.
+    A day that is asked for; an unfinished retry's start, which the latest run tells
+    whatever its outcome; ``first`` for connectors whose reports come whole (``full``, a
+    table of ``tool``); the day of the latest run that went well or in part, less the
+    look-back; ``first``. Never after ``as_of``.
     """
-    g = runs.groupBy("tool").agg(F.max(F.when(F.col("status") == "ok", F.col("date"))).alias("good"), F.max_by(F.struct("status", "retry_since"), "run_id").alias("last"))
-    cursor = F.date_format(F.date_sub(F.to_date("good"), lookback), "yyyy-MM-dd")
-    retry = F.when(F.col("last.status") == "error", F.col("last.retry_since"))
-    return g.select("tool", F.least(F.coalesce(retry, cursor, F.lit(first)), F.lit(as_of)).alias("since"))
+    fine = F.col("status").isin("ok", "partial")
+    g = runs.groupBy("tool").agg(F.max_by(F.when(fine, F.struct(F.col("date").alias("day"))), F.when(fine, F.col("run_id"))).alias("good"), F.max_by(F.struct("retry_since"), "run_id").alias("last"))
+    whole = F.lit(False)
+    if full is not None:
+        g = g.join(full.select("tool", F.lit(True).alias("whole")), "tool", "left")
+        whole = F.coalesce("whole", F.lit(False))
+    cursor = F.date_format(F.date_sub(F.to_date("good.day"), lookback), "yyyy-MM-dd")
+    since = F.coalesce(F.lit(asked), F.col("last.retry_since"), F.when(whole, F.lit(first)), cursor, F.lit(first))
+    return g.select("tool", F.least(since, F.lit(as_of)).alias("since"))
+
+
+def ran(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The log of runs with those that ``outcomes`` (``tool, run_id, since, rows, newest, empty_scopes, error``) tell of.
+
+    A failed run keeps the day it began from, to be tried again; one without rows is
+    empty and moves nothing; others go on to the newest day that was returned or had
+    been before, and count as partial if a scope of theirs was empty.
+    """
+    before = runs.where(F.col("status").isin("ok", "partial")).groupBy("tool").agg(F.max_by("date", "run_id").alias("reached"))
+    failed, nothing = F.col("error").isNotNull(), F.coalesce("rows", F.lit(0)) == 0
+    status = F.when(failed, "error").when(nothing, "empty").when(F.coalesce("empty_scopes", F.lit(0)) > 0, "partial").otherwise("ok")
+    new = outcomes.join(before, "tool", "left").select("tool", F.when(failed | nothing, F.lit(None).cast("string")).otherwise(F.greatest("newest", "reached")).alias("date"), "run_id", status.alias("status"), F.when(failed, F.col("since")).alias("retry_since"))
+    return runs.select(*new.columns).unionByName(new)
 
 
 def cutover_report(legacy: DataFrame, derived: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -155,6 +176,40 @@ def sessions_together(rows: DataFrame, batches: int) -> DataFrame:
     return rows.repartition(batches, "tool", "session_id")
 
 
+def packed_sessions(rows: DataFrame, most: int = 5000, order: str = "arrival") -> DataFrame:
+    """Rows with ``batch``, per person from 1 on: sessions in order of first appearance, packed whole into batches of at most ``most`` rows.
+
+    A batch takes sessions until the next one doesn't fit; a session over ``most``
+    makes a batch of its own. Only sizes of sessions, one row each, are put in order;
+    a batch's start depends on the one before, so each person's sizes are folded in turn.
+    """
+    session = ["external_id", "tool", "session_id"]
+    sizes = rows.groupBy(*session).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("at"))
+    listed = sizes.groupBy("external_id").agg(F.sort_array(F.collect_list(F.struct("at", "tool", "session_id", "n"))).alias("all"))
+    zero = F.struct(F.lit(1).cast("long").alias("batch"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<tool:string,session_id:string,batch:bigint>>").alias("out"))
+
+    def step(s, x):
+        opens = (s["held"] > 0) & (s["held"] + x["n"] > most)
+        batch = s["batch"] + opens.cast("long")
+        return F.struct(batch.alias("batch"), (F.when(opens, F.lit(0)).otherwise(s["held"]) + x["n"]).alias("held"), F.concat(s["out"], F.array(F.struct(x["tool"].alias("tool"), x["session_id"].alias("session_id"), batch.alias("batch")))).alias("out"))
+
+    placed = listed.select("external_id", F.explode(F.aggregate("all", zero, step)["out"]).alias("x")).select("external_id", "x.*")
+    return rows.join(placed, session)
+
+
+def upload_window(cursors: DataFrame, now: Column, parser_version: int, floor: str | None = None) -> DataFrame:
+    """``cursors`` (``last_success, last_full, parser_version``, instants in UTC) with ``mode, since``: what a device sends next.
+
+    All of it without an earlier success or whole sending, a week after the last whole
+    one, or after another parser; else from the day before the last success in Korea. A
+    floor is a lower end of the window and no mode.
+    """
+    whole = F.col("last_success").isNull() | F.col("last_full").isNull() | ~F.col("parser_version").eqNullSafe(F.lit(parser_version)) | (F.col("last_full") < now - F.expr("INTERVAL 7 DAYS"))
+    day = F.date_format(F.date_sub((F.col("last_success") + F.expr("INTERVAL 9 HOURS")).cast("date"), 1), "yyyy-MM-dd")
+    since = F.when(~whole, day)
+    return cursors.withColumn("mode", F.when(whole, "full").otherwise("incremental")).withColumn("since", F.greatest(since, F.lit(floor)) if floor else since)
+
+
 def valid_records(records: DataFrame, metrics: list[str]) -> tuple[DataFrame, DataFrame]:
     """Records whose values stand exactly where their evidence is known, and, with the reason, the others."""
     bad = F.when(~F.col("record_id").rlike(r"^[\x21-\x7e]{1,200}$"), "record_id").when(~F.col("kind").isin("event", "cumulative"), "kind")

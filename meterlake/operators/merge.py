@@ -96,6 +96,18 @@ def register_identities(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.unionByName(first.join(existing, ["tool", "external_id"], "left_anti"))
 
 
+def linked(facts: DataFrame, identities: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+    """Facts without a member get that of their tool's identifier, by the registered identities (``tool, external_id, member_id``).
+
+    A registered identity wins, whatever the address says; with a roster, identifiers that
+    are a member's address are claimed next. Facts that have a member keep it. Of an
+    identity registered twice the smallest member counts, so facts are never repeated.
+    """
+    own = identities.where("member_id IS NOT NULL").groupBy("tool", "external_id").agg(F.min("member_id").alias("registered"))
+    out = facts.join(own, ["tool", "external_id"], "left").withColumn("member_id", F.coalesce("member_id", "registered")).select(*facts.columns)
+    return out if roster is None else relink(out, roster).select(*facts.columns)
+
+
 def relink(facts: DataFrame, roster: DataFrame) -> DataFrame:
     """Unlinked facts whose outside identifier is a member's address, whatever its case, get that member."""
     by_mail = roster.groupBy(F.lower("email").alias("mail")).agg(F.min("member_id").alias("claimed"))

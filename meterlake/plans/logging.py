@@ -79,7 +79,7 @@ def log_gemini(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"))
 
 
-@query("vendor_cursor", "SELECT strftime(ts, '%Y-%m-%d') AS date, external_id, model, sum(input_tokens)::BIGINT AS input_tokens, count(*) AS requests FROM ev WHERE tool = 'cursor' GROUP BY ALL UNION ALL SELECT strftime(ts, '%Y-%m-%d'), external_id, '', NULL, count(*) * 2 FROM ev WHERE tool = 'cursor' GROUP BY ALL")
+@query("vendor_cursor", "SELECT strftime(ts, '%Y-%m-%d') AS date, external_id, CASE model WHEN '' THEN 'unknown' ELSE model END AS model, sum(input_tokens)::BIGINT AS input_tokens, NULL::BIGINT AS requests FROM ev WHERE tool = 'cursor' GROUP BY ALL UNION ALL SELECT strftime(ts, '%Y-%m-%d'), external_id, '', NULL, count(*) * 2 FROM ev WHERE tool = 'cursor' GROUP BY ALL")
 def vendor_cursor(spark: SparkSession, d: str) -> DataFrame:
     e = usage_events(spark, d).where("tool = 'cursor'").withColumn("email", F.upper("external_id"))
     events = e.withColumn("timestamp", F.unix_millis(F.col("ts").cast("timestamp")))

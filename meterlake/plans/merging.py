@@ -85,6 +85,16 @@ def identity_relink(spark: SparkSession, d: str) -> DataFrame:
     return merge.relink(facts(spark, d), roster(spark, d)).groupBy("tool", "member_id").agg(total("tokens").alias("tokens"))
 
 
+@query("identity_link", "WITH i AS (SELECT tool, external_id, min(member_id) AS registered FROM ev WHERE member_id IS NOT NULL AND tool <> 'gemini' GROUP BY ALL) SELECT f.tool, coalesce(registered, r.member_id) AS member_id, sum(tokens)::BIGINT AS tokens FROM f LEFT JOIN i ON i.tool = f.tool AND i.external_id = f.external_id LEFT JOIN roster r ON lower(f.external_id) = lower(r.email) GROUP BY ALL")
+def identity_link(spark: SparkSession, d: str) -> DataFrame:
+    """Facts as they come, without members: identities link them, for a tool without any addresses do."""
+    from .totals import facts, total
+
+    known = usage_events(spark, d).where("tool != 'gemini'").select("tool", "external_id", "member_id").distinct()
+    bare = facts(spark, d).withColumn("member_id", F.lit(None).cast("long"))
+    return merge.linked(bare, known, roster(spark, d)).groupBy("tool", "member_id").agg(total("tokens").alias("tokens"))
+
+
 CTES["covered"] = "SELECT DISTINCT external_id, tool, date FROM ev WHERE source = 'uploader' AND k % 3 = 0"
 
 

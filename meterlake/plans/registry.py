@@ -84,7 +84,8 @@ def query(name: str, sql: str | None = None):
         if sql is not None:
             prefix = ",\n".join(f"{k} AS ({v})" for k, v in CTES.items())
             body = sql.strip().replace("{as_of}", AS_OF)
-            head, rest = ("WITH ", body[5:]) if body[:5].upper() == "WITH " else ("WITH ", "")
+            head = "WITH RECURSIVE " if body[:15].upper() == "WITH RECURSIVE " else "WITH "
+            rest = body[len(head) :] if body[: len(head)].upper() == head else ""
             ORACLES[name] = f"{head}{prefix}" + (f",\n{rest}" if rest else f"\n{body}")
         return run
 

@@ -37,10 +37,28 @@ def device_receipts(spark: SparkSession, d: str) -> DataFrame:
     return devices.receipts(usage_events(spark, d).select("external_id", "machine_id", "tool", said.alias("receipt"), F.col("event_id").alias("at")))
 
 
-@query("sync_window", "WITH r AS (SELECT tool, date, event_id AS run_id, CASE WHEN k % 7 = 0 THEN 'error' ELSE 'ok' END AS status FROM ev) SELECT tool, least(coalesce(CASE WHEN arg_max(status, run_id) = 'error' THEN arg_max(date, run_id) END, strftime(CAST(max(date) FILTER (status = 'ok') AS DATE) - 3, '%Y-%m-%d'), '2023-11-01'), '2024-01-31') AS since FROM r GROUP BY tool")
+_RUN = "CASE k % 7 WHEN 0 THEN 'error' WHEN 1 THEN 'partial' WHEN 2 THEN 'empty' ELSE 'ok' END"
+
+
+@query("sync_window", f"WITH r AS (SELECT tool, date, event_id AS run_id, {_RUN} AS status FROM ev) SELECT tool, least(coalesce(CASE WHEN arg_max(status, run_id) = 'error' THEN arg_max(date, run_id) END, CASE WHEN tool = 'copilot' THEN '2023-11-01' END, strftime(CAST(arg_max(date, run_id) FILTER (status IN ('ok', 'partial')) AS DATE) - 3, '%Y-%m-%d'), '2023-11-01'), '2024-01-31') AS since FROM r GROUP BY tool")
 def sync_window(spark: SparkSession, d: str) -> DataFrame:
-    runs = usage_events(spark, d).select("tool", "date", F.col("event_id").alias("run_id"), F.when(F.col("k") % 7 == 0, "error").otherwise("ok").alias("status"), F.col("date").alias("retry_since"))
-    return devices.sync_since(runs, first="2023-11-01", lookback=3, as_of="2024-01-31")
+    """Events as runs of every outcome; one tool's reports come whole."""
+    runs = usage_events(spark, d).select("tool", "date", F.col("event_id").alias("run_id"), F.expr(_RUN).alias("status"))
+    runs = runs.withColumn("retry_since", F.when(F.col("status") == "error", F.col("date")))
+    return devices.sync_since(runs, first="2023-11-01", lookback=3, as_of="2024-01-31", full=spark.sql("SELECT 'copilot' AS tool"))
+
+
+CTES["sent"] = "SELECT external_id, tool, session_id, count(*) AS n, min(event_id) AS first FROM ev WHERE source = 'uploader' GROUP BY ALL"
+
+
+@query("packed_sessions", """WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY first) AS i FROM sent),
+  p AS (SELECT external_id, i, n, 1::BIGINT AS batch, n AS held FROM s WHERE i = 1 UNION ALL SELECT s.external_id, s.i, s.n, p.batch + (p.held + s.n > 7)::BIGINT, CASE WHEN p.held + s.n > 7 THEN s.n ELSE p.held + s.n END FROM p JOIN s ON s.external_id = p.external_id AND s.i = p.i + 1)
+  SELECT external_id, batch, sum(n)::BIGINT AS rows, count(*) AS sessions FROM p GROUP BY ALL""")
+def packed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads of at most seven rows, no session split."""
+    e = usage_events(spark, d).where("source = 'uploader'")
+    packed = devices.packed_sessions(e.select("external_id", "tool", "session_id", F.col("event_id").alias("arrival")), 7)
+    return packed.groupBy("external_id", "batch").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("tool", "session_id").alias("sessions"))
 
 
 @query("cutover_report", "WITH a AS (SELECT member_id, tool, date, sum(input_tokens) AS a FROM ev WHERE member_id IS NOT NULL AND k % 5 <> 0 GROUP BY ALL), b AS (SELECT member_id, tool, date, sum(input_tokens) AS b FROM ev WHERE member_id IS NOT NULL AND k % 7 <> 0 GROUP BY ALL) SELECT CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'unexpected' WHEN a = b THEN 'same' ELSE 'different' END AS outcome, count(*) AS n FROM a FULL JOIN b ON (a.member_id, a.tool, a.date) = (b.member_id, b.tool, b.date) GROUP BY 1")

@@ -47,6 +47,7 @@ connector("grok", _log(logs.grok_events))
 connector("opencode", _report(lambda spark, path: logs.opencode_events(spark.read.parquet(path))))
 connector("claude_spend", lambda spark, path, since=None: vendors.spend_csv(spark, path))
 connector("cursor", _report(_cursor))
+connector("cursor_pages", lambda spark, path, since=None: logs.since(vendors.cursor_pages(spark, path, since), since))
 connector("anthropic", _report(lambda spark, path: vendors.anthropic_usage(spark.read.json(path))))
 connector("copilot", _report(lambda spark, path: vendors.copilot_billing(spark.read.json(path))))
 connector("gemini_workspace", _report(lambda spark, path: vendors.gemini_activity(spark.read.json(path))))

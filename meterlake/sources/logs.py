@@ -16,8 +16,8 @@ from ..operators.ledger import snapshot_deltas
 EVENT = ["tool", "session_id", "ts", "date", "hour", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"]
 
 
-def lines(spark: SparkSession, path: str, *, modified_after: str | None = None) -> DataFrame:
-    """Lines of all files under a path, split at line feeds alone, a trailing carriage return stripped.
+def lines(spark: SparkSession, path: str | list[str], *, modified_after: str | None = None) -> DataFrame:
+    """Lines of all files under a path, or of those named, split at line feeds alone, a trailing carriage return stripped.
 
     ``modified_after`` (an instant) skips files not touched since.
     """
@@ -29,6 +29,13 @@ def lines(spark: SparkSession, path: str, *, modified_after: str | None = None)
     return raw.select("file", order.alias("pos"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
+def newest_lines(spark: SparkSession, path: str, files: int = 5) -> DataFrame:
+    """Lines of the files touched last, a handful chosen by their metadata before any content is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
+    chosen = [r["path"] for r in listed.orderBy(F.desc("modificationTime"), "path").limit(files).collect()]
+    return lines(spark, chosen) if chosen else spark.createDataFrame([], "file string, pos struct<at:long,id:long>, value string")
+
+
 def since(events: DataFrame, first: str | None) -> DataFrame:
     """Events of the days from the first on: a file touched since may hold older lines."""
     return events if first is None else events.where(F.col("date") >= first)

@@ -6,22 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import valid_date
+from .pages import pages
 
 ROW = "date string, tool string, model string, external_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, requests long, sessions long"
 
 
 def cursor_usage(activity: DataFrame, events: DataFrame, *, hourly: bool = False) -> DataFrame:
-    """Daily activity (model blank, requests alone) and token events summed by bucket, address and model; buckets are UTC."""
+    """Daily activity (model blank, requests alone) and token events summed by bucket, address and model; buckets are UTC.
+
+    Requests stand on the activity rows only, and an event without a model's name never
+    takes their blank one.
+    """
     width = "yyyy-MM-dd'T'HH" if hourly else "yyyy-MM-dd"
     at = F.date_format(F.timestamp_millis("timestamp"), width)
-    e = events.groupBy(at.alias("date"), F.lower("email").alias("external_id"), F.coalesce("model", F.lit("")).alias("model"))
-    tokens = e.agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")], F.count(F.lit(1)).alias("requests"))
     none = F.lit(None).cast("long")
+    e = events.groupBy(at.alias("date"), F.lower("email").alias("external_id"), F.coalesce(F.when(F.col("model") != "", F.col("model")), F.lit("unknown")).alias("model"))
+    tokens = e.agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")]).withColumn("requests", none)
+    if hourly:
+        return tokens.withColumn("tool", F.lit("cursor"))
     a = activity.groupBy(F.col("day").alias("date"), F.lower("email").alias("external_id")).agg(F.sum("requests").alias("requests"))
     a = a.select("date", "external_id", F.lit("").alias("model"), *[none.alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")], "requests")
     return tokens.unionByName(a).withColumn("tool", F.lit("cursor"))
 
 
+#: What counts as a request of a day's activity.
+ASKED = ("composerRequests", "chatRequests", "agentRequests", "cmdkUsages")
+
+
+def cursor_pages(spark: SparkSession, path: str, since: str | None = None, *, hourly: bool = False) -> DataFrame:
+    """Usage from landed pages: ``path/daily`` (items ``data``) and ``path/events`` (items ``usageEvents``), in windows of 30 days.
+
+    Days that weren't active, and those without an address or any count, are none;
+    events without token usage, an address or an instant neither.
+    """
+    schema = "day string, date bigint, email string, isActive boolean, " + ", ".join(f"{c} bigint" for c in ASKED)
+    a = pages(spark, f"{path}/daily", since=since).select(F.from_json("item", schema).alias("j")).select("j.*")
+    named = F.coalesce(F.when(F.length("day") >= 10, F.substring("day", 1, 10)), F.date_format(F.timestamp_millis("date"), "yyyy-MM-dd"))
+    some = F.when(F.coalesce(*ASKED).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in ASKED), F.lit(0)))
+    a = a.where(F.coalesce("isActive", F.lit(True))).select(named.alias("day"), "email", some.alias("requests")).where("day IS NOT NULL AND email != '' AND requests IS NOT NULL")
+    schema = "timestamp string, userEmail string, model string, tokenUsage struct<inputTokens:bigint,outputTokens:bigint,cacheReadTokens:bigint,cacheWriteTokens:bigint>"
+    e = pages(spark, f"{path}/events", items="usageEvents", since=since).select(F.from_json("item", schema).alias("j")).select("j.*")
+    t = lambda c: F.coalesce(f"tokenUsage.{c}", F.lit(0))
+    e = e.select(F.col("timestamp").try_cast("bigint").alias("timestamp"), F.col("userEmail").alias("email"), "model", F.col("tokenUsage").isNotNull().alias("told"), t("inputTokens").alias("input_tokens"), t("outputTokens").alias("output_tokens"), t("cacheReadTokens").alias("cache_read_tokens"), t("cacheWriteTokens").alias("cache_creation_tokens"))
+    return cursor_usage(a, e.where("told AND timestamp IS NOT NULL AND email != ''"), hourly=hourly)
+
+
 def anthropic_usage(days: DataFrame) -> DataFrame:
     """One record per person and UTC day with a breakdown by model; sessions are told on the first model row."""
     who = F.coalesce("actor.email_address", "actor.api_key_name")
