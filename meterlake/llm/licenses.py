@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, ascii_lower, slim
 
-#: A table of known licenses is broadcast up to this many rows (digest and name: under 200 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Up to so many known licenses are looked up in each line's task, by a map that is gone through; with more, distinct digests are joined by hash.
+LOOKED_UP = 500
 
 # A copyright line (the word with a sign or a year, so no line of a wrapped clause), and spellings that count as the same.
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©]*(?:copyright[^\n]*(?:\(c\)|©|[0-9]{4})|©|\(c\))[^\n]*"
@@ -116,8 +116,9 @@ def license_scan(docs: DataFrame, known: DataFrame, *, doc_id: str = "doc_id", t
     canonical form the smallest name counts, null names and empty forms don't. A
     null text counts as empty and matches nothing. Repeated rows each get their row;
     an empty table gives none. Other columns are ignored. Texts are read once and
-    not shuffled. The known digests are broadcast, at most BROADCAST_ROWS of them;
-    with more, whole texts are joined by shuffle and ``line_licenses`` is null.
+    never shuffled. Up to LOOKED_UP known digests are broadcast; with more, each row's
+    distinct line digests are joined to them, and rows put together again by a number
+    of their own. The result is the same either way.
     """
     form = canonical(F.coalesce("text", F.lit("")))
     own = F.col("digest") if "digest" in known.columns else F.lit(None).cast("string")
@@ -125,9 +126,15 @@ def license_scan(docs: DataFrame, known: DataFrame, *, doc_id: str = "doc_id", t
     k = k.where("digest is not null and license_id is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     d = slim(docs, doc_id, text)
     whole = F.sha2(canonical(F.col("text")), 256).alias("digest")
-    if k.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return d.select("doc_id", whole).join(k, "digest", "left").select("doc_id", "license_id", "digest", F.lit(None).cast("array<string>").alias("line_licenses"))
-    table = k.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("known"))
-    lines = F.transform(F.split("text", "\n"), lambda x: F.try_element_at("known", F.sha2(canonical(x), 256)))
-    d = d.join(F.broadcast(table)).select("doc_id", whole, F.array_sort(F.array_distinct(F.array_compact(lines))).alias("line_licenses"))
-    return d.join(F.broadcast(k), "digest", "left").select("doc_id", "license_id", "digest", "line_licenses")
+    if k.limit(LOOKED_UP + 1).count() <= LOOKED_UP:
+        table = k.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("known"))
+        lines = F.transform(F.split("text", "\n"), lambda x: F.try_element_at("known", F.sha2(canonical(x), 256)))
+        d = d.join(F.broadcast(table)).select("doc_id", whole, F.array_sort(F.array_distinct(F.array_compact(lines))).alias("line_licenses"))
+        return d.join(F.broadcast(k), "digest", "left").select("doc_id", "license_id", "digest", "line_licenses")
+    forms = F.filter(F.transform(F.split("text", "\n"), canonical), lambda x: x != "")
+    lines = F.array_distinct(F.transform(forms, lambda x: F.sha2(x, 256)))
+    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole, lines.alias("lines"))
+    d = d.select("row", "doc_id", "digest", F.explode_outer("lines").alias("line"))
+    d = d.join(k.select(F.col("digest").alias("line"), F.col("license_id").alias("found")), "line", "left")
+    d = d.groupBy("row", "doc_id", "digest").agg(F.array_sort(F.collect_set("found")).alias("line_licenses"))
+    return d.join(k, "digest", "left").select("doc_id", "license_id", "digest", "line_licenses")

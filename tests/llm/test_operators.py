@@ -260,10 +260,18 @@ def test_license_scan(spark):
     assert len(none) == len(texts) and not any(r.license_id or r.line_licenses for r in none)
 
 
-def test_license_scan_with_more_known_than_are_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 3)
-    out = licenses.license_scan(table(spark, [(1, licenses.KNOWN["ISC"]), (2, "x")]), licenses.known_licenses(spark)).orderBy("doc_id").collect()
-    assert [(r.license_id, r.line_licenses) for r in out] == [("ISC", None), (None, None)]
+@pytest.mark.parametrize("more", [0, 100_000])
+def test_license_scan_with_any_number_known(spark, more):
+    """The same rows whether the known ones are looked up or joined."""
+    mit, isc = licenses.KNOWN["MIT"], licenses.KNOWN["ISC"]
+    docs = table(spark, [(1, isc), (2, "x"), (2, "x"), (3, f"notes\n{mit}\nmore\n{mit}\nReleased under the MIT licence!\n\n"), (None, mit), (4, None), (5, ""), (6, "number 77 of many"), (7, "\n".join(f"number {i} of many" for i in range(0, 100_000, 9999)))])
+    known = licenses.known_licenses(spark)
+    if more:
+        known = known.unionByName(spark.range(more).select(F.format_string("L%06d", "id").alias("license_id"), F.concat(F.lit("number "), F.col("id").cast("string"), F.lit(" of many")).alias("text"), F.lit(None).cast("string").alias("digest")))
+    out = sorted(str((r.doc_id, r.license_id, r.line_licenses)) for r in licenses.license_scan(docs, known).collect())
+    many = [f"L{i:06d}" for i in range(0, 100_000, 9999)]
+    want = [(1, "ISC", ["ISC"]), (2, None, []), (2, None, []), (3, None, ["MIT", "MIT-line"]), (None, "MIT", ["MIT"]), (4, None, []), (5, None, []), (6, "L000077" if more else None, ["L000077"] if more else []), (7, None, many if more else [])]
+    assert out == sorted(map(str, want))
 
 
 def test_whole_licenses_wrapped_and_spelled_otherwise(spark):
