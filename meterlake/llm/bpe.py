@@ -40,6 +40,12 @@ LATER = """
 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2
 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
 """
+#: Code points that combine by Python's tables (15.1) but not by those (9) with which the library composes texts; to it they are letters of their own.
+ALONE = """
+7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b
+1145e 11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae
+1e2ec-1e2ef 1e4ec-1e4ef
+"""
 #: Capitals of Unicode 16 and 17 and their small letters, which Python's tables (15.1) may not know yet.
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
@@ -54,6 +60,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def one_of(ranges: str) -> str:
+    """A pattern for code points given as hexadecimal ranges."""
+    return "[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in ranges.split()) + "]"
+
+
 class Codec(dict):
     """Encoder and decoder of one vocabulary; as a dict, the encoded words met so far."""
 
@@ -76,7 +87,8 @@ class Codec(dict):
         self.final = [ids[c + self.end] for c in letters]
         split = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
-        self.later = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in LATER.split()) + "]")
+        self.later = re.compile(one_of(LATER))
+        self.alone = re.compile(f"({one_of(ALONE)})")
         self.capitals = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.squeezed = any(n["type"] == "Lowercase" for n in file["normalizer"]["normalizers"])
@@ -128,8 +140,16 @@ class Codec(dict):
                 heappush(heap, (r, h))
         return [p for p in parts if p >= 0]
 
+    def composed(self, text: str) -> str:
+        """NFC by the library's tables: nothing is composed with, or put in order across, a code point that stands alone there."""
+        if text.isascii():
+            return text
+        if not self.alone.search(text):
+            return unicodedata.normalize("NFC", text)
+        return "".join(unicodedata.normalize("NFC", p) for p in self.alone.split(text))
+
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text)
+        text = self.composed(text)
         if self.squeezed:
             if not text.isascii():
                 text = self.capitals.sub(lambda m: chr(CAPITALS[ord(m[0])]), text).replace("Σ", "σ")  # letter by letter, so no final sigma
@@ -142,7 +162,7 @@ class Codec(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian unsigned 32-bit integers."""
-        if not self.marks or "<|" not in text:
+        if not self.marks or not self.marks.search(text):
             return self._plain(text)
         return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p) for p in self.marks.split(text))
 

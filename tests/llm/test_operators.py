@@ -123,6 +123,38 @@ def test_bpe_splits_every_code_point_as_the_library_does():
             assert np.frombuffer(codec.encode(t), "<u4").tolist() == e.ids, hex(ord(t[1]))
 
 
+def test_bpe_composes_as_the_library_does():
+    """Every combining mark beside marks of lower, equal and higher class and between letters that compose; every composed letter, taken apart too."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+    from tokenizers.normalizers import NFC
+
+    codec, library = bpe.Codec(bpe.read_vocabulary(queries.vocabulary_path())), NFC()
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.combining(chr(c))]
+    beside = ["\u0334", "\u3099", "\u05b0", "\u0323", "\u0301", "\u0345", "\u0358", "\u07fd", "\U00011930"]
+    texts = [t for m in marks for b in beside for t in (f"a{m}{b}", f"a{b}{m}", f"e{m}\u0301{b}i")]
+    whole = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.decomposition(chr(c))[:1] not in ("", "<")]
+    texts += [t for c in whole for t in (c, unicodedata.normalize("NFD", c), "".join(chr(int(x, 16)) for x in unicodedata.decomposition(c).split()) + "\u0301")]
+    rng = random.Random(4)
+    texts += ["".join(rng.choices([*marks, *"aeiou가각"], k=12)) for _ in range(5000)]
+    assert [t for t in texts if codec.composed(t) != library.normalize_str(t)] == []
+    tokens = Tokenizer.from_file(queries.vocabulary_path())
+    tokens.no_truncation(), tokens.no_padding()
+    some = texts[:: max(1, len(texts) // 4000)]
+    for t, e in zip(some, tokens.encode_batch(some, add_special_tokens=False), strict=True):
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == e.ids, t.encode("unicode_escape")
+
+
+def test_bpe_finds_special_tokens_however_they_look():
+    import json
+
+    file = json.loads(bpe.read_vocabulary(queries.vocabulary_path()))
+    file["added_tokens"].append(file["added_tokens"][0] | {"id": max(t["id"] for t in file["added_tokens"]) + 1, "content": "[SEP]"})
+    codec = bpe.Codec(json.dumps(file))
+    assert codec.encode("a[SEP]b") == codec.encode("a") + np.array([codec.special["[SEP]"]], "<u4").tobytes() + codec.encode("b")
+
+
 def test_bpe_matches_library_and_round_trips(spark):
     from tokenizers import Tokenizer
 
