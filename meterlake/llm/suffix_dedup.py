@@ -1,18 +1,19 @@
-"""Removal of repeated passages by merging shard Burrows-Wheeler orders.
+"""Removal of repeated passages: contexts of shared grams, put in order column by column.
 
+No Burrows-Wheeler transform of a shard is made or merged here; the README says why.
 Which bytes lie in a string of 50 bytes that an earlier document also has is
 asked of suffixes, but only of those that can matter. Every string of 50 bytes
 has a gram of 16 with the smallest hash; equal strings have equal smallest
 grams at equal places. So it is enough to compare, gram by gram, the contexts of
 such grams that two documents share: the 34 bytes before, the gram, and 34 after.
 
-A shard gets the contexts of its grams from many blocks, each block's in its own
-order, aligned at the gram. Merging them is the interleaving of positional
-Burrows-Wheeler transforms: from the last column to the first, the interleave is
-refined by one stable distribution on the preceding symbol, and after each step
-the contexts are ordered by all that follows. Neighbours' common prefixes then
-tell the repeated intervals of 50 bytes at that column. No suffix is sorted anew
-and none is compared with more than its neighbour.
+A shard gets the contexts of its grams from many blocks, one block's after the
+other, aligned at the gram, and sorts them: from the last column to the first, by a
+stable distribution on the symbol before, so that after each step the contexts are
+ordered by all that follows. That step is the one by which interleaves of transforms
+are refined, but it starts from the order of arrival and looks symbols up in the
+contexts. Neighbours' common prefixes then tell the repeated intervals of 50 bytes
+at that column.
 
 A gram that takes more than a share of its shard's places is split: its contexts
 are dealt string by string, by the hash of all 50 bytes, each as a context that
