@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import logs, payloads, vendors
+from ..sources import collectors, logs, payloads, vendors
 from ..sources.telemetry import usage_events
 from .merging import running_totals
 from .registry import query
@@ -130,3 +130,32 @@ def landed_payloads(spark: SparkSession, d: str) -> DataFrame:
     bodies = bodies.join(spoilt, "batch").select("external_id", F.col("batch").alias("arrival"), F.when(F.col("any"), F.replace("body", F.lit('"date":"2024-01'), F.lit('"date":"2024-13'))).otherwise(F.col("body")).alias("body"))
     g = payloads.parsed(bodies)["rows"].groupBy("date", "external_id", "tool")
     return g.agg(F.sum("input_tokens").alias("input_tokens"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("collected_claude", "SELECT date, count(*) FILTER (k % 9 <> 0) AS records, count(*) FILTER (k % 9 = 0) AS refused, coalesce(sum(input_tokens) FILTER (k % 9 <> 0), 0)::BIGINT AS input_tokens, count(*) FILTER (k % 9 <> 0 AND k % 4 = 0) AS partial FROM ev WHERE tool = 'claude_code' GROUP BY date")
+def collected_claude(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as ledger records, each in two files; some have no instant and are refused once for each file."""
+    e = usage_events(spark, d).where("tool = 'claude_code'")
+    usage = F.struct("input_tokens", "output_tokens", F.col("cache_read_tokens").alias("cache_read_input_tokens"), F.col("cache_creation_tokens").alias("cache_creation_input_tokens"))
+    message = F.struct(F.concat(F.lit("msg"), F.col("event_id").cast("string")).alias("id"), F.col("raw_model").alias("model"), F.when(F.col("k") % 4 != 0, "end_turn").alias("stop_reason"), usage.alias("usage"))
+    at = F.when(F.col("k") % 9 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.concat(F.lit("on "), F.col("date")))
+    body = F.struct(F.lit("assistant").alias("type"), at.alias("timestamp"), F.col("event_id").cast("string").alias("requestId"), message.alias("message"))
+    records, refused, _ = collectors.collect("claude_code", _lines(e, F.lit("a.jsonl"), body).unionByName(_lines(e, F.lit("b.jsonl"), body)), "acct")
+    day = F.date_format(F.col("occurred_at").cast("timestamp_ntz") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd")
+    good = records.groupBy(day.alias("date")).agg(F.count(F.lit(1)).alias("records"), F.sum("input_tokens").alias("input_tokens"), F.count_if(F.col("completeness") == "partial").alias("partial"))
+    bad = refused.groupBy(F.regexp_extract("value", r"on (\d{4}-\d{2}-\d{2})", 1).alias("date")).agg((F.count(F.lit(1)) / 2).cast("long").alias("refused"))
+    return good.join(bad, "date", "full").na.fill(0)
+
+
+@query("collected_opencode", "SELECT date, count(*) AS records, sum(output_tokens + 3)::BIGINT AS output_tokens, count(*) FILTER (k % 5 = 0) AS partial FROM ev GROUP BY date")
+def collected_opencode(spark: SparkSession, d: str) -> DataFrame:
+    """All events as rows of a message table, every one sent as a user's message too, which tells nothing."""
+    e = usage_events(spark, d)
+    created = F.unix_millis(F.col("ts").cast("timestamp"))
+    tokens = F.struct(F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output"), F.lit(3).alias("reasoning"))
+    rows = e.withColumn("role", F.explode(F.array(F.lit("assistant"), F.lit("user"))))
+    data = F.to_json(F.struct("role", F.col("raw_model").alias("modelID"), F.struct(created.alias("created"), F.when(F.col("k") % 5 != 0, created + 1).alias("completed")).alias("time"), tokens.alias("tokens")))
+    table = rows.select(F.concat(F.col("event_id").cast("string"), F.lit("-"), "role").alias("id"), "session_id", created.alias("time_created"), created.alias("time_updated"), data.alias("data"))
+    records = collectors.collect("opencode", table, "acct")[0]
+    day = F.date_format(F.col("occurred_at").cast("timestamp_ntz") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd")
+    return records.groupBy(day.alias("date")).agg(F.count(F.lit(1)).alias("records"), F.sum("output_tokens").alias("output_tokens"), F.count_if(F.col("completeness") == "partial").alias("partial"))

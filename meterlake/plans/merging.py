@@ -172,7 +172,20 @@ def ledger_derive(spark: SparkSession, d: str) -> DataFrame:
     return days.groupBy("tool", "date", "model", "verified").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("resets").alias("resets"))
 
 
-@query("record_classify")
+# One arrival after another of a record that differs in instant, model, parser, revision, completeness and counts; a stored one is replaced, a partial one raised.
+_SAID = """CASE WHEN n.ts = k.ts AND n.model = k.model AND n.pv = k.pv AND n.rev = k.rev AND n.partial = k.partial AND n.v = k.v AND n.o = k.o THEN 'unchanged'
+  WHEN n.ts <> k.ts AND n.rev <= k.rev THEN 'conflict:unverified_timestamp_correction' WHEN n.pv < k.pv THEN 'conflict:parser_downgrade' WHEN n.rev < k.rev THEN 'superseded:older_revision'
+  WHEN NOT k.partial AND n.partial THEN 'superseded:final_dominates_partial' WHEN n.rev > k.rev THEN 'stored' WHEN n.pv <> k.pv THEN 'conflict:unverified_parser_correction'
+  WHEN k.partial AND NOT n.partial THEN 'stored' WHEN NOT k.partial THEN 'conflict:same_revision_final_conflict' WHEN n.cum THEN 'conflict:same_revision_snapshot_conflict'
+  WHEN n.model <> k.model THEN 'conflict:same_revision_metadata_conflict' WHEN n.v > k.v OR n.o > k.o THEN 'merged' ELSE 'superseded:partial_not_newer' END"""
+_VERSION = ["ts", "model", "pv", "rev", "partial", "v", "o"]
+
+
+@query("record_classify", f"""WITH RECURSIVE n AS (SELECT *, session_id || '#' || (event_id % 2) AS id, event_id % 3 + 1 AS pv, k % 3 AS rev, row_number() OVER (PARTITION BY member_id, tool, session_id, event_id % 2 ORDER BY event_id) AS i FROM recs),
+  k AS (SELECT member_id, tool, id, i, {", ".join(_VERSION)}, 'stored' AS said FROM n WHERE i = 1 UNION ALL
+  SELECT member_id, tool, id, i, {", ".join(f"CASE said WHEN 'stored' THEN n_{c} WHEN 'merged' THEN {f'greatest(n_{c}, k_{c})' if c in 'vo' else f'k_{c}'} ELSE k_{c} END" for c in _VERSION)}, said
+  FROM (SELECT n.member_id, n.tool, n.id, n.i, {", ".join(f"n.{c} AS n_{c}, k.{c} AS k_{c}" for c in _VERSION)}, {_SAID} AS said FROM k JOIN n ON n.member_id = k.member_id AND n.tool = k.tool AND n.id = k.id AND n.i = k.i + 1))
+  SELECT tool, CASE said WHEN 'merged' THEN 'stored' ELSE said END AS decision, count(*) AS n FROM k GROUP BY ALL""")
 def record_classify(spark: SparkSession, d: str) -> DataFrame:
     """Each record arrives again as a later event of its session; the decisions, counted."""
     r = ledger_records(spark, d).withColumn("record_id", F.concat("session_id", F.lit("#"), (F.col("arrival") % 2).cast("string")))

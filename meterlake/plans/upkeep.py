@@ -21,7 +21,10 @@ def health(spark: SparkSession, d: str) -> DataFrame:
     return e.select("external_id", "machine_id", F.col("tool").alias("parser"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("k").alias("files"), F.floor(F.col("k") / 2).alias("emitted"))
 
 
-@query("health_samples")
+@query("health_samples", f"""WITH RECURSIVE r AS (SELECT DISTINCT external_id, machine_id, parser, seen_at FROM health WHERE seen_at >= {SECONDS} - 7 * 86400),
+  k AS (SELECT external_id, machine_id, parser, min(seen_at) AS at_ FROM r GROUP BY ALL
+  UNION ALL SELECT r.external_id, r.machine_id, r.parser, min(r.seen_at) FROM k JOIN r ON r.external_id = k.external_id AND r.machine_id = k.machine_id AND r.parser = k.parser AND r.seen_at >= k.at_ + 43200 GROUP BY ALL)
+  SELECT external_id, machine_id, parser, at_ AS at FROM k QUALIFY row_number() OVER (PARTITION BY external_id, machine_id, parser ORDER BY at_ DESC) <= 14""")
 def health_samples(spark: SparkSession, d: str) -> DataFrame:
     return devices.health_samples(health(spark, d), SECONDS)
 
