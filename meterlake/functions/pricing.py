@@ -107,3 +107,39 @@ def convert(basis: str, unit: str) -> Column:
         unpriced = (~priced | any_.isNull()) & (measured > 0)
     value = F.when((measured == 0) | unpriced, 0.0).otherwise(value)
     return F.struct(value.alias("value"), unpriced.alias("unpriced"), measured.alias("measured"))
+
+
+BASES, UNITS = ("all", "no_cache_read", "output", "legacy", "requests"), ("raw", "usd", "ref")
+
+
+def priced_families(prices: DataFrame) -> DataFrame:
+    """``family, place``: every family once, the smallest priority of its versions first, then by name."""
+    own = prices.groupBy("family").agg(F.min("priority").alias("priority"))  # some tens of rows
+    return own.select("family", F.row_number().over(Window.orderBy("priority", "family")).alias("place"))
+
+
+def default_reference(prices: DataFrame) -> DataFrame:
+    """One row: the family that values are told in by default.
+
+    Among families that begin with sonnet that of the smallest priority, then of the
+    latest start; without one the first priced family; null without any price.
+    """
+    sonnet = F.col("family").startswith("sonnet")
+    pick = F.struct((~sonnet).alias("other"), "priority", F.when(sonnet, -F.unix_date(F.to_date("effective_from"))).alias("start"), "family")
+    return prices.agg(F.min(pick)["family"].alias("family"))
+
+
+def resolved(selections: DataFrame, prices: DataFrame) -> DataFrame:
+    """``selections`` (``unit, ref, basis`` as asked for) with ``unit, ref, basis`` as they hold.
+
+    An unknown basis is all, an unknown unit raw, an unknown reference the default one;
+    requests are raw, and so are reference units where nothing is priced.
+    """
+    known = F.broadcast(priced_families(prices).select(F.col("family").alias("known")))
+    s = selections.join(known, F.col("ref") == F.col("known"), "left").join(F.broadcast(default_reference(prices).withColumnRenamed("family", "usual")))
+    basis = F.when(F.col("basis").isin(*BASES), F.col("basis")).otherwise("all")
+    ref = F.coalesce("known", "usual")
+    unit = F.when(F.col("unit").isin(*UNITS), F.col("unit")).otherwise("raw")
+    unit = F.when((basis == "requests") | ((unit == "ref") & ref.isNull()), "raw").otherwise(unit)
+    kept = [c for c in selections.columns if c not in ("unit", "ref", "basis")]
+    return s.select(*kept, unit.alias("unit"), ref.alias("ref"), basis.alias("basis"))
