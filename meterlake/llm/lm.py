@@ -107,22 +107,23 @@ class EliasFano:
         return first
 
 
+def share_levels(n: int, prior: float) -> np.ndarray:
+    """What codes stand for: 0, then equal ratios from the smallest share that a corpus of ``n`` tokens can have up to 1; the same in every shard."""
+    return np.r_[0.0, np.geomspace(1 / (n + prior) * (1 - 1e-9), 1, CODES)]
+
+
 class Trie:
     """Contexts, pointers to their successors, the successors, and a code for each pair's probability."""
 
-    def __init__(self, contexts: np.ndarray, successors: np.ndarray, share: np.ndarray) -> None:
-        """Pairs sorted by context and successor, with their discounted share of the context."""
+    def __init__(self, contexts: np.ndarray, successors: np.ndarray, share: np.ndarray, levels: np.ndarray) -> None:
+        """Pairs sorted by context and successor, with their discounted share of the context, which is rounded down to one of the levels."""
         first = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(contexts) else np.zeros(0, np.int64)
         self.contexts = EliasFano(contexts[first])
         self.pointers = EliasFano(np.r_[first, len(contexts)].astype(np.uint64))
         self.width = np.uint64(int(successors.max()) + 1 if len(successors) else 1)
         place = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.r_[first, len(contexts)]))
         self.successors = EliasFano(place * self.width + successors)
-        levels = np.unique(share.astype(np.float32))
-        if len(levels) > CODES:
-            levels = np.geomspace(levels[0], levels[-1], CODES)
-        self.levels = np.r_[np.float32(0), levels].astype(np.float32)
-        self.codes = np.clip(np.searchsorted(self.levels, share.astype(np.float32), "right") - 1, 0, CODES).astype(np.uint8)
+        self.codes = np.clip(np.searchsorted(levels, share, "right") - 1, 0, CODES).astype(np.uint8)
 
     def search(self, contexts: np.ndarray, runs: np.ndarray, successors: np.ndarray) -> np.ndarray:
         """The code of each n-gram, 0 for one that the trie lacks; contexts stand once, with the number of their successors."""
@@ -349,8 +350,8 @@ def _triple_messages(shards: int, hot: float):
     return run
 
 
-def _shard(prior: float, least: int, often: int | None):
-    """The shard's trie of what occurs ``least`` times or more, and for every message the codes of its n-grams and what the codes stand for.
+def _shard(prior: float, least: int, often: int | None, n: int):
+    """The shard's trie of what occurs ``least`` times or more, and for every message the codes of its n-grams.
 
     With ``often``, also which of its n-grams occur so many times, and how many.
     """
@@ -366,7 +367,7 @@ def _shard(prior: float, least: int, often: int | None):
         new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
         c = np.add.reduceat(c[order], new)
         own = c >= max(least, 1)
-        trie = Trie(v[new][own], w[new][own], c[own] / (of[order][new][own] + prior))
+        trie = Trie(v[new][own], w[new][own], c[own] / (of[order][new][own] + prior), share_levels(n, prior))
         every = np.empty(len(order), np.int64)
         if often is not None:
             every[order] = np.repeat(c, np.diff(np.r_[new, len(order)]))
@@ -374,20 +375,20 @@ def _shard(prior: float, least: int, often: int | None):
         for r, (contexts, runs, successors, _, _) in zip(rows, asked, strict=True):
             many = (None, None)
             if often is not None:
-                n = every[at : at + len(successors)]
-                many = np.packbits(n >= often).tobytes(), pack(n[n >= often])
+                counts = every[at : at + len(successors)]
+                many = np.packbits(counts >= often).tobytes(), pack(counts[counts >= often])
             at += len(successors)
-            out.append((shard, r["block"], pack(trie.search(contexts, runs, successors)), trie.levels.tobytes(), *many))
+            out.append((shard, r["block"], pack(trie.search(contexts, runs, successors)), None, *many))
         return messages(out)
 
     return run
 
 
-def _shares(n: int, dealt: Iterator[tuple[int, np.ndarray]], said: list[dict]) -> np.ndarray:
+def _shares(n: int, dealt: Iterator[tuple[int, np.ndarray]], said: list[dict], levels: np.ndarray) -> np.ndarray:
     """What the answers' codes stand for, by n-gram."""
     out, answers = np.zeros(n), {a["shard"]: a for a in said}
     for shard, part in dealt:
-        out[part] = np.frombuffer(answers[shard]["b"], np.float32)[unpack(answers[shard]["a"]).astype(np.int64)]
+        out[part] = levels[unpack(answers[shard]["a"]).astype(np.int64)]
     return out
 
 
@@ -402,11 +403,11 @@ def _scores(shards: int, hot: float, priors: tuple[float, float], order: int, n:
         b = _Read(rows[0], level(1), shards)
         plain = (b.count + 1) / (n + kinds + 1)
         back = priors[0] / (b.count + priors[0])
-        each = _shares(len(b.pairs), b.dealt(hot), level(2))[b.at] + back[b.before] * plain[b.tokens]
+        each = _shares(len(b.pairs), b.dealt(hot), level(2), share_levels(n, priors[0]))[b.at] + back[b.before] * plain[b.tokens]
         if order > 2:
             b.triples(level(2), hot)
             each[b.after] *= (priors[1] / (b.pair_count + priors[1]))[b.context[b.after]]
-            each[b.asked] += _shares(len(b.t_word), b.dealt_triples(hot), level(3))[b.triple_at]
+            each[b.asked] += _shares(len(b.t_word), b.dealt_triples(hot), level(3), share_levels(n, priors[1]))[b.triple_at]
         total = lambda x: np.add.reduceat(x, b.starts)
         known = (b.count > 0).astype(np.int64)
         out = [rows[0]["ids"], b.train, b.sizes, total(known[b.tokens]), total(np.log10(plain)[b.tokens]), total(np.log10(each))]
@@ -425,7 +426,10 @@ def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
     plus the level's prior, quantised downwards, and for the rest that of the next
     shorter context; the first token of a text has an end for its context and none
     longer. Triples of fewer than ``least`` training occurrences, two at least, are
-    pruned and have no share of their own; a pair of fewer is no context.
+    pruned and have no share of their own, and what they and rounding lose is given to
+    no other: the probabilities after a context sum to less than 1. A pair of fewer is
+    no context. Shares are rounded to levels that follow the number of training tokens
+    alone, so scores are the same however many shards there are.
 
     A null text counts as empty and has one token, the end. Repeated rows each count
     and get their row; an empty table gives none. Other columns are ignored.
@@ -452,10 +456,10 @@ def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
     n, kinds = (int(sum(x)) for x in zip((0, 0), *[unpack(bytes(r.a)).tolist() for r in words.where("block = -1").select("a").toLocalIterator()]))  # two numbers a shard
     hot = n * HOT
     said = near(words.where("block >= 0").withColumn("level", F.lit(1)))
-    codes = by_shard(told(said, _pair_messages(shards, hot))).applyInArrow(_shard(priors[0], 1, least if order > 2 else None), MESSAGE)
+    codes = by_shard(told(said, _pair_messages(shards, hot))).applyInArrow(_shard(priors[0], 1, least if order > 2 else None, n), MESSAGE)
     said = said.unionAll(near(codes.withColumn("level", F.lit(2))))
     if order > 2:
-        codes = by_shard(told(said, _triple_messages(shards, hot))).applyInArrow(_shard(priors[1], least, None), MESSAGE)
+        codes = by_shard(told(said, _triple_messages(shards, hot))).applyInArrow(_shard(priors[1], least, None, n), MESSAGE)
         said = said.unionAll(near(codes.withColumn("level", F.lit(3))))
     out = told(said, _scores(shards, hot, priors, order, n, kinds, arrow), f"doc_id {name}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

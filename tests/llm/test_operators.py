@@ -249,6 +249,22 @@ def test_lm(spark, order):
             assert r.score == pytest.approx(want, abs=0.03 * r.n_tokens)
 
 
+def test_lm_scores_follow_no_setting(spark):
+    """The same scores however many shards there are; shares lie under their true value by less than a level."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    seen = []
+    for n in (2, 7, 31):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            seen.append({r.doc_id: (r.score, r.base_score) for r in lm.score(docs, train, block=20_000).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert seen[0] == seen[1] == seen[2]
+    levels = lm.share_levels(10**9, 20.0)
+    assert len(levels) == lm.CODES + 1 and levels[1] <= 1 / (10**9 + 20) and (np.diff(levels) > 0).all() and (levels[2:] / levels[1:-1]).max() < 1.09
+
+
 def test_lm_of_order_three_tells_held_out_texts_better(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
@@ -274,7 +290,7 @@ def test_trie_and_packing():
         assert (unpack_rising(pack_rising(a)) == a).all() and (unpack(pack(a)) == a).all()
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 300, (4000, 2))})
     v, w = (np.array(x, np.uint64) for x in zip(*pairs))
-    trie = lm.Trie(v, w, np.linspace(0.01, 0.9, len(v)))
+    trie = lm.Trie(v, w, np.linspace(0.01, 0.9, len(v)), lm.share_levels(300, 20.0))
     ask = rng.integers(0, 310, (5000, 2)).astype(np.uint64)
     ask = ask[np.argsort(ask[:, 0], kind="stable")]
     codes = trie.search(*np.unique(ask[:, 0], return_counts=True), ask[:, 1])
