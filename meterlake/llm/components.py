@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
+#: Links of a partition at least; a round over few links is few tasks, which write few files.
+EACH = 20_000
+
 
 def _rounds_alike(a: DataFrame) -> tuple:
     return tuple(a.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -22,9 +25,11 @@ def components(links: DataFrame) -> DataFrame:
     round is checkpointed. Links of a node to itself are left out, so nodes without
     another link have no row.
     """
+    jvm = links.sparkSession.sparkContext._jvm
     e = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     mark = _rounds_alike(e)
     while mark[0]:
+        e = e.coalesce(-(-mark[0] // EACH))  # never more than it has
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -32,6 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         smaller = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.select("a", F.col("m").alias("b"))  # once for each node, not for each of its links
         e = durable(smaller.unionAll(own).where("a != b").distinct())
+        del both, least, large, smaller, own
+        jvm.System.gc()  # what a round has shuffled stays on the executors' disks until the driver lets go of it
         if mark == (mark := _rounds_alike(e)):
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
