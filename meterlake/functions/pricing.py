@@ -47,6 +47,16 @@ def matches(model: Column, patterns: Column, family: Column) -> Column:
     return F.exists(F.when(F.size(patterns) > 0, patterns).otherwise(F.array(family)), fits)
 
 
+#: Versions of prices that may be broadcast; more are an error, not a larger broadcast.
+MOST_PRICES = 10_000
+
+
+def bounded(prices: DataFrame) -> DataFrame:
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    few = F.when(F.col("n_prices") <= MOST_PRICES, True).otherwise(F.raise_error(F.concat(F.lit("too many prices: "), F.col("n_prices").cast("string")))).cast("boolean")
+    return prices.withColumn("n_prices", n).where(few).drop("n_prices")
+
+
 def match_prices(facts: DataFrame, prices: DataFrame) -> DataFrame:
     """``facts`` with the matched family and rates, null where nothing matches.
 
@@ -56,7 +66,7 @@ def match_prices(facts: DataFrame, prices: DataFrame) -> DataFrame:
     some tens of rows, in one nested loop; the facts join the outcome by equality.
     """
     dims = facts.select("model", "tool", "date").distinct()
-    p = F.broadcast(prices.withColumnRenamed("provider", "p_provider"))
+    p = F.broadcast(bounded(prices).withColumnRenamed("provider", "p_provider"))
     in_force = (F.col("effective_from") <= F.col("date")) & ((F.col("p_provider") == "") | (F.col("p_provider") == F.col("tool")))
     found = dims.join(p, in_force & matches(F.col("model"), F.col("patterns"), F.col("family")))
     best = Window.partitionBy("model", "tool", "date").orderBy("priority", F.col("effective_from").desc(), "family", "p_provider")

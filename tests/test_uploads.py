@@ -161,3 +161,11 @@ def test_removing_prices(spark):
     assert [r.outcome for r in price_rules.removal(keys.where("effective_from > '2001'").withColumn("viewer", F.lit("b@x")), table(spark)).collect()] == ["another's"]
     left = price_rules.without_removed(table(spark), keys)
     assert left.columns == table(spark).columns and left.count() == 4
+
+
+def test_a_price_table_is_broadcast_up_to_a_bound(spark):
+    facts = spark.createDataFrame([("m", "t", "2024-01-01")], "model string, tool string, date string")
+    many = spark.range(pricing.MOST_PRICES + 1).select(F.lit(1).alias("priority"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("family"), F.array(F.lit("=m")).alias("patterns"), F.lit("").alias("provider"), *[F.lit(1.0).alias(r) for r in pricing.RATES], F.lit("2000-01-01").alias("effective_from"))
+    assert pricing.match_prices(facts, many.limit(50)).first().family is not None
+    with pytest.raises(Exception, match="too many prices"):
+        pricing.match_prices(facts, many).collect()
