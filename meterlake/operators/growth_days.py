@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import family_of
+from ..functions.lineage import settled
 from ..functions.pricing import convert, match_prices, reference_rates
 from ..functions.semantics import measured
 from .scan import FACT, FIELDS
@@ -24,10 +25,13 @@ def growth_days(facts: DataFrame, prices: DataFrame) -> DataFrame:
     itself, and the families of the side that gave its tokens. A family counts from a
     tenth of the day's tokens on, or by requests on a day without tokens. Unlinked rows
     are none's. Facts are summed by side and family before anything of a day meets.
+    They are read once: their sums are settled, and so are the days, which streaks,
+    comebacks and points each start from.
     """
     rows = facts.where("member_id IS NOT NULL").select(*FACT).withColumns({f: measured(f, F.col(f"ev_{f}")) for f in FIELDS})
-    rows = rows.where(F.greatest(*FIELDS) > 0)
     rows = rows.groupBy("member_id", "date", "tool", "model", (F.col("source") == REPORT).alias("reported")).agg(*[F.sum(f).alias(f) for f in FIELDS])
+    # none is negative, so sums tell who was active; on the facts the filter would move into the scan and work out every rule anew for each use
+    rows = settled(rows.where(F.greatest(*FIELDS) > 0))  # prices look at them twice
     rows = reference_rates(match_prices(rows, prices), prices)
     side = F.when(F.col("tool") != SHARED_TOOL, "other").when(F.col("reported"), "report").otherwise("local")
     name = family_of(F.col("model"), F.col("family"))
@@ -42,7 +46,8 @@ def growth_days(facts: DataFrame, prices: DataFrame) -> DataFrame:
     requests = F.col("other_q") + F.greatest("local_q", "report_q")
     local = F.when(F.col("local_t") != F.col("report_t"), F.col("local_t") > F.col("report_t")).otherwise(F.col("local_q") >= F.col("report_q"))
     days = days.select("member_id", "date", "tool_names", tokens.alias("tokens"), requests.cast("long").alias("requests"), F.when(local, "local").otherwise("report").alias("won"), "shares")
-    return days.select("member_id", "date", "tokens", "requests", _counted().alias("family_names"), "tool_names").select("*", F.size("family_names").alias("families"), F.size("tool_names").alias("tools"))
+    days = days.select("member_id", "date", "tokens", "requests", _counted().alias("family_names"), "tool_names")
+    return settled(days.select("*", F.size("family_names").alias("families"), F.size("tool_names").alias("tools")))
 
 
 def _counted() -> Column:
