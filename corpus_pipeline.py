@@ -26,7 +26,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard 0.8 of five-word shingles), that with the smallest doc_id."""
+    """One document of each group of near-duplicates (Jaccard 0.8 of five-word shingles), that with the smallest doc_id.
+
+    Candidates are found by SimHash through its segment-popcount embedding, as in
+    op7, at a radius wide enough for that similarity; the shingle sets decide.
+    """
     return similar.keep_one(docs)
 
 

@@ -1,11 +1,15 @@
 """Near-duplicates by Jaccard similarity, with SimHash to find what to compare.
 
 Two 64-bit SimHashes of a text's set of word shingles make 128 bits. Texts of
-similarity 0.8 differ in about 19 of them, unrelated ones in about 64. Each of
-many cells samples a few of the bits; what shares a cell and differs in at most
-``RADIUS`` bits is a candidate. Candidates that hang together form a group, and
-inside a group the sets themselves are compared, so every link has the
-similarity asked for; what sampling can miss is a pair that shares no cell.
+similarity 0.8 differ in about 19 of them, unrelated ones in about 64. The bits
+fall into 64 segments of two; the counts of set bits by segment are a point, and
+the Manhattan distance of two points is at most the number of bits in which the
+fingerprints differ. Each of many grids takes some of the coordinates, and its
+cells hold the points that agree there. What shares a cell is first held to the
+distance of the points, then to that of the fingerprints: at most ``RADIUS`` each
+makes a candidate. Candidates that hang together form a group, and inside a group
+the sets themselves are compared, so every link has the similarity asked for;
+what the choice of grids can miss is a pair that shares no cell.
 """
 
 from __future__ import annotations
@@ -20,12 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import durable, slim, tasks
 from .components import components
-from .simhash import _forest, bits_over_half
-
-#: Cells a text is put in, and the bits that each samples.
-CELLS, SAMPLED = 128, 16
-#: Cells that are searched first.
-EARLY = 8
+from .simhash import _forest, _points, bits_over_half
+
+#: Segments of two bits, grids a text is put in at least, and the coordinates that each takes at least.
+SEGMENTS, GRIDS, TAKEN = 64, 256, 10
+#: How often a coordinate is the same for unrelated texts, and for those of similarity 0.8.
+AGREE, ALIKE = 3 / 8, 0.73
+#: Grids that are searched first, and at once after them.
+EARLY, AT_ONCE = 8, 128
 #: Differing bits, of 128, up to which a pair is compared in full.
 RADIUS = 34
 #: Sets of fewer shingles are within 0.8 of none but their equals.
@@ -57,20 +63,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _samples() -> np.ndarray:
-    """Two 64-bit masks for each cell."""
-    rng, out = np.random.default_rng(64), np.zeros((CELLS, 2), np.uint64)
+def grids(n: int) -> tuple[int, int]:
+    """How many grids of how many coordinates for so many points: a cell's unrelated ones stay below a crowd, and a pair's chance to share a cell stays what it is."""
+    taken = min(SEGMENTS // 2, max(TAKEN, int(np.ceil(np.log(max(n, 1) / CROWD) / -np.log(AGREE)))))
+    return int(np.ceil(GRIDS * ALIKE ** (TAKEN - taken))), taken
+
+
+def _chosen(number: int, taken: int) -> np.ndarray:
+    """Two 64-bit masks for each grid, over the segments of its coordinates."""
+    rng, out = np.random.default_rng(64), np.zeros((number, 2), np.uint64)
     for row in out:
-        for b in rng.choice(128, SAMPLED, replace=False):
-            row[b // 64] |= np.uint64(1) << np.uint64(b % 64)
+        for s in rng.choice(SEGMENTS, taken, replace=False):
+            row[s // 32] |= np.uint64(3) << np.uint64(2 * (s % 32))
     return out
 
 
-def cells(bits: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Keys of the cells of each point, a row for each point."""
-    m = _samples()
-    seed = _mixed(np.arange(1, CELLS + 1, dtype=np.uint64))
-    return _mixed(_mixed((bits[:, None] & m[:, 0]) ^ seed) ^ (more[:, None] & m[:, 1]))
+def cells(bits: np.ndarray, more: np.ndarray, number: int = GRIDS, taken: int = TAKEN) -> np.ndarray:
+    """Keys of the cells of each fingerprint's point, a row for each."""
+    m = _chosen(number, taken)
+    seed = _mixed(np.arange(1, number + 1, dtype=np.uint64))
+    return _mixed(_mixed((_points(bits)[:, None] & m[:, 0]) ^ seed) ^ (_points(more)[:, None] & m[:, 1]))
 
 
 def signature(text: str, width: int) -> tuple[int, int, int, int]:
@@ -98,16 +110,23 @@ def _apart(bits: np.ndarray, more: np.ndarray, i, j) -> np.ndarray:
     return np.bitwise_count(bits[i] ^ bits[j]) + np.bitwise_count(more[i] ^ more[j])
 
 
+def _near(points: tuple[np.ndarray, np.ndarray], bits: np.ndarray, more: np.ndarray, i, j: np.ndarray) -> np.ndarray:
+    """Where ``j`` is within RADIUS of ``i``: by the points, and of what is left by the fingerprints."""
+    near = np.flatnonzero(_apart(*points, i, j) <= RADIUS)
+    return near[_apart(bits, more, i if np.isscalar(i) else i[near], j[near]) <= RADIUS]
+
+
 def _crowd(bits: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect whatever is within RADIUS: what is near a point leaves the rest, then takes its own turn."""
+    points = _points(bits), _points(more)
     rest, a, b = np.arange(len(bits)), [], []
     todo: list[int] = []
     while len(rest):
         if not todo:
             todo, rest = [int(rest[0])], rest[1:]
         at = todo.pop()
-        near = _apart(bits, more, at, rest) <= RADIUS
-        new, rest = rest[near], rest[~near]
+        near = _near(points, bits, more, at, rest)
+        new, rest = rest[near], np.delete(rest, near)
         a += [at] * len(new)
         b += new.tolist()
         todo += new.tolist()
@@ -126,12 +145,13 @@ def _linked(cell: np.ndarray, bits: np.ndarray, more: np.ndarray, label: np.ndar
         found.append(at + np.stack(_crowd(bits[at : at + n], more[at : at + n])))
     ends = np.zeros(len(cell), np.int64)
     ends[:] = np.repeat(np.where(sizes > CROWD, 0, starts + sizes), np.diff(np.r_[starts, len(cell)]))
-    i = np.arange(len(cell))
+    i, points = np.arange(len(cell)), (_points(bits), _points(more))
     for step in range(1, CROWD):
         i = i[i + step < ends[i]]
         if not len(i):
             break
-        near = i[(label[i] != label[i + step]) & (_apart(bits, more, i, i + step) <= RADIUS)]
+        near = i[label[i] != label[i + step]]
+        near = near[_near(points, bits, more, near, near + step)]
         found.append(np.stack([near, near + step]))
     pairs = np.concatenate(found, axis=1)
     pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
@@ -162,13 +182,13 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [[x[end:] for x in rows]], held - end
 
 
-def candidates(prints: DataFrame, first: int = 0, last: int = CELLS) -> DataFrame:
-    """``bits, more, label`` to links ``a, b`` of labels, over whatever shares one of these cells and is within RADIUS."""
+def candidates(prints: DataFrame, shape: tuple[int, int], first: int, last: int) -> DataFrame:
+    """``bits, more, label`` to links ``a, b`` of labels, over whatever shares a cell of these grids and is within RADIUS."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits, more, label = (b.column(c).to_numpy() for c in ("bits", "more", "label"))
-            keys = np.ascontiguousarray(cells(bits.view(np.uint64), more.view(np.uint64))[:, first:last])
+            keys = np.ascontiguousarray(cells(bits.view(np.uint64), more.view(np.uint64), *shape)[:, first:last])
             n = keys.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *[pa.array(np.repeat(x, n)) for x in (bits, more, label)]], names=["cell", "bits", "more", "label"])
 
@@ -185,12 +205,15 @@ def _settled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def candidate_groups(prints: DataFrame) -> DataFrame:
     """``bits`` to ``group``: the smallest bits that candidates lead to.
 
-    A few cells come first: they bring most of a large group together, and the
-    other cells then need no links inside it.
+    A few grids come first: they bring most of a large group together, and the
+    others then need no links inside it. Those follow some at a time, so that no
+    more of a text's cells lie on disk at once.
     """
     points = durable(prints.withColumn("label", F.col("bits")))
-    for first, last in ((0, EARLY), (EARLY, CELLS)):
-        points = _settled(points, candidates(points, first, last))
+    shape = grids(points.count())
+    for first in (0, *range(EARLY, shape[0], AT_ONCE)):
+        last = EARLY if first < EARLY else min(shape[0], first + AT_ONCE)
+        points = _settled(points, candidates(points, shape, first, last))
     return points.groupBy("bits").agg(F.min("label").alias("group"))
 
 

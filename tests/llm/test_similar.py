@@ -101,3 +101,23 @@ def test_crowded_cells_link_the_same(monkeypatch):
     few = parts()
     monkeypatch.setattr(similar, "CROWD", 8)
     assert parts() == few and 6 <= len(few) <= 18
+
+
+def test_candidates_meet_by_counts_of_segments():
+    """01 and 10 in a segment are one coordinate; a segment of another count parts fingerprints in the grids that take it, and in no others."""
+    rng = np.random.default_rng(3)
+    bits, more = rng.integers(0, 2**63, (2, 50), dtype=np.uint64)
+    one = (bits ^ bits >> np.uint64(1)) & np.uint64(1)  # of the first segment, whether one bit is set
+    swapped = bits ^ one * np.uint64(3)
+    assert one.any() and (similar.cells(bits, more) == similar.cells(swapped, more)).all()
+    other = np.where(one == 1, bits | np.uint64(3), bits ^ np.uint64(3))[one == 1]
+    shared = similar.cells(bits[one == 1], more[one == 1]) == similar.cells(other, more[one == 1])
+    assert (shared == shared[0]).all() and abs((~shared[0]).mean() - 10 / 64) < 0.08
+
+
+def test_grids_follow_the_number_of_points():
+    few, many = similar.grids(200_000), similar.grids(12_000_000)
+    assert few == (256, 10) and many[1] == 11
+    assert 12_000_000 * (3 / 8) ** many[1] <= similar.CROWD  # unrelated ones of a cell
+    assert many[0] * 0.73 ** many[1] >= few[0] * 0.73 ** few[1]
+    assert similar.grids(0) == few
