@@ -24,8 +24,8 @@ def growth_days(facts: DataFrame, prices: DataFrame) -> DataFrame:
     day takes the larger of collected and reported, tokens and requests each for
     itself, and the families of the side that gave its tokens. A family counts from a
     tenth of the day's tokens on, or by requests on a day without tokens. Unlinked rows
-    are none's. Facts are summed by side and family before anything of a day meets.
-    They are read once: their sums are settled, and so are the days, which streaks,
+    are none's. Facts are summed by tool and model before anything of a day meets, and
+    a day's sums meet in one shuffle. Facts are read once: their sums are settled, and so are the days, which streaks,
     comebacks and points each start from.
     """
     rows = facts.where("member_id IS NOT NULL").select(*FACT).withColumns({f: measured(f, F.col(f"ev_{f}")) for f in FIELDS})
@@ -36,25 +36,26 @@ def growth_days(facts: DataFrame, prices: DataFrame) -> DataFrame:
     side = F.when(F.col("tool") != SHARED_TOOL, "other").when(F.col("reported"), "report").otherwise("local")
     name = family_of(F.col("model"), F.col("family"))
     parts = rows.select("member_id", "date", "tool", side.alias("side"), name.alias("name"), convert("no_cache_read", "ref")["value"].alias("t"), F.col("requests").alias("q"))
-    parts = parts.groupBy("member_id", "date", "side", "name").agg(F.sum("t").alias("t"), F.sum("q").alias("q"), F.collect_set("tool").alias("used"))
 
     of = lambda c, s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col(c))), F.lit(0))
     sums = [of(c, s).alias(f"{s}_{c}") for s in ("other", "local", "report") for c in "tq"]
-    families = F.collect_list(F.when(F.col("name").isNotNull() & ((F.col("t") > 0) | (F.col("q") > 0)), F.struct("side", "name", "t", "q")))
-    days = parts.groupBy("member_id", "date").agg(*sums, families.alias("shares"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("used")))).alias("tool_names"))
+    shares = F.collect_list(F.when(F.col("name").isNotNull() & ((F.col("t") > 0) | (F.col("q") > 0)), F.struct("side", "name", "t", "q")))
+    days = parts.groupBy("member_id", "date").agg(*sums, shares.alias("shares"), F.array_sort(F.collect_set("tool")).alias("tool_names"))
     tokens = F.col("other_t") + F.greatest("local_t", "report_t")
     requests = F.col("other_q") + F.greatest("local_q", "report_q")
     local = F.when(F.col("local_t") != F.col("report_t"), F.col("local_t") > F.col("report_t")).otherwise(F.col("local_q") >= F.col("report_q"))
     days = days.select("member_id", "date", "tool_names", tokens.alias("tokens"), requests.cast("long").alias("requests"), F.when(local, "local").otherwise("report").alias("won"), "shares")
-    days = days.select("member_id", "date", "tokens", "requests", _counted().alias("family_names"), "tool_names")
+    days = _counted(days).select("member_id", "date", "tokens", "requests", "family_names", "tool_names")
     return settled(days.select("*", F.size("family_names").alias("families"), F.size("tool_names").alias("tools")))
 
 
-def _counted() -> Column:
-    """Names of the families that hold enough of a day; a day has a handful."""
+def _counted(days: DataFrame) -> DataFrame:
+    """``days`` with ``family_names``, the families that hold enough of a day; a day has a handful."""
+    amount = lambda s: F.when(F.col("tokens") > 0, s["t"]).otherwise(s["q"].cast("double"))
     own = F.filter("shares", lambda s: (s["side"] == "other") | (s["side"] == F.col("won")))
-    total = lambda name, c: F.aggregate(F.filter(own, lambda s: s["name"] == name), F.lit(0.0), lambda a, s: a + s[c].cast("double"))
+    days = days.withColumn("own", F.transform(own, lambda s: F.struct(s["name"].alias("name"), amount(s).alias("x"))))
+    total = lambda name: F.aggregate("own", F.lit(0.0), lambda a, s: a + F.when(s["name"] == name, s["x"]).otherwise(0.0))
+    each = F.transform(F.array_distinct(F.transform("own", lambda s: s["name"])), lambda n: F.struct(n.alias("name"), total(n).alias("x")))
     # the small amount keeps an exact share from failing on rounding
-    enough = lambda n: F.when(F.col("tokens") > 0, (total(n, "t") > 0) & (total(n, "t") + 1e-6 >= F.col("tokens") * FAMILY_SHARE)).otherwise(total(n, "q") > 0)
-    return F.array_sort(F.filter(F.array_distinct(F.transform(own, lambda s: s["name"])), enough))
-
+    enough = F.filter(each, lambda s: (s["x"] > 0) & (s["x"] + 1e-6 >= F.col("tokens") * FAMILY_SHARE))
+    return days.withColumn("family_names", F.array_sort(F.transform(enough, lambda s: s["name"])))

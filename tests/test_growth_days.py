@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.functions import labels, pricing, semantics
+from meterlake.functions import labels, lineage, pricing, semantics
 from meterlake.operators import scan
 from meterlake.operators.growth_days import REPORT, growth_days
 from meterlake.operators.streaks import growth, latest_complete
@@ -66,6 +66,20 @@ def test_facts_are_read_once(spark):
     assert [r.active_days for r in out] == [5] and read.value == 5
 
 
+def test_sums_of_a_day_meet_in_one_shuffle(spark, monkeypatch):
+    """Facts are dealt once for their sums, and the sums once for their days."""
+    plans, real = [], lineage.settled
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr("meterlake.operators.growth_days.settled", seen)
+    small = [row(tool, i=6) for tool in ("codex", "cursor")]  # of one family, over a tenth together
+    assert days(spark, row(i=40, model="claude-opus-5"), *small) == {(1, "2024-01-02"): (92.0, 0, "opus,sonnet", "codex,cursor")}
+    assert [p.count("Exchange hashpartitioning(member_id") for p in plans] == [1, 1]
+
+
 def test_measured(spark):
     rows = spark.createDataFrame([("uploader", "x", "m", v) for v in (3.0, 0.0, -1.0, 1.5, float("inf"), float("nan"), None)] + [("poller", "cursor", "m", 4.0), ("poller", "cursor", "", 4.0), ("poller", "copilot", "", 4.0)], "source string, tool string, model string, requests double")
     assert [r[0] for r in rows.select(semantics.measured("requests")).collect()] == [3, 0, 0, 0, 0, 0, 0, 0, 4, 0]
