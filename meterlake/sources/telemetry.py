@@ -92,8 +92,8 @@ def vendor_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report rows by person and day, from the orders."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     product = F.when(F.col("o_orderpriority").startswith("1"), "Claude Code").when(F.col("o_orderpriority").startswith("2"), "Cowork").otherwise("Chat")
-    day_ = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int")), "yyyy-MM-dd")
     user = F.col("o_custkey") % 150
-    r = o.select(day_.alias("date"), user.alias("user_id"), product.alias("product"), F.floor("o_totalprice").cast("long").alias("tokens"))
-    r = r.groupBy("date", "user_id", "product").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("requests"))
-    return r.select("date", F.when(F.col("user_id") % 17 != 0, F.col("user_id")).alias("member_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.test")).alias("external_id"), "product", "tokens", "requests")
+    r = o.select((F.col("o_orderkey") % 30).cast("int").alias("n"), user.alias("user_id"), product.alias("product"), F.floor("o_totalprice").cast("long").alias("tokens"))
+    r = r.groupBy("n", "user_id", "product").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("requests"))
+    day_ = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")), "yyyy-MM-dd")  # of a sum, not of every order
+    return r.select(day_.alias("date"), F.when(F.col("user_id") % 17 != 0, F.col("user_id")).alias("member_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.test")).alias("external_id"), "product", "tokens", "requests")

@@ -8,6 +8,7 @@ from meterlake.operators import scan
 from meterlake.operators.growth_days import REPORT, growth_days
 from meterlake.operators.streaks import growth, latest_complete
 from meterlake.plans import display, scorecards
+from meterlake.sources import telemetry
 
 COLUMNS = "date string, tool string, model string, member_id long, source string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, requests long, ev_input_tokens string"
 
@@ -80,6 +81,13 @@ def test_sums_of_a_day_meet_in_one_shuffle(spark, monkeypatch):
     assert [p.count("Exchange hashpartitioning(member_id") for p in plans] == [1, 1]
 
 
+def test_reports_are_summed_before_their_days_are_written(spark):
+    reports = telemetry.vendor_reports(spark, "/root/testdata/sf0.001")
+    _, orders = reports._jdf.queryExecution().executedPlan().toString().split("Exchange")
+    assert "date_format" not in orders
+    assert {r.date for r in reports.collect()} == {f"2024-01-{n:02}" for n in range(1, 31)}
+
+
 def test_measured(spark):
     rows = spark.createDataFrame([("uploader", "x", "m", v) for v in (3.0, 0.0, -1.0, 1.5, float("inf"), float("nan"), None)] + [("poller", "cursor", "m", 4.0), ("poller", "cursor", "", 4.0), ("poller", "copilot", "", 4.0)], "source string, tool string, model string, requests double")
     assert [r[0] for r in rows.select(semantics.measured("requests")).collect()] == [3, 0, 0, 0, 0, 0, 0, 0, 4, 0]
