@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, slim, tasks
-from .components import components
+from .components import components, forest
 
 GROUPS, AGREE = 6, 3
 #: A cell of more points is compared chunk by chunk, each pair of chunks by itself.
@@ -89,24 +89,6 @@ def _points(bits: np.ndarray) -> np.ndarray:
     return ((bits | half) & odd) | ((bits & half & odd) << np.uint64(1))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of n points to as few that connect the same: every point to the first it can reach."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        least = np.minimum(root[a], root[b])
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        np.minimum.at(new, root[a], least)
-        np.minimum.at(new, root[b], least)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    nodes = np.flatnonzero(root != np.arange(n))
-    return nodes, root[nodes]
-
-
 def _linked(cells: np.ndarray, bits: np.ndarray, sides: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside runs of equal cells, compared at every distance along the run at once; rows of side 1 meet only those of side 2."""
     points, found = _points(bits), []
@@ -120,7 +102,7 @@ def _linked(cells: np.ndarray, bits: np.ndarray, sides: np.ndarray, most: int) -
         found.append(np.stack([i, i + step]))
     if not found:
         return bits[:0], bits[:0]
-    a, b = _forest(*np.concatenate(found, axis=1), len(bits))
+    a, b = forest(*np.concatenate(found, axis=1), len(bits))
     return bits[a], bits[b]
 
 

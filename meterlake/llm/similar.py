@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, slim, tasks
-from .components import components
-from .simhash import _forest, _points, bits_over_half
+from .components import components, forest
+from .simhash import _points, bits_over_half
 
 #: Segments of two bits, grids a text is put in at least, and the coordinates that each takes at least.
 SEGMENTS, GRIDS, TAKEN = 64, 256, 10
@@ -159,7 +159,7 @@ def _linked(cell: np.ndarray, bits: np.ndarray, more: np.ndarray, label: np.ndar
         return label[:0], label[:0]
     kinds, of = np.unique(label[pairs], return_inverse=True)
     of = of.reshape(2, -1)
-    a, b = _forest(of[0], of[1], len(kinds))
+    a, b = forest(of[0], of[1], len(kinds))
     return kinds[a], kinds[b]
 
 
